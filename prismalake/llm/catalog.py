@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, minhash, packing, rans
 
 
 def queries() -> dict:
     return {
+        "op3_rans_tokens": rans.op3_rans_tokens,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
         "op9_language_id": langid.op9_language_id,
     }
 
