@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, packing, rans
+from . import chat, embeddings, langid, minhash, packing, pieces_sa, ppm, rans
 
 
 def queries() -> dict:
     return {
         "op3_rans_tokens": rans.op3_rans_tokens,
+        "op4_sentencepiece": pieces_sa.op4_sentencepiece,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_ppm_scoring": ppm.op6_ppm_scoring,
+        "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
         "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
         "op9_language_id": langid.op9_language_id,
+        "op10_chat_tool_calls": chat.op10_chat_tool_calls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_tool_calls": chat.OP10_SQL}
