@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, langid, minhash, packing, pieces_sa, ppm, rans
+from . import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix
 
 
 def queries() -> dict:
     return {
+        "op1_media_copies": media.op1_media_copies,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_rans_tokens": rans.op3_rans_tokens,
         "op4_sentencepiece": pieces_sa.op4_sentencepiece,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
