@@ -109,8 +109,8 @@ def _candidates(lists: DataFrame) -> DataFrame:
     salt = F.when(F.col("df") > BLOCK, F.pmod(F.hash("id"), F.ceil(F.col("df") / BLOCK).cast("int"))).otherwise(0)
     rows = lists.withColumn("salt", salt)
     order = Window.partitionBy("key", "salt").orderBy("id")
-    near = [F.lag("id", i).over(order) for i in range(1, SHORT)]
-    near = [x if i < 2 else F.when(F.col("df") <= SHORT, x) for i, x in enumerate(near)]
+    rows = rows.withColumns({f"near{i}": F.lag("id", i).over(order) for i in range(1, SHORT)})
+    near = [F.col(f"near{i}") if i < 3 else F.when(F.col("df") <= SHORT, F.col(f"near{i}")) for i in range(1, SHORT)]
     partners = F.array_distinct(F.array_compact(F.array(*near, F.when(F.col("df") > SHORT, F.col("first")))))
     pairs = rows.select(F.col("id").alias("b"), F.explode(partners).alias("a")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("overlaps"))
