@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_share, mix64, pieces
+from .common import U64, crc_share, mix64, pieces, written
 
 UNKNOWN = "und"
 _fold: np.ndarray | None = None
@@ -105,7 +105,7 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", buckets: int = 1 << 16, smoothing: float = 0.5, max_cells: int = 1 << 26) -> Model:
     """Learn from every row of ``docs`` that has a text and a label."""
-    counts = bucket_counts(docs, text, label, buckets)
+    counts = written(bucket_counts(docs, text, label, buckets), "counts")
     langs = sorted(r[0] for r in counts.where("bucket = -1").select("lang").limit(max_cells // buckets + 1).collect())
     if len(langs) * buckets > max_cells:
         raise ValueError(f"more than {max_cells // buckets} languages; raise max_cells to broadcast a larger matrix")

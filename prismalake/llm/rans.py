@@ -173,7 +173,7 @@ def tokenised(docs: DataFrame, path: str, end: int, style: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.coder(path, style)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 16 << 20):
             ids, n = tokens.with_end(*coder.encode(batch.column("text")), end)
             offsets = np.append(0, np.cumsum(n * 4)).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
