@@ -78,7 +78,7 @@ def bucket_counts(docs: DataFrame, text: str, label: str, buckets: int) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             place = {x: i for i, x in enumerate(names)}
@@ -133,14 +133,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        buckets = len(m.weights)
-        for batch in pieces(batches, "__text"):
+        buckets, by_lang = len(m.weights), np.ascontiguousarray(m.weights.T)
+        for batch in pieces(batches, "__text", 1 << 20):
             n = batch.num_rows
             hits, rows, known = features(batch.column("__text").to_pylist(), buckets)
             if m.langs:
                 total = np.empty((n, len(m.langs)))
                 for j in range(len(m.langs)):
-                    total[:, j] = np.bincount(rows, m.weights[:, j][hits], n)
+                    total[:, j] = np.bincount(rows, by_lang[j][hits], n)
                 grams = np.maximum(np.bincount(rows, minlength=n), 1)
                 best = np.argmax(total + m.priors, 1)
                 z = total * np.minimum(1, evidence / grams)[:, None] + m.priors

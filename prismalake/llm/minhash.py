@@ -3,10 +3,11 @@
 A document's set is its distinct word shingles, hashed to 64 bits by one function; the sketch keeps the k smallest
 values. Documents with the same set are one vertex from the start. Inverted lists are kept for runs of ``RUN``
 neighbouring retained values: with similarity 0.85 and k = 64, two sketches share no run with a chance below 1e-8 (and
-always share one when the sets have at most k values). Lists up to ``SHORT`` long give all their pairs. In longer ones
-every document is paired with the list's first one and its neighbours; after these links are joined up, the documents
-of long lists that are not in the list's largest component are compared with all others in blocks, and only pairs that
-pass the estimate leave a block. Candidates pass the union-sketch estimate, then exact intersection and union of the
+always share one when the sets have at most k values). Lists up to ``SHORT`` long give all their pairs. In its ``NEAR``
+longest lists every document is paired with the list's first one and the one before it; after these links are joined
+up, the documents of long lists that are not in the list's largest component are compared with all others in blocks,
+and only pairs that pass the estimate leave a block. Each document's best candidate is verified first; of the others
+only those that would join different components are verified. Candidates pass the union-sketch estimate, then exact intersection and union of the
 full sets decide. Nothing is capped: frequent values only lead to the block comparison.
 
 Before that, the ``SPARE`` most frequent keys of a document are left out of its lists: similar documents share more.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import U64, Powers, flat, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
 from .components import components
 
-SKETCH, RUN, SHORT, BLOCK, SPARE = 64, 4, 8, 512, 3
+SKETCH, RUN, SHORT, BLOCK, SPARE, NEAR = 64, 4, 8, 512, 3, 5
 _symbols = spread(5)
 _powers = Powers(0x9E3779B97F4A7C15)
 
@@ -110,9 +111,9 @@ def _candidates(lists: DataFrame) -> DataFrame:
     rows = lists.withColumn("salt", salt)
     order = Window.partitionBy("key", "salt").orderBy("id")
     rows = rows.withColumns({f"near{i}": F.lag("id", i).over(order) for i in range(1, SHORT)})
-    near = [F.col(f"near{i}") if i < 3 else F.when(F.col("df") <= SHORT, F.col(f"near{i}")) for i in range(1, SHORT)]
+    near = [F.when((F.col("df") <= SHORT) | (F.lit(i < 2)), F.col(f"near{i}")) for i in range(1, SHORT)]
     partners = F.array_distinct(F.array_compact(F.array(*near, F.when(F.col("df") > SHORT, F.col("first")))))
-    pairs = rows.select(F.col("id").alias("b"), F.explode(partners).alias("a")).where("a < b")
+    pairs = rows.where((F.col("df") <= SHORT) | (F.col("rank") <= SPARE + NEAR)).select(F.col("id").alias("b"), F.explode(partners).alias("a")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("overlaps"))
 
 
@@ -214,14 +215,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, slack: f
     # A document's most frequent keys are left out: SPARE of its keys, where it has a full sketch.
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "key"))
     full = sets.select("id", (F.octet_length("sketch") == 8 * SKETCH).alias("full"))
-    lists = lists.withColumn("rank", rank).join(full, "id").where((F.col("rank") > SPARE) | ~F.col("full") | (F.col("df") <= SHORT)).drop("rank", "full")
+    lists = lists.withColumn("rank", rank).join(full, "id").where((F.col("rank") > SPARE) | ~F.col("full") | (F.col("df") <= SHORT)).drop("full")
     lists = written(lists, "lists")
-    pairs = written(_passing(_candidates(lists), sets, least, percent), "pairs")
+    pairs = written(_candidates(lists), "candidates")
+    best = pairs.groupBy("b").agg(F.max(F.struct("overlaps", "a")).alias("x")).select("x.a", "b")
+    passing = written(_passing(best, sets, least, percent), "pairs")
     long_lists = lists.where(F.col("df") > SHORT)
     inside = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(long_lists.select("id")).distinct()
     full_sets = written(_full_sets(docs, inside, words), "full-sets")
-    links = written(_verified(pairs, full_sets, percent), "similar")
+    links = written(_verified(passing, full_sets, percent), "similar")
     found = components(links, "a", "b")
+    apart = pairs.select("a", "b")
+    for c in "ab":
+        apart = apart.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    new = written(_verified(written(_passing(apart, sets, least, percent), "pairs"), full_sets, percent), "similar")
+    if not new.isEmpty():
+        links = links.unionAll(new)
+        found = components(links, "a", "b")
     most: int | None = 16
     while not long_lists.isEmpty():
         more = _leftover(long_lists, found, sets, least, percent, most)
