@@ -162,17 +162,30 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def _leftover(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: float, percent: int, most: int | None) -> DataFrame:
     """Pairs of different components within long lists that pass the estimate: the documents outside a list's largest
-    component against all of the list, in blocks. ``most``: the best so many for a document and block."""
+    component against that component (once, however many lists they share) and against each other, in blocks. ``most``:
+    the best so many for a document and block."""
     rows = long_lists.select("key", "id", "df").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     top = by.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("size").alias("all")).where("kinds > 1")
     rows = rows.join(top.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.size")).alias("others")), "key")
-    rows = rows.join(sets.select("id", "n", "sketch"), "id")
-    cols, bins = F.ceil(F.col("df") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    mine, theirs = F.pmod(F.hash("id"), cols), F.pmod(F.hash("id"), bins)
-    names = ["key", "id", "component", "n", "sketch"]
-    everyone = rows.select(*names, mine.alias("c"), F.explode(F.sequence(F.lit(0), bins - 1)).alias("r"), F.lit(False).alias("minor"))
-    minors = rows.where("component != main").select(*names, F.explode(F.sequence(F.lit(0), cols - 1)).alias("c"), theirs.alias("r"), F.lit(True).alias("minor"))
+    rows = written(rows.where("component != main").select("key", "id", "component", "main", "others"), "outside")
+    own = sets.select("id", "n", "sketch")
+    names = ["id", "component", "n", "sketch", "c", "r", "minor"]
+    zero = F.lit(0)
+    # Against the main component: its members in blocks, each outsider to every block.
+    sizes = found.join(rows.select(F.col("main").alias("component")).distinct(), "component").groupBy("component").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = found.join(sizes, "component").join(own, "id").select(F.col("component").alias("key"), "id", "component", "n", "sketch", F.pmod(F.hash("id"), blocks).alias("c"), zero.alias("r"), F.lit(False).alias("minor"))
+    single = rows.join(sizes.select(F.col("component").alias("main")), "main", "left_anti").select("main").distinct()  # a component of one
+    members = members.unionByName(single.join(own, F.col("main") == F.col("id")).select(F.col("main").alias("key"), "id", F.col("id").alias("component"), "n", "sketch", zero.alias("c"), zero.alias("r"), F.lit(False).alias("minor")))
+    guests = rows.select("id", "component", "main").distinct().join(sizes.select(F.col("component").alias("main"), "size"), "main", "left").join(own, "id")
+    guests = guests.select(F.col("main").alias("key"), "id", "component", "n", "sketch", F.explode(F.sequence(zero, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int") - 1)).alias("c"), zero.alias("r"), F.lit(True).alias("minor"))
+    # Against each other, list by list.
+    bins = F.ceil(F.col("others") / BLOCK).cast("int")
+    rows = rows.where("others > 1").join(own, "id")
+    place, every = F.pmod(F.hash("id"), bins), F.explode(F.sequence(zero, bins - 1))
+    everyone = rows.select("key", "id", "component", "n", "sketch", place.alias("c"), every.alias("r"), F.lit(False).alias("minor"))
+    minors = rows.select("key", "id", "component", "n", "sketch", every.alias("c"), place.alias("r"), F.lit(True).alias("minor"))
 
     def compare(table: pa.Table) -> pa.Table:
         minor = table.column("minor").to_numpy(zero_copy_only=False)
@@ -196,7 +209,10 @@ def _leftover(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: f
                 out += [(min(i, int(ids[j])), max(i, int(ids[j]))) for _, j in good[:most]]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return everyone.unionAll(minors).groupBy("key", "c", "r").applyInArrow(compare, "a long, b long").distinct()
+    tasks = [x.select("key", *names).withColumn("kind", F.lit(k)) for k, x in enumerate((members, guests, everyone, minors))]
+    tasks[1], tasks[3] = tasks[1].withColumn("kind", F.lit(0)), tasks[3].withColumn("kind", F.lit(2))
+    both = tasks[0].unionByName(tasks[1]).unionByName(tasks[2]).unionByName(tasks[3])
+    return both.groupBy("kind", "key", "c", "r").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, slack: float = 0.25) -> DataFrame:
