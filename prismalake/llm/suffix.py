@@ -13,7 +13,7 @@ their common prefixes tell for all anchors at once.
 Hot anchors: counts are added up before the shuffle and joins on them may be split by Spark. An anchor in more than
 ``hot`` different surroundings is not sorted in one task: its windows are counted as rows.
 
-Memory: a task holds one piece of texts (8 MB or one longer text) or the surroundings of ``held`` anchors.
+Memory: a task holds one piece of texts (2 MB or one longer text) or the surroundings of ``held`` anchors.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are repeats of one
 another; a null id is an id of its own; an empty input gives an empty result; other columns are ignored.
