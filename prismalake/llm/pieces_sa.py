@@ -77,6 +77,7 @@ class PieceCoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.control = {i for i in range(len(model)) if model.is_control(i)}
         self.id_of = {self.names[i]: i for i in plain}
+        self.side_by_side = {name[i : i + 2] for name in self.id_of for i in range(len(name) - 1)}
         self.score = np.array([model.get_score(i) for i in range(len(model))])
         self.longest = max(map(len, self.id_of), default=1)
         self.least = float(self.score[plain].min()) - 10 if plain else 0.0
@@ -276,18 +277,25 @@ class PieceCoder:
 
     def looked_up(self, units: list[str]) -> list[bytes]:
         """Ids of each of the distinct units as bytes, from those remembered or newly encoded."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > self.held:
-            self.known, new = {}, units
-        for i in range(0, len(new), 100_000):
-            some = new[i : i + 100_000]
-            flat_ids = self.encode_units(some)
-            self.known.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(some, flat_ids))
-        out = [self.known[u] for u in units]
-        if len(self.known) > self.held:  # a single batch with more units than are kept
+        if len(self.known) > self.held:
             self.known = {}
+        known = self.known
+        new = [u for u in units if u not in known]
+        cut = [self.parts(u) for u in new]
+        small = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in known]
+        for i in range(0, len(small), 100_000):
+            some = small[i : i + 100_000]
+            known.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(some, self.encode_units(some)))
+        known.update((u, b"".join([known[p] for p in c])) for u, c in zip(new, cut) if len(c) > 1)
+        out = [self.known[u] for u in units]
         return out
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut wherever no piece holds the two characters side by side: no join can cross such a place."""
+        held = self.side_by_side
+        at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in held]
+        return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)])] if at else [unit]
+
     def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another and the number of each row's; null is empty."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
