@@ -31,6 +31,7 @@ from .common import U64, Powers, flat, lower_ascii, mix64, pieces, spread, utf8,
 from .components import components
 
 SKETCH, RUN, SHORT, BLOCK, SPARE, NEAR = 64, 4, 8, 512, 3, 5
+TEXTS = 1 << 19  # bytes of text whose shingles a task holds at once; one longer text stays whole
 _symbols = spread(5)
 _powers = Powers(0x9E3779B97F4A7C15)
 
@@ -76,7 +77,7 @@ def sketches(docs: DataFrame, words: int = 3, k: int = SKETCH) -> DataFrame:
     """(doc_id, n, f1, f2, sketch): set size, 128-bit fingerprint of the set, its k smallest values."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TEXTS):
             sets = _sets(*shingles(batch.column("text"), words))
             marks = np.array([[mix64(s).sum(dtype=U64), mix64(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64)] for s in sets], U64).reshape(-1, 2)
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(marks[:, 0]), _signed(marks[:, 1]), pa.array([s[:k].tobytes() for s in sets], pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
@@ -172,14 +173,17 @@ def _leftover(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: f
     own = sets.select("id", "n", "sketch")
     names = ["id", "component", "n", "sketch", "c", "r", "minor"]
     zero = F.lit(0)
-    # Against the main component: its members in blocks, each outsider to every block.
+    # Against the main component: its members in blocks, each outsider to every block; many outsiders go in shares.
     sizes = found.join(rows.select(F.col("main").alias("component")).distinct(), "component").groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = found.join(sizes, "component").join(own, "id").select(F.col("component").alias("key"), "id", "component", "n", "sketch", F.pmod(F.hash("id"), blocks).alias("c"), zero.alias("r"), F.lit(False).alias("minor"))
+    members = found.join(sizes, "component").join(own, "id").select(F.col("component").alias("key"), "id", "component", "n", "sketch", F.pmod(F.hash("id"), blocks).alias("c"), F.lit(False).alias("minor"))
     single = rows.join(sizes.select(F.col("component").alias("main")), "main", "left_anti").select("main").distinct()  # a component of one
-    members = members.unionByName(single.join(own, F.col("main") == F.col("id")).select(F.col("main").alias("key"), "id", F.col("id").alias("component"), "n", "sketch", zero.alias("c"), zero.alias("r"), F.lit(False).alias("minor")))
-    guests = rows.select("id", "component", "main").distinct().join(sizes.select(F.col("component").alias("main"), "size"), "main", "left").join(own, "id")
-    guests = guests.select(F.col("main").alias("key"), "id", "component", "n", "sketch", F.explode(F.sequence(zero, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int") - 1)).alias("c"), zero.alias("r"), F.lit(True).alias("minor"))
+    members = members.unionByName(single.join(own, F.col("main") == F.col("id")).select(F.col("main").alias("key"), "id", F.col("id").alias("component"), "n", "sketch", zero.alias("c"), F.lit(False).alias("minor")))
+    guests = rows.select("id", "component", "main").distinct()
+    shares = guests.groupBy("main").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("shares"))
+    members = members.join(shares, members["key"] == shares["main"]).withColumn("r", F.explode(F.sequence(zero, F.col("shares") - 1))).drop("main", "shares")
+    guests = guests.join(shares, "main").join(sizes.select(F.col("component").alias("main"), "size"), "main", "left").join(own, "id")
+    guests = guests.select(F.col("main").alias("key"), "id", "component", "n", "sketch", F.explode(F.sequence(zero, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int") - 1)).alias("c"), F.pmod(F.hash("id"), F.col("shares")).alias("r"), F.lit(True).alias("minor"))
     # Against each other, list by list.
     bins = F.ceil(F.col("others") / BLOCK).cast("int")
     rows = rows.where("others > 1").join(own, "id")
@@ -270,7 +274,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, hashes) of the documents named."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TEXTS):
             yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in _sets(*shingles(batch.column("text"), words))], pa.binary())], ["id", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
