@@ -10,6 +10,9 @@ a blind trie for each group that still agrees). A window that begins ``l`` bytes
 another suffix agrees for ``reach - l`` bytes to the right and for ``l`` bytes to the left, which the two orders and
 their common prefixes tell for all anchors at once.
 
+The same machinery takes words as its units: every word is one 64-bit hash (blanks between words do not count), windows
+are of so many words, and an anchor is a string of ``WORD_GRAM`` words. Spans are then word numbers.
+
 Hot anchors: counts are added up before the shuffle and joins on them may be split by Spark. An anchor in more than
 ``hot`` different surroundings is not sorted in one task: its windows are counted as rows.
 
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, mix64, pieces, spread, utf8, written
+from .common import U64, Powers, flat, mix64, pieces, spread, utf8, word_bounds, written
 
 GRAM, SHALLOW, HOT, HELD = 128, 4, 20_000, 30_000
+PASSAGE, WORD_GRAM = 51, 16  # words of the shortest passage that the pipeline's stage takes out, and of an anchor's string
 _symbols = spread(11)
 _powers = Powers(0xD1342543DE82EF95)
 
@@ -49,14 +53,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Positions of the anchors in ``data`` (rows at ``offsets``), their rows, and hashes of anchor and surroundings."""
-    n = len(data)
+def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and where each row's begin (and the end)."""
+    data, offsets = flat(utf8(texts))
+    starts, ends, first = word_bounds(data, offsets)
+    up, down = _powers.to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_symbols[data] * up[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)), first
+
+
+def anchors(values: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Positions of the anchors in ``values`` (one for each byte or word; rows at ``offsets``), their rows, and hashes of
+    anchor and surroundings."""
+    n = len(values)
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
     up, down = _powers.to(n + 1)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_symbols[data] * up[:n], out=sums[1:])
+    np.cumsum(values * up[:n], out=sums[1:])
     h = (sums[gram:] - sums[: n - gram + 1]) * down[: n - gram + 1]
     h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(29)
@@ -71,7 +86,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
     at = (least[np.cumsum(inside)[: len(least)] > 0] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     row = np.searchsorted(offsets, at, "right") - 1
-    # Rows without bytes share an offset with the next one; the last of them is the row that has the byte.
+    # Rows without units share an offset with the next one; the last of them is the row that has the unit.
     a = np.maximum(at - (length - gram), offsets[row])
     b = np.minimum(at + length, offsets[row + 1])
     key = mix64(h[at])
@@ -83,13 +98,17 @@ def mix_low(h: np.ndarray) -> np.ndarray:
     return h * U64(0x94D049BB133111EB)
 
 
-def find_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(key, around, doc_id, rid, pos) of ``docs(doc_id, rid, text)``."""
+def find_anchors(docs: DataFrame, length: int, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """(key, around, doc_id, rid, pos) of ``docs(doc_id, rid, text)``; ``length``, ``gram`` and ``pos`` in words or bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            data, offsets = flat(utf8(batch.column("text")))
-            at, row, key, around = anchors(data, offsets, length)
+            if words:
+                values, offsets = word_values(batch.column("text"))
+            else:
+                data, offsets = flat(utf8(batch.column("text")))
+                values = _symbols[data]
+            at, row, key, around = anchors(values, offsets, length, gram)
             take = pa.array(row)
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array((at - offsets[row]).astype(np.int64))], ["key", "around", "doc_id", "rid", "pos"])
 
@@ -205,11 +224,12 @@ def deep_shallow(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray, shall
     return order, common
 
 
-def extents(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the fewest and most bytes before it at which a repeated window begins (-1: none)."""
-    n, reach = left.shape
+def extents(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, group: np.ndarray, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the fewest and most units (of ``unit`` bytes) before it at which a repeated window begins (-1: none)."""
+    n, reach = left.shape[0], left.shape[1] // unit
     ro, rc = deep_shallow(right, n_right, group)
     lo, lc = deep_shallow(left, n_left, group)
+    rc, lc = rc // unit, lc // unit
     fewest, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     of_right, of_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for before in range(reach + 1):
@@ -236,9 +256,10 @@ def _matrix(strings: list[bytes], reach: int, back: bool) -> tuple[np.ndarray, n
     return out, sizes
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, rid, pos, left, right) for ``wanted(key, doc_id, rid, pos)``: bytes before and after the anchors."""
-    reach = length - GRAM
+def _surroundings(docs: DataFrame, wanted: DataFrame, length: int, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """(key, doc_id, rid, pos, left, right) for ``wanted(key, doc_id, rid, pos)``: bytes, or hashes of the words, before and
+    after the anchors."""
+    reach, unit = length - gram, 8 if words else 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", "rid", "pos", "left", "right"]
@@ -246,7 +267,8 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             rows: list[tuple] = []
             for doc, rid, blob, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "blob", "at"))):
                 text = unpacked(blob)
-                rows += [(x["key"], doc, rid, x["pos"], text[max(0, x["pos"] - reach) : x["pos"]], text[x["pos"] + GRAM : x["pos"] + length]) for x in at]
+                text = word_values(pa.array([text], pa.binary()))[0].tobytes() if words else text
+                rows += [(x["key"], doc, rid, x["pos"], text[unit * max(0, x["pos"] - reach) : unit * x["pos"]], text[unit * (x["pos"] + gram) : unit * (x["pos"] + length)]) for x in at]
             for i in range(0, len(rows), 10_000):
                 some = list(zip(*rows[i : i + 10_000]))
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(some, [pa.int64()] * 4 + [pa.binary()] * 2)], names)
@@ -275,15 +297,15 @@ def unpacked(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob) if blob else b""
 
 
-def _sorted_spans(around: DataFrame, length: int) -> DataFrame:
+def _sorted_spans(around: DataFrame, length: int, gram: int = GRAM, unit: int = 1) -> DataFrame:
     """(doc_id, rid, start, stop) of repeated windows at anchors, by sorting; whole keys in a task."""
-    reach = length - GRAM
+    reach = (length - gram) * unit
 
     def judge(rows: pa.Table) -> pa.RecordBatch:
         group = np.unique(rows.column("key").to_numpy(), return_inverse=True)[1]
         left, n_left = _matrix(rows.column("left").to_pylist(), reach, True)
         right, n_right = _matrix(rows.column("right").to_pylist(), reach, False)
-        fewest, most = extents(left[:, :reach] if reach % 8 == 0 else left, n_left, right[:, :reach] if reach % 8 == 0 else right, n_right, group)
+        fewest, most = extents(left[:, :reach] if reach % 8 == 0 else left, n_left, right[:, :reach] if reach % 8 == 0 else right, n_right, group, unit)
         hit = pa.array(np.flatnonzero(most >= 0))
         found, pos = rows.take(hit), rows.column("pos").to_numpy()
         at = hit.to_numpy()
@@ -313,16 +335,16 @@ def _sorted_spans(around: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, rid long, start long, stop long")
 
 
-def _counted_spans(around: DataFrame, length: int) -> DataFrame:
+def _counted_spans(around: DataFrame, length: int, gram: int = GRAM, unit: int = 1) -> DataFrame:
     """The same for hot anchors: windows as rows, counted by Spark."""
-    reach = length - GRAM
+    reach = length - gram
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, doc, rid, pos, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "rid", "pos", "left", "right"))):
                 # The anchor's own bytes are the same for a key; windows differ in what is around it.
-                own = [x for x in range(max(0, reach - len(right)), min(reach, len(left)) + 1)]
-                marks = np.array([np.frombuffer(hashlib.blake2b(left[len(left) - x :] + right[: reach - x], digest_size=16).digest(), "<i8") for x in own], np.int64).reshape(-1, 2)
+                own = [x for x in range(max(0, reach - len(right) // unit), min(reach, len(left) // unit) + 1)]
+                marks = np.array([np.frombuffer(hashlib.blake2b(left[len(left) - unit * x :] + right[: unit * (reach - x)], digest_size=16).digest(), "<i8") for x in own], np.int64).reshape(-1, 2)
                 n = len(own)
                 yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([rid] * n, pa.int64()), pa.array([pos] * n, pa.int64()), pa.array(own, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1])], ["key", "doc_id", "rid", "pos", "before", "w1", "w2"])
 
@@ -333,32 +355,37 @@ def _counted_spans(around: DataFrame, length: int) -> DataFrame:
     return by.select("doc_id", "rid", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") + length - F.col("fewest")).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, rid, start, stop), overlapping, of ``docs(doc_id, rid, text)``; covers every repeated byte."""
-    found = written(find_anchors(docs, length), "anchors")
+def repeated_spans(docs: DataFrame, length: int, hot: int = HOT, words: bool = False) -> DataFrame:
+    """(doc_id, rid, start, stop), overlapping, of ``docs(doc_id, rid, text)``; covers every repeated byte (or word)."""
+    gram, unit = (min(WORD_GRAM, length), 8) if words else (GRAM, 1)
+    found = written(find_anchors(docs, length, gram, words), "anchors")
     kinds = found.groupBy("key", "around").agg(F.count("*").alias("n"))
     by_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("key", "kinds")
     met = written(found.join(kinds.join(by_key, "key"), ["key", "around"]), "met")
-    reach = length - GRAM
+    reach = length - gram
     whole = met.where("n > 1").select("doc_id", "rid", (F.col("pos") - reach).alias("start"), (F.col("pos") + length).alias("stop"))
     mixed = met.where("kinds > 1")
     one = mixed.where("n > 1").groupBy("key", "around").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("x"), F.first("kinds").alias("kinds")).select("key", "x.doc_id", "x.rid", "x.pos", "kinds")
     wanted = mixed.where("n = 1").select("key", "doc_id", "rid", "pos", "kinds").unionByName(one)
-    spans = whole.unionByName(_sorted_spans(_surroundings(docs, wanted.where(F.col("kinds") <= hot), length), length))
+    spans = whole.unionByName(_sorted_spans(_surroundings(docs, wanted.where(F.col("kinds") <= hot), length, gram, words), length, gram, unit))
     hot_ones = wanted.where(F.col("kinds") > hot)
     if not hot_ones.isEmpty():
-        spans = spans.unionByName(_counted_spans(written(_surroundings(docs, hot_ones, length), "hot"), length))
+        spans = spans.unionByName(_counted_spans(written(_surroundings(docs, hot_ones, length, gram, words), "hot"), length, gram, unit))
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, whole_characters: bool = False, words: int | None = None) -> DataFrame:
     """(doc_id, rid, n_bytes, n_removed, n_spans, kept): each row of ``docs(doc_id, text)`` without its repeated bytes.
 
+    ``words``: besides, each run of so many words that also starts elsewhere goes, however few bytes it has.
     ``whole_characters``: a character of which some bytes are repeated and some not is kept as a whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows, length, hot).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(rows, length, hot).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeated_spans(rows, words, hot, words=True).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "stop", "words")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "blob", 2 << 20):
@@ -369,11 +396,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, whole_cha
                     out.append((len(text), 0, 0, text))
                     continue
                 gone = np.zeros(len(text) + 2, np.int32)
+                data = np.frombuffer(text, np.uint8)
+                begin, end = word_bounds(data, np.array([0, len(data)]))[:2] if any(x["words"] for x in own) else ((), ())
                 for x in own:
-                    gone[max(0, x["start"]) + 1] += 1
-                    gone[min(len(text), x["stop"]) + 1] -= 1
+                    a, b = max(0, x["start"]), x["stop"]
+                    if x["words"]:
+                        a, b = int(begin[a]), int(end[min(len(end), b) - 1])
+                    gone[a + 1] += 1
+                    gone[min(len(text), b) + 1] -= 1
                 gone = np.cumsum(gone) > 0  # gone[i + 1]: byte i goes
-                data = np.frombuffer(text, np.uint8)
                 if whole_characters:
                     first = np.flatnonzero((data & 0xC0) != 0x80)
                     if len(first):
@@ -393,8 +424,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: passages that repeat go from the texts; documents of which nothing is left go. Same columns."""
-    cut = remove_repeats(docs, whole_characters=True).where("n_removed > 0")
+    """Pipeline stage: passages that repeat go from the texts; documents of which nothing is left go. Same columns.
+
+    A passage is a string of 400 bytes or more, or a run of ``PASSAGE`` words or more."""
+    cut = remove_repeats(docs, whole_characters=True, words=PASSAGE).where("n_removed > 0")
     cut = cut.groupBy("doc_id", "rid").agg(F.first("kept").alias("kept"))  # repeated rows are cut alike
     cut = cut.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("kept").cast("string").alias("__kept"))
     rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))

@@ -59,6 +59,30 @@ def test_repeats_equal_brute_force(spark, docs, texts, hot):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_stage_removes_passages_of_51_short_words(spark, hot):
+    r = random.Random(11)
+    short = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4))) for _ in range(n)) for n in (51, 51, 50, 70)]
+    rare = ["日本語" * 50]  # one word of 450 bytes
+    texts = [f"{words(r, 30)}{gap}{p} {mark}{words(r, 30)}" for p in short + rare for gap, mark in ((" ", "A"), ("\n", "B"), (" \t", "C"))]
+    texts += [f"{short[3][:90]} {words(r, 5)} {short[3][-90:]}", short[0], words(r, 200), "", None, "a " * 200]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    split = [(t or "").split() for t in texts]
+    seen = collections.Counter(tuple(s[i : i + 51]) for s in split for i in range(len(s) - 50))
+    want = {}
+    for n, s in enumerate(split):
+        gone = [False] * len(s)
+        for i in range(len(s) - 50):
+            if seen[tuple(s[i : i + 51])] > 1:
+                gone[i : i + 51] = [True] * 51
+        want[n] = [w for w, g in zip(s, gone) if not g and w not in rare]
+    got = {x.doc_id: x.kept.decode().split() for x in suffix.remove_repeats(df, hot=hot, whole_characters=True, words=51).collect()}
+    assert got == want
+    stage = {x.doc_id: x.text for x in suffix.drop_repeats(spark, df).collect()}
+    assert 16 not in stage and all(stage[n].split() == w for n, w in want.items() if n in stage and stage[n])
+    assert all(p not in t for t in stage.values() if t for p in (short[0], short[1], short[3], *rare)) and short[2] in stage[6]
+
+
 def test_deep_shallow_sort():
     r = np.random.default_rng(3)
     rows = r.integers(0, 2, (200, 64)).astype(np.uint8)
