@@ -2,8 +2,10 @@
 
 A document's set is its distinct word shingles, hashed to 64 bits by one function; the sketch keeps the k smallest
 values. Documents with the same set are one vertex from the start. Inverted lists are kept for runs of ``RUN``
-neighbouring retained values: with similarity 0.85 and k = 64, two sketches share no run with a chance below 1e-8 (and
-always share one when the sets have at most k values). Lists up to ``SHORT`` long give all their pairs. In its ``NEAR``
+neighbouring retained values: with similarity 0.85 and k = 64, two sketches share no run with a chance below 1e-8. In
+small sets one other value can break every run, so sets of up to ``small_sets`` values have lists for single values too:
+the smallest ``n - ceil(p n) + 1`` of n, of which two sets of similarity p always share one. Similar sets of at most k
+values, small or not, always share a list. Lists up to ``SHORT`` long give all their pairs. In its ``NEAR``
 longest lists every document is paired with the list's first one and the one before it; after these links are joined
 up, the documents of long lists that are not in the list's largest component are compared with all others in blocks,
 and only pairs that pass the estimate leave a block. Each document's best candidate is verified first; of the others
@@ -85,13 +87,29 @@ def sketches(docs: DataFrame, words: int = 3, k: int = SKETCH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, f1 long, f2 long, sketch binary")
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    """(key, id): hashes of the runs of RUN neighbouring retained values, for sets that can be similar to others."""
+def small_sets(percent: int) -> int:
+    """The largest set that can be similar to another and share no run of RUN values with it (at most SKETCH).
+
+    ``d`` other values cut the ``s`` shared ones into ``d + 1`` parts; no run is left only if ``s <= (RUN - 1)(d + 1)``,
+    and similar sets have ``d <= s (100 - percent) / percent``."""
+    gain = percent - (RUN - 1) * (100 - percent)
+    shared = (RUN - 1) * percent // gain if gain > 0 else SKETCH
+    return min(SKETCH, shared * 100 // percent)
+
+
+def _keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): hashes of the runs of RUN neighbouring retained values, for sets that can be similar to others, and of
+    single values of small sets."""
+    small = small_sets(percent)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("sketch"))
             v = data.view(U64)
+            n = np.diff(offsets) // 8
+            single = np.repeat(np.where(n <= small, n + (-percent * n // 100) + 1, 0), n)
+            first = np.arange(len(v)) - np.repeat(offsets[:-1] // 8, n) < single
+            yield pa.record_batch([_signed(mix64(v[first] ^ U64(0xD6E8FEB86659FD93))), pa.array(np.repeat(batch.column("id").to_numpy(), n)[first])], ["key", "id"])
             m = len(v) - RUN + 1
             if m <= 0:
                 continue
@@ -229,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, slack: f
     sets = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("id is not null")
     sets = written(sets, "sets")
     smallest = -(-percent // (100 - percent))  # smaller sets are similar only to equal ones
-    keys = _keys(sets.where(F.col("n") >= smallest))
+    keys = _keys(sets.where(F.col("n") >= smallest), percent)
     counts = keys.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
     lists = keys.join(counts, "key")
     # A document's most frequent keys are left out: SPARE of its keys, where it has a full sketch.

@@ -221,6 +221,41 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want
 
 
+def similar_groups(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)})
+    by = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    root = list(range(len(sets)))
+    for i, j in sorted({(i, j) for own in by.values() for i in own for j in own if i < j}):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            x, y = root[i], root[j]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80), (3, 70)])
+def test_near_duplicates_of_short_texts(spark, n, percent):
+    r = random.Random(23)
+    texts = []
+    for size in range(7, 21):
+        for _ in range(60 if size == 8 else 12):
+            t = words(r, size)
+            texts += [t, f"{t} {words(r, 1)}"] + ([f"{words(r, 1)} {t} {words(r, 1)}"] if size % 2 else [])
+    common = words(r, 6)  # its shingles are in lists longer than SHORT
+    for _ in range(30):
+        t = f"{common} {words(r, 4)}"
+        texts += [t, f"{t} {words(r, 1)}", f"{words(r, 1)} {t}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df, words=n, percent=percent).collect()}
+    want = similar_groups(texts, n, percent)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(want)
+
+
 def test_language_held_out(spark):
     r = random.Random(3)
     make = {"xx": "abcde", "yy": "cdefg"}
