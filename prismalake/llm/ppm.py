@@ -18,8 +18,8 @@ Spark cuts the documents into blocks of about ``BLOCK`` bytes. A block gives its
 counts and a compressed table of (document, token, count). Tokens are counted over the corpus, spelled once each, and
 joined back to the blocks that hold them; what is shuffled grows with the corpus and nothing of it reaches the driver.
 Only the trie is broadcast: exact contexts of up to two bytes and, for the third and fourth, ``2**SPLIT`` classes of a
-byte each, so it has at most ``257 * 257 * 2**16 * (1 + 2**SPLIT)`` counts whatever the corpus; ``max_trie`` is checked
-and a larger trie gives up its longest contexts (of all texts alike).
+byte each. All orders are kept at every size: a trie of more than ``max_trie`` counts is dealt into shares by the last
+two bytes of the context, and the words are spelled share by share, each symbol by the share that has its contexts.
 
 Defined results: null text is the empty text (its only token is the end); without training documents the counts are 0
 and the base score takes its formula with N = 0; repeated rows are scored each; a null id counts as the empty text in
@@ -28,10 +28,11 @@ the share; an empty input gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,10 +129,12 @@ def contexts(words: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Trie:
-    """Counts of symbols by context, sorted by ``context * SYMBOLS + symbol``."""
+    """Counts of symbols by context, sorted by ``context * SYMBOLS + symbol``.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, orders: int):
-        self.orders = orders
+    ``share``: of contexts of two bytes and more, only those of this share of ``shares`` are there."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, orders: int, share: int = 0, shares: int = 1):
+        self.orders, self.share, self.shares = orders, share, shares
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order].astype(np.int64)
         of = self.keys // SYMBOLS
@@ -153,10 +156,13 @@ class Trie:
         return np.where(self.keys[i] == keys, self.counts[i], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
     def spelled(self, words: pa.Array) -> np.ndarray:
-        """Natural logarithm of the probability of each word."""
+        """Natural logarithm of the probability of each word; of a share: its summand."""
         symbols, owner, ctx = contexts(words, self.orders)
         cost = np.zeros(len(symbols))
-        open_, excluded = np.arange(len(symbols)), np.full(len(symbols), -1)
+        open_ = np.arange(len(symbols))
+        if self.shares > 1:  # symbols with a shorter context belong to the first share
+            open_ = np.flatnonzero(np.where(ctx[2] < 0, 0, ((ctx[2] - FIRST[2]) * 40503 >> 3) % self.shares) == self.share)
+        excluded = np.full(len(open_), -1)
         for k in range(self.orders, -1, -1):
             node = ctx[k, open_]
             i = np.minimum(np.searchsorted(self.nodes, node), max(len(self.nodes) - 1, 0))
@@ -180,8 +186,8 @@ class Trie:
         return np.bincount(owner, cost, len(words))
 
 
-def train(types: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Trie:
-    """The trie of ``types(word)``: every distinct token counts once."""
+def train(types: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Iterator[Trie]:
+    """The trie of ``types(word)``, in shares of about ``max_trie`` counts: every distinct token counts once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -195,17 +201,19 @@ def train(types: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Tr
         yield pa.record_batch([pa.array(keys), pa.array(sums)], ["key", "n"])
 
     table = written(types.select("word").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
-    by_order = table.select(F.expr("aggregate(array(%s), 0, (a, x) -> a + int(key >= x))" % ",".join(str(x * SYMBOLS) + "L" for x in FIRST[1 : orders + 1])).alias("k")).groupBy("k").count().collect()
-    sizes = {r[0]: r[1] for r in by_order}
-    while orders > 2 and sum(sizes.get(k, 0) for k in range(orders + 1)) > max_trie:
-        orders -= 1
-    own = table.where(F.col("key") < FIRST[orders + 1] * SYMBOLS) if orders < ORDERS else table
-    got = own.toArrow()
-    return Trie(got.column("key").to_numpy(), got.column("n").to_numpy(), orders)
+    shares = max(1, -(-table.count() // max_trie))
+    context = f"(key div {SYMBOLS})"
+    two = f"case when {context} < {FIRST[3]} then {context} - {FIRST[2]} when {context} < {FIRST[4]} then shiftright({context} - {FIRST[3]}, {SPLIT}) else shiftright({context} - {FIRST[4]}, {2 * SPLIT}) end"
+    for share in range(shares):
+        own = table if shares == 1 else table.where(f"{context} < {FIRST[2]} or shiftright(({two}) * 40503, 3) % {shares} = {share}")
+        got = own.toArrow()
+        yield Trie(got.column("key").to_numpy(), got.column("n").to_numpy(), orders, share, shares)
+
 
+def score(docs: DataFrame, history: float = 1000.0, max_trie: int = 1 << 24) -> DataFrame:
+    """Scores of ``docs(doc_id, text, held_out, label)``; the model learns from the rows that are not held out.
 
-def score(docs: DataFrame, history: float = 1000.0) -> DataFrame:
-    """Scores of ``docs(doc_id, text, held_out, label)``; the model learns from the rows that are not held out."""
+    ``max_trie``: counts of the trie that a broadcast holds; the scores do not depend on it."""
     spark = docs.sparkSession
     kind = F.crc32(F.coalesce(F.col("label").cast("string"), F.lit("")).cast("binary")) % CLASSES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), kind.cast("int").alias("class"), F.col("text").cast("string").alias("text"))
@@ -220,17 +228,25 @@ def score(docs: DataFrame, history: float = 1000.0) -> DataFrame:
     c_end = int(ends.sum())
     sizes, distinct = np.array(sums[:CLASSES]) + ends, np.array(sums[CLASSES:-1]) + (ends > 0)
     total, kinds = int(sizes.sum()), int(sums[-1]) + (c_end > 0)
-    trie = train(vocabulary.where(c > 0))
-    shared = spark.sparkContext.broadcast(trie)
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([*batch.columns, pa.array(shared.value.spelled(batch.column("word")))], [*batch.schema.names, "spelled"])
 
-    spelled = vocabulary.mapInArrow(spell, vocabulary.withColumn("spelled", F.lit(0.0)).schema)
+    def spelling(shared) -> Callable:
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    sums = pc.add(batch.column("spelled"), pa.array(shared.value.spelled(batch.column("word"))))
+                    yield batch.set_column(batch.schema.get_field_index("spelled"), "spelled", sums)
+
+        return spell
+
+    spelled, spelled_end = vocabulary.withColumn("spelled", F.lit(0.0)), np.zeros(1)
+    for trie in train(vocabulary.where(c > 0), max_trie=max_trie):
+        shared = spark.sparkContext.broadcast(trie)
+        spelled = spelled.mapInArrow(spelling(shared), spelled.schema)
+        spelled_end = spelled_end + trie.spelled(pa.array([b""], pa.binary()))
+        if trie.shares > 1:  # one share at a time is held
+            spelled = written(spelled, "spelled")
+            shared.destroy()
     known = tokens.select("block", "word", "at").join(spelled, "word").select(F.col("block").alias("of"), "at", *names, "spelled")
-    spelled_end = trie.spelled(pa.array([b""], pa.binary()))
 
     def prior(n: np.ndarray, spelled: np.ndarray) -> list[tuple[float, np.ndarray]]:
         """(share, probabilities) by class; without training texts the spelling alone."""

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismalake.llm import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix
@@ -175,6 +176,18 @@ def test_ppm_spelling_is_a_distribution():
     assert np.allclose(ppm.log_gamma(np.array([0.5, 1.0, 5.0])), [0.5723649429247001, 0.0, 3.1780538303479458], atol=1e-9)
 
 
+def test_ppm_scores_do_not_depend_on_the_size_of_a_share(spark, docs):
+    rows = docs.selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out", "lang as label")
+    types = spark.createDataFrame([(w.encode(),) for w in words(random.Random(2), 300).split()], "word binary").distinct()
+    tries = list(ppm.train(types, max_trie=500))
+    assert len(tries) > 2 and all(t.orders == ppm.ORDERS for t in tries)
+    some = [b"", b"a", b"abc", b"\xc3\xa9lan", b"unseen"]
+    whole = next(iter(ppm.train(types))).spelled(pa.array(some, pa.binary()))
+    assert np.allclose(sum(t.spelled(pa.array(some, pa.binary())) for t in tries), whole, atol=1e-9)
+    one, many = ({x.doc_id: x.score for x in ppm.score(rows, max_trie=m).collect()} for m in (1 << 24, 2_000))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)
+
+
 def linked(vectors, labels, least=0.98):
     n = len(vectors)
     good = [v is not None and None not in v and np.isfinite(v).all() and any(v) and labels[i] is not None for i, v in enumerate(vectors)]
