@@ -1,7 +1,7 @@
 """Chat formatting with tool calls: link, order, validate and serialise, in DataFrame operations only.
 
-Calls and results meet in a hash join on their identifier, calls that name other calls are put in topological order
-round by round, arguments are checked field by field against a table of schemas, and every message becomes one line of
+Calls and results meet in a hash join on conversation and identifier, calls that name other calls are put in topological
+order by pointer doubling (a chain of n calls takes log n rounds), arguments are checked field by field against a table of schemas, and every message becomes one line of
 canonical JSON (keys sorted at every depth, no blanks). Nothing is gathered by conversation: a message is a row, and
 ``(depth, turn)`` is its place, so one conversation may hold any share of all rows.
 
@@ -15,7 +15,8 @@ Tables:
 Defined results: arguments that are null, no JSON, no object or hold a key twice -> status ``bad_json``; a call of an
 unknown tool -> ``unknown_tool``; a missing, superfluous or ill-typed field -> ``bad_arguments``; calls without answer
 -> ``linked`` false; results without call -> ``linked`` false; names in ``after`` that no call bears are ignored;
-calls in or behind a cycle get depth -1; a null text is JSON null; identifiers that occur twice are each linked;
+calls in or behind a cycle get depth -1; a null text is JSON null; identifiers hold within
+their conversation (rows with a null conv_id form one), and calls or results that share one are each linked;
 rows with a null call_id are plain messages; an empty input gives an empty result; other columns are ignored.
 """
 
@@ -53,24 +54,27 @@ def _kind(value) -> F.Column:
 
 
 def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth) of ``calls(id)``: 0 without predecessors, else one more than the deepest; -1 behind a cycle.
+    """(id, depth) of ``calls(id)``: 0 without predecessors, else one more than the deepest; -1 in or behind a cycle.
 
-    ``edges(id, before)`` name calls only. One round for each depth, each written to the shared folder.
+    ``edges(id, before)`` name calls only. A row ``(id, before, w, base)`` says: the depth is at least ``base`` and at least
+    that of ``before`` plus ``w``. In a round, an edge to a call of known depth becomes a bound, and one to a call with a
+    single edge left jumps over it, so a chain of n calls takes log n rounds; other calls wait for their last edge.
+    Each round is written, so no plan holds more than one. No edge gone in a round: what is left depends on a cycle.
     """
-    calls = calls.distinct()
-    edges = written(edges.distinct(), "edges")
-    level = calls.join(edges.select("id"), "id", "left_anti")
-    found = level.withColumn("depth", F.lit(0))
-    depth = 0
-    while not edges.isEmpty():
-        depth += 1
-        left = written(edges.join(level.select(F.col("id").alias("before")), "before", "left_anti").select("id", "before"), "edges")
-        level = written(edges.select("id").distinct().join(left.select("id"), "id", "left_anti"), "level")
-        if level.isEmpty():
-            return found.unionByName(left.select("id").distinct().withColumn("depth", F.lit(-1)))
-        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-        edges = left
-    return found
+    far = F.lit(1 << 40)  # bounds of a cycle do not overflow
+    state = calls.distinct().join(edges.distinct(), "id", "left").select("id", "before", F.when(F.col("before").isNotNull(), 1).cast("long").alias("w"), F.lit(0).cast("long").alias("base"))
+    state, left = written(state, "order"), None
+    while True:
+        now = state.where("before is not null").count()
+        info = state.groupBy("id").agg(F.count("before").alias("n"), F.max("base").alias("least"), F.max("before").alias("next"), F.max("w").alias("step"))
+        if now == 0 or now == left:
+            return info.select("id", F.when(F.col("n") == 0, F.col("least")).otherwise(-1).cast("int").alias("depth"))
+        left = now
+        met = state.where("before is not null").join(info.withColumnRenamed("id", "before"), "before")
+        many, bound = F.col("n") > 1, F.least(F.greatest("base", F.col("least") + F.col("w")), far)
+        met = met.select("id", F.when(many, F.col("before")).otherwise(F.col("next")).alias("before"), F.when(many, F.col("w")).otherwise(F.least(F.col("w") + F.col("step"), far)).alias("w"), F.when(many, F.col("base")).otherwise(bound).alias("base"))
+        rows = met.unionByName(state.where("before is null"))
+        state = written(rows.groupBy("id", "before").agg(F.max("w").alias("w"), F.max("base").alias("base")), "order")
 
 
 def judged_arguments(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -99,17 +103,19 @@ def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, turn, role, call_id, depth, linked, status, json): one row for each message."""
     rows = messages.select(*[F.col(f"`{c}`") for c in MESSAGE])
     rows = rows.withColumn("row", F.md5(F.to_json(F.struct("name", "arguments"))))
+    within = lambda c: F.to_json(F.struct("conv_id", F.col(c).alias("call_id")))  # noqa: E731  identifiers hold within a conversation
+    rows = rows.withColumn("key", within("call_id"))
     is_call = F.col("call_id").isNotNull() & (F.col("role") == "assistant")
     is_result = F.col("call_id").isNotNull() & (F.col("role") == "tool")
     calls, results = rows.where(is_call), rows.where(is_result)
-    answered = results.select("call_id").distinct().withColumn("met", F.lit(True))
-    named = calls.select("call_id").distinct().withColumn("met", F.lit(True))
+    answered = results.select("key").distinct().withColumn("met", F.lit(True))
+    named = calls.select(F.col("key").alias("id"))
     judged = written(judged_arguments(calls.select("row", "name", "arguments").distinct(), schemas), "judged")
-    wanted = calls.select(F.col("call_id").alias("id"), F.explode(F.from_json(F.get_json_object("arguments", "$.after"), "array<string>")).alias("before"))
-    wanted = wanted.join(named.select(F.col("call_id").alias("before")), "before", "left_semi")
-    order = depths(calls.select(F.col("call_id").alias("id")), wanted.select("id", "before"))
-    calls = calls.join(answered, "call_id", "left").join(judged, "row", "left").join(order.select(F.col("id").alias("call_id"), "depth"), "call_id", "left")
-    results = results.join(named, "call_id", "left").join(order.select(F.col("id").alias("call_id"), "depth"), "call_id", "left")
+    wanted = calls.select(F.col("key").alias("id"), "conv_id", F.explode(F.from_json(F.get_json_object("arguments", "$.after"), "array<string>")).alias("other"))
+    wanted = wanted.where("other is not null").select("id", within("other").alias("before")).join(named.withColumnRenamed("id", "before"), "before", "left_semi")
+    order = written(depths(named, wanted.select("id", "before")), "depths").withColumnRenamed("id", "key")
+    calls = calls.join(answered, "key", "left").join(judged, "row", "left").join(order, "key", "left")
+    results = results.join(order, "key", "left").withColumn("met", F.col("depth").isNotNull())
     line = lambda **x: F.to_json(F.struct(*[v.alias(k) for k, v in sorted(x.items())]), {"ignoreNullFields": "false"})
     text = lambda c: F.coalesce(F.to_json(F.array(c)), F.lit("[null]"))
     quoted = lambda c: F.regexp_replace(text(c), r"^\[|\]$", "")
@@ -131,7 +137,7 @@ def as_messages(conversations: DataFrame) -> DataFrame:
     ``search``), after the call of its conversation two turns before; ``points`` is given from the third turn on. A
     user turn after the first answers the call of the turn before it.
     """
-    ident = lambda d: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - d).cast("string"))
+    ident = lambda d: F.concat(F.lit("call-"), (F.col("turn") - d).cast("string"))
     size = F.length("text")
     points = F.when(F.col("turn") > 2, F.concat(F.lit(',"points":'), size.cast("string"))).otherwise("")
     arguments = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit(', "query": '), F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", ""), points, F.lit(', "after": ["'), ident(2), F.lit('"]}'))
@@ -153,8 +159,8 @@ def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH RECURSIVE base AS (
   SELECT conv_id, turn, text, CASE WHEN role = 'user' AND turn > 0 THEN 'tool' ELSE role END AS role,
-         CASE WHEN role = 'assistant' THEN 'c' || conv_id || '-' || turn
-              WHEN role = 'user' AND turn > 0 THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
+         CASE WHEN role = 'assistant' THEN 'call-' || turn
+              WHEN role = 'user' AND turn > 0 THEN 'call-' || (turn - 1) END AS call_id
   FROM conversations),
 calls AS (
   SELECT *, CASE WHEN length(text) % 3 = 0 THEN 'score' ELSE 'search' END AS name FROM base WHERE role = 'assistant'),
@@ -165,9 +171,9 @@ deep AS (
   SELECT c.conv_id, c.turn, d.depth + 1 FROM deep d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2),
 a AS (
   SELECT c.conv_id, c.turn, c.role, c.call_id, d.depth,
-         EXISTS (SELECT 1 FROM base r WHERE r.role = 'tool' AND r.call_id = c.call_id) AS linked,
+         EXISTS (SELECT 1 FROM base r WHERE r.role = 'tool' AND r.conv_id = c.conv_id AND r.call_id = c.call_id) AS linked,
          CASE WHEN name = 'score' AND c.turn <= 2 OR name = 'search' AND c.turn > 2 THEN 'bad_arguments' ELSE 'ok' END AS status,
-         '{"arguments":{"after":["c' || c.conv_id || '-' || (c.turn - 2) || '"]'
+         '{"arguments":{"after":["call-' || (c.turn - 2) || '"]'
          || CASE WHEN c.turn > 2 THEN ',"points":' || length(text) ELSE '' END
          || ',"query":' || to_json(text)::varchar || ',"turn":' || c.turn || '},"content":null,"id":"' || c.call_id
          || '","name":"' || name || '","role":"assistant"}' AS json

@@ -325,6 +325,37 @@ def test_tool_calls(spark):
     assert chat.format_chat(df.limit(0), chat.tool_schemas(spark)).count() == 0
 
 
+CALL = "conv_id long, turn long, role string, text string, call_id string, name string, arguments string"
+
+
+def test_identifiers_hold_within_a_conversation(spark):
+    make = lambda conv, turn, call, after: (conv, turn, "assistant", None, call, "search", json.dumps({"query": "q", "turn": turn, "after": after}))
+    rows = [make(c, 1, "call_1", []) for c in (1, 2, 3, None)] + [(2, 2, "tool", "x", "call_1", None, None), (None, 2, "tool", "x", "call_1", None, None)]
+    rows += [make(1, 3, "call_2", ["call_1", "call_9"]), make(3, 3, "call_3", ["call_1"]), make(3, 4, "call_1", ["call_3"])]  # a cycle in 3 only
+    rows += [make(2, 5, "call_1", [])] * 2 + [(5, 1, "tool", "x", "call_2", None, None)]
+    df = spark.createDataFrame(rows, CALL).selectExpr("*", "'clash' as key", "1 as row", "2 as depth")
+    got = sorted((str(r.conv_id), r.turn, r.depth, r.linked) for r in chat.format_chat(df, chat.tool_schemas(spark)).collect())
+    assert got == sorted([("1", 1, 0, False), ("1", 3, 1, False), ("2", 1, 0, True), ("2", 2, 0, True), ("2", 5, 0, True), ("2", 5, 0, True), ("3", 1, -1, False), ("3", 3, -1, False), ("3", 4, -1, False), ("None", 1, 0, True), ("None", 2, 0, True), ("5", 1, None, False)])
+
+
+def test_depths_equal_brute_force(spark):
+    r = random.Random(4)
+    edges = [(i, i - 1) for i in range(1, 300)] + [(400 + i, 400 + r.randrange(i)) for i in range(1, 120) for _ in range(r.randint(1, 3))]
+    edges += [(601, 602), (602, 603), (603, 601), (604, 603), (604, 5), (605, 605)]
+    nodes = sorted({x for e in edges for x in e} | {900})
+    before = collections.defaultdict(set)
+    for a, b in edges:
+        before[a].add(b)
+    want: dict = {}
+    while True:
+        new = {n: max((want[b] + 1 for b in before[n]), default=0) for n in nodes if n not in want and all(b in want for b in before[n])}
+        if not new:
+            break
+        want |= new
+    found = chat.depths(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "id long, before long"))
+    assert {x.id: x.depth for x in found.collect()} == {n: want.get(n, -1) for n in nodes}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
