@@ -66,7 +66,7 @@ def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
     state, left = written(state, "order"), None
     while True:
         now = state.where("before is not null").count()
-        info = state.groupBy("id").agg(F.count("before").alias("n"), F.max("base").alias("least"), F.max("before").alias("next"), F.max("w").alias("step"))
+        info = state.groupBy("id").agg(F.count("before").alias("n"), F.max("base").alias("least"), F.max("before").alias("next"), F.max(F.when(F.col("before").isNotNull(), F.col("w"))).alias("step"))
         if now == 0 or now == left:
             return info.select("id", F.when(F.col("n") == 0, F.col("least")).otherwise(-1).cast("int").alias("depth"))
         left = now
