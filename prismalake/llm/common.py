@@ -19,13 +19,16 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in local tests) a folder is made and set as the checkpoint folder.
+    Only where none is named and Spark runs on one machine (as in local tests) a folder is made and set as the checkpoint
+    folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="prismalake-")
         spark.sparkContext.setCheckpointDir(named)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -43,6 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def crc_share(col: str, modulo: int):
     """crc32 of the id written as text, modulo ``modulo``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulo
@@ -133,5 +144,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def field_order(schema) -> list[str]:
-    return [f.name for f in schema.fields]
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it until no column of ``taken`` has it (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_share, mix64, pieces, written
+from .common import U64, crc_share, free_name, mix64, pieces, written
 
 UNKNOWN = "und"
 _fold: np.ndarray | None = None
@@ -134,9 +134,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         buckets, by_lang = len(m.weights), np.ascontiguousarray(m.weights.T)
-        for batch in pieces(batches, "__text", 1 << 20):
+        for batch in pieces(batches, read, 1 << 20):
             n = batch.num_rows
-            hits, rows, known = features(batch.column("__text").to_pylist(), buckets)
+            hits, rows, known = features(batch.column(read).to_pylist(), buckets)
             if m.langs:
                 total = np.empty((n, len(m.langs)))
                 for j in range(len(m.langs)):
@@ -150,11 +150,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
                 known = np.zeros(n, bool)
                 best, chance = np.zeros(n, np.int64), np.zeros(n)
             names = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
-            out = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*out, pa.array(names, pa.string()), pa.array(np.where(known, chance, 0.0))], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.where(known, chance, 0.0))], [*batch.schema.names[: len(keep)], *judged])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    # The text goes through Python once: as one of the kept columns if it is among them.
+    read = text if text in keep and dict(docs.dtypes)[text] == "string" else free_name("text", keep)
+    judged = [free_name("lang_pred", keep), free_name("score", keep)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if read == text and text in keep else [F.col(f"`{text}`").cast("string").alias(read)]))
+    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add(judged[0], "string").add(judged[1], "double")
     return rows.mapInArrow(score, schema)
 
 
@@ -171,8 +173,12 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str | None = None, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: keep the documents with a recognised language; the others go. Columns stay as they are."""
+    """Pipeline stage: keep the documents with a recognised language; the others go. Columns stay as they are, those with
+    clashing names too. Without a single labelled text every document stays."""
     names = docs.columns
     model = fit(docs)
+    if not model.langs:  # nothing to learn from, so nothing to reject by
+        return docs
     judged = predict(docs, model, names)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    pred, score = judged.columns[len(names) :]
+    return judged.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in names])

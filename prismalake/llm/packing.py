@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, path: str, end: int, capacity: int, style: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = tokens.coder(path, style), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             ids, n = tokens.with_end(*coder.encode(batch.column("text")), end)
             k = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), k)

@@ -1,27 +1,27 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct units of a batch (a run of word marks with the letters after it; pieces never cross these) are
-concatenated and indexed by a suffix array that is sorted as deep as the longest piece. Every piece of the vocabulary
-is binary-searched for its range of occurrences; the ranges give edges ``(start, end, score)``, which are sorted by
-position. Relaxation over the edges then finds the segmentation:
+The units of a batch's text (a run of word marks with the letters after it; pieces never cross these), repeated ones
+once, are concatenated and indexed by a suffix array that is sorted as deep as the longest piece. Every piece of the
+vocabulary is binary-searched for its range of occurrences; the ranges give edges ``(start, end, score)``, which are
+sorted by position. Relaxation over the edges then finds the segmentation:
 
 * ``bpe``: in every unit the best-scored edge over two neighbouring segments (the leftmost of equal ones) joins them,
-  until none is left; all units of a batch advance together. This is the order of merges that the model defines.
+  until none is left. This is the order of merges that the model defines. All units of a batch advance together, but
+  for units of more than ``LONG`` characters, whose edges wait in a heap.
 * ``unigram``: the best sum of scores over paths of edges, position by position.
 
 Characters that no piece covers become byte pieces, or the unknown piece where the model has none. Each row is encoded
 by itself, without shuffle; memory is bounded by the batch and by ``held`` remembered units.
 
 Defined results: null and empty text -> no ids, decoded to the empty text; a text with ``NUL`` is handled like any
-other; very long units are merged with a heap; repeated rows are encoded each; an empty input gives an empty result;
-other columns are ignored.
+other; repeated rows are encoded each; an empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
-from .tokens import tokenizer_path
+from .common import flat, free_name, pieces
+from .tokens import gathered, tokenizer_path
 
-MARK, LONG = "▁", 64
+MARK, LONG, TEXTS, UNITS = "▁", 64, 4 << 20, 50_000
+DENSE = 1 << 23  # places of starts and lengths up to which edges are looked up in a dense table
 _loaded: dict[tuple, PieceCoder] = {}
 
 
@@ -46,7 +47,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - width, 0)] = key[width:]
         key, width = (key << (bits * width)) | after, 2 * width
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
@@ -54,7 +55,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - width, 0)] = rank[width:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
@@ -63,7 +64,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class PieceCoder:
-    def __init__(self, path: str, method: str = "bpe", held: int = 800_000):
+    def __init__(self, path: str, method: str = "bpe", held: int = 300_000):
         import sentencepiece
 
         if method not in ("bpe", "unigram"):
@@ -77,7 +78,9 @@ class PieceCoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.control = {i for i in range(len(model)) if model.is_control(i)}
         self.id_of = {self.names[i]: i for i in plain}
-        self.side_by_side = {name[i : i + 2] for name in self.id_of for i in range(len(name) - 1)}
+        side_by_side = {name[i : i + 2] for name in self.id_of for i in range(len(name) - 1)}
+        self.ends = "".join(c for c in ",." if not any(x[1] == c and x[0].isalpha() for x in side_by_side))  # never joined to a letter before
+        self.lines = not any("\n" in name for name in self.id_of)
         self.score = np.array([model.get_score(i) for i in range(len(model))])
         self.longest = max(map(len, self.id_of), default=1)
         self.least = float(self.score[plain].min()) - 10 if plain else 0.0
@@ -142,45 +145,53 @@ class PieceCoder:
         unit_end = np.repeat(starts + sizes, sizes)
         inside = begin + length <= unit_end[begin]
         begin, length, piece = begin[inside], length[inside], self.ids[piece[inside]]
-        by = np.argsort(begin * (self.longest + 1) + length, kind="stable")
+        by = np.argsort(begin * (self.longest + 1) + length)
         return begin[by], length[by], piece[by], starts
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        short = [i for i, u in enumerate(units) if len(u) <= LONG] if self.method == "bpe" else list(range(len(units)))
-        out: list[list[int]] = [[] for _ in units]
-        if short:
-            for i, ids in zip(short, self._relaxed([units[i] for i in short])):
-                out[i] = ids
-        if len(short) < len(units):
-            for i, u in enumerate(units):
-                if len(u) > LONG:
-                    out[i] = self._heap(u)
-        return out
-
-    def _relaxed(self, units: list[str]) -> list[list[int]]:
         begin, length, piece, starts = self.edges(units)
         n = sum(map(len, units))
-        table = np.full((n, self.longest + 1), -1, np.int32)  # piece by start and length
-        table[begin, length] = piece
-        owner = np.repeat(np.arange(len(units)), np.diff(np.append(starts, n)))
-        if self.method == "bpe":
-            ends = self._merged(table, owner)
+        wide = self.longest + 1
+        if n * wide <= DENSE:
+            table = np.full((n, wide), -1, np.int32)  # piece by start and length
+            table[begin, length] = piece
+
+            def look(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+                return table[at, size]
         else:
-            ends = self._best_paths(table, starts, n)
+            keys, own = begin * wide + length, np.append(piece, -1)
+
+            def look(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+                want = at * wide + size
+                i = np.searchsorted(keys, want)
+                return np.where(np.append(keys, -1)[i] == want, own[i], -1)
+
+        sizes = np.diff(np.append(starts, n))
+        owner = np.repeat(np.arange(len(units)), sizes)
+        ends = np.zeros(n, bool)
+        if self.method == "bpe":
+            ends = self._merged(look, owner, np.flatnonzero((sizes <= LONG)[owner]))
+            for u in np.flatnonzero(sizes > LONG).tolist():
+                lo, hi = np.searchsorted(begin, [starts[u], starts[u] + sizes[u]])
+                ends[starts[u] + np.array(self._heap(int(sizes[u]), begin[lo:hi] - starts[u], length[lo:hi], piece[lo:hi]))] = True
+        elif len(units):
+            ends = self._best_paths(look, starts, n)
         at = np.flatnonzero(ends)
         size = np.diff(np.append(at, n))
-        ids = table[at, np.minimum(size, self.longest)]
+        ids = look(at, np.minimum(size, self.longest))
         text = "".join(units)
         out: list[list[int]] = [[] for _ in units]
         for u, a, s, i in zip(owner[at].tolist(), at.tolist(), size.tolist(), ids.tolist()):
             out[u] += [i] if i >= 0 else self.fallback(text[a : a + s])
         return out
 
-    def _merged(self, table: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Whether each position begins a segment when no neighbouring segments can be joined any more."""
+    def _merged(self, look: Callable, owner: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        """Whether each position begins a segment when no neighbouring segments can be joined any more.
+
+        ``seg``: the positions of the units to work on, later the starts of segments that may still change."""
         n = len(owner)
-        begins = np.ones(n, bool)
-        seg = np.arange(n)  # starts of the segments of units that may still change
+        begins = np.zeros(n, bool)
+        begins[seg] = True
         while len(seg):
             nxt = np.append(seg[1:], n)
             after = np.append(nxt[1:], n)
@@ -189,7 +200,7 @@ class PieceCoder:
             end_of = np.where(np.append(same[1:], False), after, self._unit_end(owner, np.minimum(nxt, n - 1)))
             size = end_of - seg
             fits = same & (size <= self.longest)
-            got = np.where(fits, table[seg, np.where(fits, size, 0)], -1)
+            got = np.where(fits, look(seg, np.where(fits, size, 0)), -1)
             cost = np.where(got >= 0, -self.score[got], np.inf)
             unit = owner[seg]
             first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
@@ -210,7 +221,7 @@ class PieceCoder:
     def _unit_end(owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(owner, owner[at], "right")
 
-    def _best_paths(self, table: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    def _best_paths(self, look: Callable, starts: np.ndarray, n: int) -> np.ndarray:
         """Whether each position begins a segment of the path with the best sum of scores."""
         sizes = np.diff(np.append(starts, n))
         best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
@@ -222,7 +233,7 @@ class PieceCoder:
             rows = np.flatnonzero(sizes >= p)
             for k in range(1, min(self.longest, p) + 1):
                 at = starts[rows] + p - k
-                got = table[at, k]
+                got = look(at, np.full(len(at), k))
                 step = np.where(got >= 0, self.score[got], self.least if k == 1 else -np.inf)
                 new = value[rows, p - k] + step
                 better = new > value[rows, p]
@@ -240,18 +251,16 @@ class PieceCoder:
             return [self.bytes[b] for b in char.encode("utf-8", "replace")]
         return [self.unknown]
 
-    def _heap(self, unit: str) -> list[int]:
-        """The same merges for one long unit, with a heap over its edges between living neighbours."""
-        n = len(unit)
+    def _heap(self, n: int, begin: np.ndarray, length: np.ndarray, piece: np.ndarray) -> list[int]:
+        """Where segments of one long unit begin: the same joins, with a heap over the edges between living neighbours."""
+        edge = dict(zip(zip(begin.tolist(), (begin + length).tolist()), (-self.score[piece]).tolist()))
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int, int]] = []
 
         def offer(a: int) -> None:
             b = after[a]
-            if b < n and end[b] - a <= self.longest:
-                i = self.id_of.get(unit[a : end[b]])
-                if i is not None:
-                    heapq.heappush(heap, (-self.score[i], a, b, end[b]))
+            if b < n and (a, end[b]) in edge:
+                heapq.heappush(heap, (edge[a, end[b]], a, b, end[b]))
 
         for a in range(n - 1):
             offer(a)
@@ -267,89 +276,77 @@ class PieceCoder:
             offer(a)
             if before[a] >= 0:
                 offer(before[a])
-        out: list[int] = []
-        a = 0
-        while a < n:
-            i = self.id_of.get(unit[a : end[a]])
-            out += [i] if i is not None else self.fallback(unit[a : end[a]])
-            a = after[a]
-        return out
+        return [a for a in range(n) if alive[a]]
 
-    def looked_up(self, units: list[str]) -> list[bytes]:
-        """Ids of each of the distinct units as bytes, from those remembered or newly encoded."""
+    def looked_up(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct units one after another and the number of each one's, remembered or newly encoded."""
         if len(self.known) > self.held:
             self.known = {}
         known = self.known
         new = [u for u in units if u not in known]
-        cut = [self.parts(u) for u in new]
-        small = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in known]
-        for i in range(0, len(small), 100_000):
-            some = small[i : i + 100_000]
+        for i in range(0, len(new), UNITS):
+            some = new[i : i + UNITS]
             known.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(some, self.encode_units(some)))
-        known.update((u, b"".join([known[p] for p in c])) for u, c in zip(new, cut) if len(c) > 1)
-        out = [self.known[u] for u in units]
-        return out
-
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut wherever no piece holds the two characters side by side: no join can cross such a place."""
-        held = self.side_by_side
-        at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in held]
-        return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)])] if at else [unit]
+        found = [known[u] for u in units]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows one after another and the number of each row's; null is empty."""
+        """Ids of all rows one after another and the number of each row's; null is empty.
+
+        A word is a unit with the mark before it. Where no piece joins them, a line end before a word and a comma or full
+        stop after a letter are parts of their own. Rows with other blanks or marks are cut by ``units``."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         n = len(texts)
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if self.lines else texts, " ")
         first = lists.offsets.to_numpy().astype(np.int64)
         first -= first[0]
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         rows = np.repeat(np.arange(n), np.diff(first))
-        odd = np.zeros(n, bool)  # texts where a unit is not one mark and one word
-        odd[rows[np.fromiter((not w or MARK in w for w in words), bool, len(words))[at]]] = True
-        if not self.cuts:
-            odd[:] = True
-        other = {int(r): self.units(texts[int(r)].as_py()) for r in np.flatnonzero(odd)}
+        flags = lambda x: x.to_numpy(zero_copy_only=False)
+        odd = np.full(n, not self.cuts)  # texts where a unit is not one mark and one word
+        odd[rows[(flags(pc.equal(words, "")) | flags(pc.match_substring(words, MARK)))[at]]] = True
+        line = flags(pc.starts_with(words, "\n")) if self.lines else np.zeros(len(words), bool)
+        last = flags(pc.match_substring_regex(words, f"[A-Za-z\u00df-\u00f6\u00f8-\u00ff][{self.ends}]$")) if self.ends else np.zeros(len(words), bool)
+        stop = flags(pc.ends_with(words, ".")).astype(np.int64)
+        stems = pc.if_else(pa.array(last), pc.utf8_slice_codeunits(words, 0, -1), words)
+        text = lambda x: pa.scalar(x, pa.large_string())
+        stems = pc.if_else(pa.array(line), pc.utf8_slice_codeunits(stems, 1), pc.binary_join_element_wise(text(MARK), stems, text("")))
         keep = ~odd[rows]
         used = np.zeros(len(words), bool)
         used[at[keep]] = True
-        names = {MARK + w: None for w, u in zip(words, used) if u}
+        coded = stems.filter(pa.array(used)).dictionary_encode()
+        names = dict.fromkeys(["", "\n", ",", ".", *coded.dictionary.to_pylist()])
+        other = {int(r): self.units(texts[int(r)].as_py()) for r in np.flatnonzero(odd)}
         names.update((u, None) for units in other.values() for u in units)
         place = {u: i for i, u in enumerate(names)}
-        found = self.looked_up(list(names))
-        sizes = np.append(np.fromiter(map(len, found), np.int64, len(found)) // 4, 0)
-        begins = np.append(np.cumsum(sizes[:-1]) - sizes[:-1], 0)
-        flat_ids = np.frombuffer(b"".join(found), "<u4")
-        number = np.cumsum(used) - 1  # regular words come first among the names
-        unit, counts = number[at[keep]], np.diff(first)
+        flat_ids, sizes = self.looked_up(list(names))
+        begins = np.cumsum(sizes) - sizes
+        of = np.zeros(len(words), np.int64)
+        of[used] = np.array([place[u] for u in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if used.any() else 0
+        three = np.stack([line.astype(np.int64), of, np.where(last, 2 + stop, 0)], 1)[at[keep]]
+        unit, counts = three.ravel(), 3 * np.diff(first)
         if other:
-            parts = np.split(unit, np.cumsum(np.where(odd, 0, counts))[:-1]) if n else []
+            parts = np.split(unit, np.cumsum(np.where(odd, 0, counts))[:-1])
             parts = [np.array([place[u] for u in other[r]], np.int64) if r in other else parts[r] for r in range(n)]
             unit, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n)
         each = sizes[unit]
         ends = np.append(0, np.cumsum(each))
         bounds = np.append(0, np.cumsum(counts))
-        lengths = ends[bounds[1:]] - ends[bounds[:-1]]
-        ids = flat_ids[np.repeat(begins[unit] - ends[:-1], each) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, "<u4")
-        return ids, lengths
-
-    def decode(self, ids: np.ndarray) -> str:
-        parts: list[bytes] = []
-        for i in ids.tolist():
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i == self.unknown:
-                parts.append(" ⁇ ".encode())
-            elif i not in self.control:
-                parts.append(self._surface(i))
-        text = b"".join(parts).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-    def _surface(self, i: int) -> bytes:
+        return gathered(flat_ids, begins[unit], each), ends[bounds[1:]] - ends[bounds[:-1]]
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The text of each row of ids; ``lengths``: ids of each."""
         if not hasattr(self, "surfaces"):
-            self.surfaces = [p.replace(MARK, " ").encode() for p in self.names]
-        return self.surfaces[i]
+            named = [b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
+            sizes = np.fromiter(map(len, named), np.int64, len(named))
+            self.surfaces = np.frombuffer(b"".join(named), np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, begins, sizes = self.surfaces
+        each = sizes[ids]
+        raw = gathered(data, begins[ids], each).tobytes()
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(lengths))].tolist()
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:]))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def coder(path: str, method: str = "bpe") -> PieceCoder:
@@ -358,19 +355,27 @@ def coder(path: str, method: str = "bpe") -> PieceCoder:
     return _loaded[path, method]
 
 
-def encode(docs: DataFrame, model: str, method: str = "bpe", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``ids`` (little-endian unsigned 32-bit) of each row's text."""
+def as_binary(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    edges = np.append(0, np.cumsum(4 * lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+
+
+def encode(docs: DataFrame, model: str, method: str = "bpe", text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
+    """``keep`` columns with ``ids`` (little-endian unsigned 32-bit) of each row's text.
+
+    ``back``: and with ``decoded``, the text of the ids; one Python worker does both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model, method)
-        for batch in pieces(batches, "__text", 16 << 20):
-            ids, n = own.encode(batch.column("__text"))
-            edges = np.append(0, np.cumsum(4 * n)).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
-            yield pa.record_batch([*batch.columns[:-1], data], [*batch.schema.names[:-1], "ids"])
+        for batch in pieces(batches, batch_text, TEXTS):
+            ids, n = own.encode(batch.column(batch_text))
+            more = [pa.array(own.decode(ids, n), pa.string())] if back else []
+            yield pa.record_batch([*batch.columns[:-1], as_binary(ids, n), *more], [*batch.schema.names[:-1], "ids", *["decoded"] * back])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    return rows.mapInArrow(run, rows.select(*keep, F.lit(b"").alias("ids")).schema)
+    batch_text = free_name("text", list(keep))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(batch_text))
+    schema = rows.drop(batch_text).schema.add("ids", "binary")
+    return rows.mapInArrow(run, schema.add("decoded", "string") if back else schema)
 
 
 def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -378,20 +383,21 @@ def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id", "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
-        for batch in pieces(batches, "__ids", 4 << 20):
-            texts = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("__ids").to_pylist()]
+        for batch in pieces(batches, name, TEXTS):
+            data, offsets = flat(pc.fill_null(batch.column(name), b""))
+            texts = own.decode(data.view("<u4"), np.diff(offsets) // 4)
             yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
-    rows = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col("ids").alias("__ids"))
-    return rows.mapInArrow(run, rows.select(*keep, F.lit("").alias("text")).schema)
+    name = free_name("coded", list(keep))
+    rows = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col("ids").alias(name))
+    return rows.mapInArrow(run, rows.drop(name).schema.add("text", "string"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again: n_pieces, crc32 of the ids, and crc32 of the decoded text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = tokenizer_path("piece_bpe_32k.model")
-    back = decode(encode(docs, path), path)
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    both = encode(docs, tokenizer_path("piece_bpe_32k.model"), back=True)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32"))
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_folder, pieces, written
+from .common import flat, new_folder, pieces, written
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -107,7 +107,7 @@ class Table:
         return out
 
 
-def pack_block(table: Table, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, lanes: int = 1024, every: int = 256) -> bytes:
+def pack_block(table: Table, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, lanes: int = 2048, every: int = 128) -> bytes:
     lanes = int(max(1, min(lanes, len(ids) // 64)))
     state, marks, words = table.encode(ids, lanes, every)
     body = b"".join([
@@ -173,7 +173,7 @@ def tokenised(docs: DataFrame, path: str, end: int, style: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.coder(path, style)
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             ids, n = tokens.with_end(*coder.encode(batch.column("text")), end)
             offsets = np.append(0, np.cumsum(n * 4)).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
@@ -186,7 +186,7 @@ def tokenised(docs: DataFrame, path: str, end: int, style: str) -> DataFrame:
     return rows.mapInArrow(encode, "oid long, doc_id long, n long, ids binary")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style: str = "words", block_tokens: int = 1 << 19) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style: str = "words", block_tokens: int = 1 << 20) -> None:
     """Encode ``docs(doc_id, text)`` to ``folder`` in ascending doc_id order."""
     spark = docs.sparkSession
     rows = written(tokenised(docs, tokenizer, end, style), "tokens")
@@ -194,10 +194,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=len(sums))
-                got[: len(sums)] += sums
-                sums = got
+            got = np.bincount(flat(batch.column("ids"))[0].view("<u4"), minlength=len(sums))
+            got[: len(sums)] += sums
+            sums = got
         at = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["id", "n"])
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prismalake.llm import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix
+from prismalake.llm import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix, tokens
 from prismalake.llm.tokens import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,7 +102,6 @@ def test_rans_files_round_trip(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     rans.write_tokens(docs, str(tmp_path / "f"), tokenizer_path("word_bpe_49k.json"), end=1, block_tokens=500)
     got = {r.doc_id: r for r in rans.read_tokens(spark, str(tmp_path / "f")).collect()}
     start = 0
@@ -122,17 +121,97 @@ def test_rans_checkpoints_and_damage():
         rans.Block(data[:-1] + bytes([data[-1] ^ 1]), table)
 
 
-@pytest.mark.parametrize("unit", [None])
-def test_sentencepiece_equals_library(texts, unit):
+def test_sentencepiece_equals_library(spark, texts):
     import sentencepiece
 
     path = tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    more = [*texts, "  a  b ", "é ﬁ ２ 日本語🎉", " " * 70 + "x", "ab" * 300, "a\x00b"]
-    own = pieces_sa.PieceCoder(path)
-    ids, n = own.encode(more)
-    for t, got in zip(more, np.split(ids, np.cumsum(n)[:-1])):
-        assert got.tolist() == model.encode(t or "") and own.decode(got) == model.decode(model.encode(t or ""))
+    r = random.Random(8)
+    some = ["a", "The", "é", "日本", "ﬁ", "２", "🎉", " ", "  ", "\n", "\t", ",", ".", "...", "▁", "\x00", "ing", "x" * 70, "ab" * 40, "Ω"]
+    more = [*texts, "  a  b ", "é ﬁ ２ 日本語🎉", " " * 70 + "x", "ab" * 300, "a\x00b", "a\n\nb\n c \nd\n", *("".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(600))]
+    own = pieces_sa.PieceCoder(path, held=200)
+    for dense in (pieces_sa.DENSE, 0):
+        pieces_sa.DENSE, keep = dense, pieces_sa.DENSE
+        own.known = {}
+        ids, n = own.encode(more)
+        pieces_sa.DENSE = keep
+        back = own.decode(ids, n)
+        for t, got, text in zip(more, np.split(ids, np.cumsum(n)[:-1]), back):
+            assert got.tolist() == model.encode(t or "") and text == model.decode(model.encode(t or "")), repr(t)
+    rows = [(i, t, 1, 2) for i, t in enumerate(more)] + [(None, "a", 1, 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int, coded int")
+    coded = pieces_sa.encode(df, path)
+    got = {x.doc_id: (np.frombuffer(bytes(x.ids), "<u4").tolist(), x.text) for x in pieces_sa.decode(coded, path).collect()}
+    assert all(got[i] == (model.encode(t or ""), model.decode(model.encode(t or ""))) for i, t in enumerate(more)) and None in got
+    assert pieces_sa.encode(df.limit(0), path, back=True).count() == 0
+
+
+def test_sentencepiece_query_equals_library(spark, docs, texts, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.n_pieces, x.ids_crc32, x.text_crc32) for x in pieces_sa.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "")
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(model.decode(ids).encode()))
+
+
+def test_unigram_paths_have_the_best_sum():
+    coder = pieces_sa.PieceCoder(tokenizer_path("piece_bpe_32k.model"), method="unigram")
+    units = ["▁the", "▁tokens", "▁aab", "▁日本語", "▁internationalisation"]
+    for u, ids in zip(units, coder.encode_units(units)):
+        best = [0.0] + [-np.inf] * len(u)
+        for e in range(1, len(u) + 1):
+            for b in range(e):
+                i = coder.id_of.get(u[b:e])
+                step = coder.score[i] if i is not None else coder.least if e - b == 1 else -np.inf
+                best[e] = max(best[e], best[b] + step)
+        got, covered = 0.0, "".join(coder.names[i] for i in ids if i not in coder.byte_of)
+        got = sum(coder.score[i] for i in ids if i not in coder.byte_of) + coder.least * sum(1 for c in u if c not in coder.id_of)
+        assert np.isclose(got, best[-1]) and covered == "".join(c for c in u if c in coder.id_of or c in covered)
+
+
+@pytest.mark.parametrize("name, style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "leading")])
+def test_word_coder_equals_library(name, style):
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    some = ["a", "B", "the", "İ", "é", "ß", "日本", "ﬁ", "Σ", "σ", "1", "23", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u3000", ",", ".", "...", "!", "|", "'s", "’", "<|endoftext|>", "<|startoftext|>", "e\u0301", "\u0307", "🎉", "-", "\r\n", "K", "ÿ", "Ǆ", "\x00", " | ", "Ω.", "İ.", "a.", "x,"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(4000)] + [None, "", " ", "\n", "a\nb", "a. b, c.\nD", "x " * 3000, "y" * 5000]
+    library, own = Tokenizer.from_file(tokenizer_path(name)), tokens.WordCoder(tokenizer_path(name), style, held=500)
+    for k in range(0, len(texts), 500):
+        ids, n = own.encode(pa.array(texts[k : k + 500], pa.string()))
+        for t, got in zip(texts[k : k + 500], np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_columns_equal_brute_force(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rows = [*enumerate([*texts, "a <|endoftext|> b"]), (None, "null id"), (3, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, piece int")
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        first = len(ids) % 64 or 64
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        want += [(str(i), k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = packing.pack_documents(df, tokenizer_path("byte_bpe_50k.json"), end=0, capacity=64, with_ids=True)
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == sorted(want)
+    assert packing.sequences(got).agg({"n_tokens": "sum"}).first()[0] == sum(w[3] for w in want)
+
+
+def test_rans_of_odd_tables(spark, tmp_path):
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = [(None, "no id", 1), (2, "<|endoftext|> a", 1), (2, "<|endoftext|> a", 1), (1, None, 1), (1, "b", 1)]
+    rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, n int"), str(tmp_path / "a"), path, end=1)
+    got = rans.read_tokens(spark, str(tmp_path / "a")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 1, 2, 2] and 49407 in np.frombuffer(bytes(got[3].ids), "<u4")
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    rans.write_tokens(empty(spark), str(tmp_path / "b"), path, end=1)
+    assert rans.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
 def test_packing_places_everything(spark, docs, texts):
@@ -283,6 +362,15 @@ def test_language_held_out(spark):
     assert np.mean([x.lang == x.lang_pred for x in held]) > 0.97 and all(0 <= x.score <= 1 for x in held)
 
 
+def test_language_stage_of_odd_tables(spark):
+    rows = [(i % 40, "abc abd " * 9 if i % 2 else "xyz xzz " * 9, "ab" if i % 2 else "xy", "lang") for i in range(80)] + [(None, "12 34", None, "q"), (7, None, None, "q"), (None, "abc abd abc abd", None, "q"), (8, "xyz " * 20_000, None, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string").selectExpr("*", "1 as score", "2 as __text")
+    got = langid.keep_identified(spark, df)
+    assert got.columns == df.columns and sorted(r.text[:3] for r in got.collect()) == ["abc"] * 41 + ["xyz"] * 41
+    none = df.withColumn("lang", df.lang.cast("string")).selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert langid.keep_identified(spark, none).count() == df.count() and langid.keep_identified(spark, none.limit(0)).count() == 0
+
+
 def photo(r, h=96, w=96):
     im = np.full((h, w), 128.0)
     for _ in range(25):
