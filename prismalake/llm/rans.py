@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import flat, new_folder, pieces, written
+from .common import new_folder, pieces, written
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -169,38 +169,49 @@ def _get(path: str, at: int | None = None, size: int | None = None) -> bytes:
 
 
 def tokenised(docs: DataFrame, path: str, end: int, style: str) -> DataFrame:
-    """(oid, doc_id, n, ids) in ascending doc_id order: ``oid`` grows with it and is gapless in each part."""
+    """(oid, doc_id, ids, counts) in ascending doc_id order: ``oid`` grows with it and is gapless in each part.
+
+    ``ids``: little-endian unsigned, 16 bits each where the vocabulary allows, else 32. A part's last row has no ``oid``:
+    its ``counts`` are the ids that occur in the part and how often, 64 bits each."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.coder(path, style)
+        kind = np.dtype(id_type(coder.coder.get_vocab_size()))
+        sums = np.zeros(coder.coder.get_vocab_size(), np.int64)
         for batch in pieces(batches, "text", 8 << 20):
             ids, n = tokens.with_end(*coder.encode(batch.column("text")), end)
-            offsets = np.append(0, np.cumsum(n * 4)).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
-            yield pa.record_batch([batch.column("oid"), batch.column("doc_id"), pa.array(n), data], ["oid", "doc_id", "n", "ids"])
+            sums += np.bincount(ids, minlength=len(sums))
+            offsets = np.append(0, np.cumsum(n * kind.itemsize)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, kind))])
+            yield pa.record_batch([batch.column("oid"), batch.column("doc_id"), data, pa.nulls(len(n), pa.binary())], ["oid", "doc_id", "ids", "counts"])
+        at = np.flatnonzero(sums)
+        none = pa.array([None], pa.int64())
+        yield pa.record_batch([none, none, pa.array([None], pa.binary()), pa.array([np.stack([at, sums[at]]).astype("<i8").tobytes()])], ["oid", "doc_id", "ids", "counts"])
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(F.monotonically_increasing_id().alias("oid"), "doc_id", "text")
-    return rows.mapInArrow(encode, "oid long, doc_id long, n long, ids binary")
+    return rows.mapInArrow(encode, "oid long, doc_id long, ids binary, counts binary")
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style: str = "words", block_tokens: int = 1 << 20) -> None:
     """Encode ``docs(doc_id, text)`` to ``folder`` in ascending doc_id order."""
     spark = docs.sparkSession
     rows = written(tokenised(docs, tokenizer, end, style), "tokens")
+    kind = id_type(tokens.coder(tokenizer, style).coder.get_vocab_size())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(flat(batch.column("ids"))[0].view("<u4"), minlength=len(sums))
-            got[: len(sums)] += sums
-            sums = got
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["id", "n"])
+            for x in batch.column("counts"):
+                at, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n)], ["id", "n"])
 
-    counts = rows.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each token id
+    counts = rows.where("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each token id
     held = np.zeros(int(np.max(counts.column("id").to_numpy(), initial=-1)) + 1, np.int64)
     held[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
     freq = frequencies(held)
@@ -233,7 +244,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style:
                 if gathered and (oid != gathered[-1][0] + 1 or size >= block_tokens):
                     flush()
                     size = 0
-                gathered.append((oid, doc, np.frombuffer(ids.as_buffer(), "<u4")))
+                gathered.append((oid, doc, np.frombuffer(ids.as_buffer(), kind)))
                 size += len(gathered[-1][2])
         flush()
         if out is not None:
@@ -242,7 +253,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style:
         kinds = [pa.string(), *[pa.int64()] * 5]
         yield pa.record_batch([pa.array([x[i] for x in listed], kinds[i]) for i in range(6)], names)
 
-    blocks = rows.mapInArrow(encode, "file string, at long, size long, oid long, n_tokens long, n_docs long")
+    blocks = rows.where("oid is not null").select("oid", "doc_id", "ids").mapInArrow(encode, "file string, at long, size long, oid long, n_tokens long, n_docs long")
     blocks.write.parquet(f"{folder}/blocks")
 
 

@@ -32,7 +32,7 @@ def tokenizer_path(name: str) -> str:
 class WordCoder:
     """Encodes batches of texts; keeps the ids of about ``held`` words between batches."""
 
-    def __init__(self, path: str, style: str, held: int = 500_000):
+    def __init__(self, path: str, style: str, held: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,9 +74,10 @@ class WordCoder:
         if len(self.seen) > self.held:
             self.seen = {}
         seen, names = self.seen, words.to_pylist()
-        new = [w for w in names if w not in seen]
-        seen.update(zip(new, self.joined(new)))
-        found = [seen[w] for w in names]
+        found = list(map(seen.get, names))
+        new = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(new, self.joined([names[i] for i in new])):
+            found[i] = seen[names[i]] = ids
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def parts(self, units: pa.Array, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
