@@ -206,10 +206,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, style:
     kind = id_type(tokens.coder(tokenizer, style).coder.get_vocab_size())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
                 at, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
-                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n)], ["id", "n"])
+                sums = np.pad(sums, (0, max(0, int(at.max(initial=-1)) + 1 - len(sums))))
+                sums[at] += n
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["id", "n"])
 
     counts = rows.where("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each token id
     held = np.zeros(int(np.max(counts.column("id").to_numpy(), initial=-1)) + 1, np.int64)
