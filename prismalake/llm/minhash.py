@@ -1,38 +1,41 @@
 """MinHash near-duplicates: bottom-k sketches from one hash function.
 
-A document's set is its distinct word shingles, hashed to 64 bits by one function; the sketch keeps the k smallest
-values. Documents with the same set are one vertex from the start. Inverted lists are kept for runs of ``RUN``
-neighbouring retained values: with similarity 0.85 and k = 64, two sketches share no run with a chance below 1e-8. In
-small sets one other value can break every run, so sets of up to ``small_sets`` values have lists for single values too:
-the smallest ``n - ceil(p n) + 1`` of n, of which two sets of similarity p always share one. Similar sets of at most k
-values, small or not, always share a list. Lists up to ``SHORT`` long give all their pairs. In its ``NEAR``
-longest lists every document is paired with the list's first one and the one before it; after these links are joined
-up, the documents of long lists that are not in the list's largest component are compared with all others in blocks,
-and only pairs that pass the estimate leave a block. Each document's best candidate is verified first; of the others
-only those that would join different components are verified. Candidates pass the union-sketch estimate, then exact intersection and union of the
-full sets decide. Nothing is capped: frequent values only lead to the block comparison.
-
-Before that, the ``SPARE`` most frequent keys of a document are left out of its lists: similar documents share more.
+A document's set is its distinct word shingles, hashed to 64 bits by one function; the sketch keeps the ``SKETCH``
+smallest values. Documents with the same set are one vertex from the start. Inverted lists hold the ``INDEX`` smallest
+values, rare ones first: two sets of the wanted similarity share at least ``shared_at_least`` of these, so each is listed
+under all of them but its so many (less one) most frequent, and the two still meet. For sets whose union has at most
+``INDEX`` values this bound is exact; for larger ones fewer are shared with a chance below ``MISS``. No value is dropped
+for being frequent: a text made of frequent passages is listed under them.
+
+Lists of up to ``SHORT`` documents give all their pairs; in longer ones a document is paired with the list's first one and
+the one before it. A document's best candidate is verified first, and links are joined up to components. Then, in long
+lists, documents outside the list's largest component are compared with all others of other components, in blocks of
+``BLOCK``; pairs that pass the union-sketch estimate are verified by exact intersection and union of the full sets, which
+are made again from the texts. The first round sends the best ``BEST`` for a document and block; if that left any out, a
+second round sends them all.
 
 Defined results: no words or null text -> empty set, linked with nothing; fewer words than a shingle -> the whole
-sequence is the one shingle; repeated rows get the same result each; rows with a null id have component null and no
-part in links; an empty input gives an empty result; other columns are ignored.
+sequence is the one shingle; repeated rows get the same result each; rows that share an id are judged each by its own
+text; rows with a null id take part, and their component is the smallest id in it or null; an empty input gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
+from .common import U64, Powers, flat, free_name, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
 from .components import components
 
-SKETCH, RUN, SHORT, BLOCK, SPARE, NEAR = 64, 4, 8, 512, 3, 5
+SKETCH, INDEX, SHORT, BLOCK, BEST = 64, 40, 8, 1024, 4
+MISS = 1e-9  # chance that two similar sets share fewer of their INDEX smallest values than the lists count on
 TEXTS = 1 << 19  # bytes of text whose shingles a task holds at once; one longer text stays whole
 _symbols = spread(5)
 _powers = Powers(0x9E3779B97F4A7C15)
@@ -75,64 +78,72 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _marks(own: np.ndarray) -> tuple[int, int]:
+    return int(mix64(own).sum(dtype=U64).view(np.int64)), int(mix64(own ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64).view(np.int64))
+
+
+def row_hash(doc_id: str | Column, text: str | Column) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
 def sketches(docs: DataFrame, words: int = 3, k: int = SKETCH) -> DataFrame:
-    """(doc_id, n, f1, f2, sketch): set size, 128-bit fingerprint of the set, its k smallest values."""
+    """(doc_id, rid, n, f1, f2, sketch): row hash, set size, 128-bit fingerprint of the set, its k smallest values."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", TEXTS):
             sets = _sets(*shingles(batch.column("text"), words))
-            marks = np.array([[mix64(s).sum(dtype=U64), mix64(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64)] for s in sets], U64).reshape(-1, 2)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(marks[:, 0]), _signed(marks[:, 1]), pa.array([s[:k].tobytes() for s in sets], pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
+            marks = np.array([_marks(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array([s[:k].tobytes() for s in sets], pa.binary())], ["doc_id", "rid", "n", "f1", "f2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, f1 long, f2 long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(sketch, "doc_id long, rid long, n long, f1 long, f2 long, sketch binary")
 
 
-def small_sets(percent: int) -> int:
-    """The largest set that can be similar to another and share no run of RUN values with it (at most SKETCH).
+def shared_at_least(percent: int, sizes: int = 4 * INDEX) -> np.ndarray:
+    """By set size (the last entry: that and all larger): how many of its INDEX smallest values a similar set shares.
 
-    ``d`` other values cut the ``s`` shared ones into ``d + 1`` parts; no run is left only if ``s <= (RUN - 1)(d + 1)``,
-    and similar sets have ``d <= s (100 - percent) / percent``."""
-    gain = percent - (RUN - 1) * (100 - percent)
-    shared = (RUN - 1) * percent // gain if gain > 0 else SKETCH
-    return min(SKETCH, shared * 100 // percent)
+    Of the INDEX smallest values of the union of ``u``, both sets hold those that they share, of which there are at least
+    ``percent * u / 100``: at most ``u - INDEX`` of them are not among the INDEX, and their number is at least that of a
+    binomial draw but for a chance of MISS."""
+    p, tail, likely = percent / 100, 0.0, 0
+    while likely < INDEX and (tail := tail + math.comb(INDEX, likely) * p**likely * (1 - p) ** (INDEX - likely)) <= MISS:
+        likely += 1
+    out = np.full(sizes + 1, likely, np.int64)
+    for n in range(sizes):
+        of = [(-(-percent * u // 100), u) for u in range(max(n, 1), max(n * 100 // percent, 1) + 1)]
+        out[n] = max(1, min(x if u <= INDEX else max(x - (u - INDEX), likely) for x, u in of))
+    return out
 
 
-def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id): hashes of the runs of RUN neighbouring retained values, for sets that can be similar to others, and of
-    single values of small sets."""
-    small = small_sets(percent)
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, df, first): the inverted lists of at least two documents, their lengths and smallest ids."""
+    bound = shared_at_least(percent)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("sketch"))
-            v = data.view(U64)
             n = np.diff(offsets) // 8
-            single = np.repeat(np.where(n <= small, n + (-percent * n // 100) + 1, 0), n)
-            first = np.arange(len(v)) - np.repeat(offsets[:-1] // 8, n) < single
-            yield pa.record_batch([_signed(mix64(v[first] ^ U64(0xD6E8FEB86659FD93))), pa.array(np.repeat(batch.column("id").to_numpy(), n)[first])], ["key", "id"])
-            m = len(v) - RUN + 1
-            if m <= 0:
-                continue
-            ends = np.repeat(offsets[1:] // 8, np.diff(offsets) // 8)
-            h = np.zeros(m, U64)
-            for i in range(RUN):
-                h = mix64(h ^ v[i : m + i]) * U64(0x9E3779B97F4A7C15)
-            inside = np.arange(m) + RUN <= ends[:m]
-            ids = np.repeat(batch.column("id").to_numpy(), np.diff(offsets) // 8)[:m]
-            yield pa.record_batch([_signed(h[inside]), pa.array(ids[inside])], ["key", "id"])
-
-    return sets.select("id", "sketch").mapInArrow(runs, "key long, id long")
+            first = np.arange(len(data) // 8) - np.repeat(offsets[:-1] // 8, n) < INDEX
+            need = bound[np.minimum(batch.column("n").to_numpy(), len(bound) - 1)].astype(np.int16)
+            yield pa.record_batch([pa.array(data.view(np.int64)[first]), pa.array(np.repeat(batch.column("id").to_numpy(), n)[first]), pa.array(np.repeat(need, n)[first])], ["key", "id", "need"])
+
+    rows = sets.select("id", "n", "sketch").mapInArrow(values, "key long, id long, need short")
+    met = rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    own = Window.partitionBy("id")  # at most INDEX rows
+    met = met.withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("df", "key")))
+    kept = written(met.where("after >= need - 1").select("key", "id"), "lists")
+    lengths = kept.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
+    return kept.join(lengths, "key")
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, with the number of lists that gave them."""
     salt = F.when(F.col("df") > BLOCK, F.pmod(F.hash("id"), F.ceil(F.col("df") / BLOCK).cast("int"))).otherwise(0)
-    rows = lists.withColumn("salt", salt)
     order = Window.partitionBy("key", "salt").orderBy("id")
-    rows = rows.withColumns({f"near{i}": F.lag("id", i).over(order) for i in range(1, SHORT)})
+    rows = lists.withColumn("salt", salt).withColumns({f"near{i}": F.lag("id", i).over(order) for i in range(1, SHORT)})
     near = [F.when((F.col("df") <= SHORT) | (F.lit(i < 2)), F.col(f"near{i}")) for i in range(1, SHORT)]
     partners = F.array_distinct(F.array_compact(F.array(*near, F.when(F.col("df") > SHORT, F.col("first")))))
-    pairs = rows.where((F.col("df") <= SHORT) | (F.col("rank") <= SPARE + NEAR)).select(F.col("id").alias("b"), F.explode(partners).alias("a")).where("a < b")
+    pairs = rows.select(F.col("id").alias("b"), F.explode(partners).alias("a")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("overlaps"))
 
 
@@ -162,141 +173,150 @@ def _passing(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> D
     return rows.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, blob): the compressed text of each vertex of ``wanted(id, doc, f1, f2)``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder = zstandard.ZstdCompressor(level=3)
+        for batch in pieces(batches, "text", TEXTS):
+            sets = _sets(*shingles(batch.column("text"), words))  # of rows that share an id, those with this set
+            ok = [_marks(s) == m for s, m in zip(sets, zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist()))]
+            batch = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([batch.column("id"), pa.array([coder.compress(t) for t in utf8(batch.column("text")).to_pylist()], pa.binary())], ["id", "blob"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = rows.join(wanted, F.col("doc").eqNullSafe(F.col("doc_id"))).select("id", "f1", "f2", "text")
+    return met.mapInArrow(keep, "id long, blob binary").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union of the full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder, held = zstandard.ZstdDecompressor(), {}
+
+        def whole(i: int, blob: pa.Scalar) -> np.ndarray:
+            if i not in held:
+                if sum(map(len, held.values())) > 1 << 20:
+                    held.clear()
+                held[i] = np.unique(shingles(pa.array([coder.decompress(blob.as_py())], pa.binary()), words)[0])
+            return held[i]
+
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("xa"), batch.column("xb")):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
+                x, y = whole(b, tb), whole(a, ta)
                 both = np.sort(np.concatenate([x, y]))
                 inter = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = full.select(F.col("id").alias("a"), F.col("hashes").alias("xa")), full.select(F.col("id").alias("b"), F.col("hashes").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long").distinct()
+    left, right = (texts.select(F.col("id").alias(c), F.col("blob").alias(f"t{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _leftover(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: float, percent: int, most: int | None) -> DataFrame:
-    """Pairs of different components within long lists that pass the estimate: the documents outside a list's largest
-    component against that component (once, however many lists they share) and against each other, in blocks. ``most``:
-    the best so many for a document and block."""
+def _across(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: float, percent: int, best: int | None) -> DataFrame:
+    """(a, b, more): pairs of different components within long lists that pass the estimate, each with at least one
+    document outside its list's largest component. ``best``: so many for a document and block; ``more``: it had more."""
     rows = long_lists.select("key", "id", "df").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
-    top = by.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("size").alias("all")).where("kinds > 1")
-    rows = rows.join(top.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.size")).alias("others")), "key")
-    rows = written(rows.where("component != main").select("key", "id", "component", "main", "others"), "outside")
-    own = sets.select("id", "n", "sketch")
-    names = ["id", "component", "n", "sketch", "c", "r", "minor"]
-    zero = F.lit(0)
-    # Against the main component: its members in blocks, each outsider to every block; many outsiders go in shares.
-    sizes = found.join(rows.select(F.col("main").alias("component")).distinct(), "component").groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = found.join(sizes, "component").join(own, "id").select(F.col("component").alias("key"), "id", "component", "n", "sketch", F.pmod(F.hash("id"), blocks).alias("c"), F.lit(False).alias("minor"))
-    single = rows.join(sizes.select(F.col("component").alias("main")), "main", "left_anti").select("main").distinct()  # a component of one
-    members = members.unionByName(single.join(own, F.col("main") == F.col("id")).select(F.col("main").alias("key"), "id", F.col("id").alias("component"), "n", "sketch", zero.alias("c"), F.lit(False).alias("minor")))
-    guests = rows.select("id", "component", "main").distinct()
-    shares = guests.groupBy("main").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("shares"))
-    members = members.join(shares, members["key"] == shares["main"]).withColumn("r", F.explode(F.sequence(zero, F.col("shares") - 1))).drop("main", "shares")
-    guests = guests.join(shares, "main").join(sizes.select(F.col("component").alias("main"), "size"), "main", "left").join(own, "id")
-    guests = guests.select(F.col("main").alias("key"), "id", "component", "n", "sketch", F.explode(F.sequence(zero, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int") - 1)).alias("c"), F.pmod(F.hash("id"), F.col("shares")).alias("r"), F.lit(True).alias("minor"))
-    # Against each other, list by list.
-    bins = F.ceil(F.col("others") / BLOCK).cast("int")
-    rows = rows.where("others > 1").join(own, "id")
-    place, every = F.pmod(F.hash("id"), bins), F.explode(F.sequence(zero, bins - 1))
-    everyone = rows.select("key", "id", "component", "n", "sketch", place.alias("c"), every.alias("r"), F.lit(False).alias("minor"))
-    minors = rows.select("key", "id", "component", "n", "sketch", every.alias("c"), place.alias("r"), F.lit(True).alias("minor"))
+    top = by.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = rows.join(top.select("key", F.col("top.component").alias("main"), F.col("top.size").alias("size")), "key").join(sets.select("id", "n", "sketch"), "id")
+    bins, shares = F.ceil(F.col("df") / BLOCK).cast("int"), F.ceil((F.col("df") - F.col("size")) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.hash("id"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = F.col("component") != F.col("main")
+    same = ["key", "id", "component", "n", "sketch", outside.alias("outside")]
+    all_ = rows.select(*same, place(bins).alias("c"), every(shares).alias("r"), F.lit(False).alias("asks"))
+    asking = rows.where(outside).select(*same, every(bins).alias("c"), place(shares).alias("r"), F.lit(True).alias("asks"))
 
     def compare(table: pa.Table) -> pa.Table:
-        minor = table.column("minor").to_numpy(zero_copy_only=False)
-        x, y = table.filter(pa.array(minor)), table.filter(pa.array(~minor))
-        out: list[tuple[int, int]] = []
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        x, y = table.filter(pa.array(asks)).combine_chunks(), table.filter(pa.array(~asks)).combine_chunks()
+        out: list[tuple[int, int, bool]] = []
         if x.num_rows and y.num_rows:
-            ids, comps, sizes = y.column("id").to_numpy(), y.column("component").to_numpy(), y.column("n").to_numpy()
-            data, offsets = flat(y.column("sketch").combine_chunks())
-            values, owner = data.view(U64), np.repeat(np.arange(len(ids)), np.diff(offsets) // 8)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            sk = [data[a:b].view(U64) for a, b in zip(offsets[:-1], offsets[1:])]
-            for i, c, n, s in zip(x.column("id").to_pylist(), x.column("component").to_pylist(), x.column("n").to_pylist(), x.column("sketch")):
-                s = np.frombuffer(s.as_buffer(), U64)
-                lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, "right")
-                hit = np.concatenate([owner[a:b] for a, b in zip(lo, hi)]) if len(s) else np.zeros(0, np.int64)
-                shared = np.bincount(hit, minlength=len(ids))
-                far = (comps == c) | (100 * np.minimum(sizes, n) < percent * np.maximum(sizes, n)) | (shared * 2 < min(len(s), SKETCH))
-                scores = [(_estimate(s, sk[j]), j) for j in np.flatnonzero(~far)]
-                good = sorted(((e, j) for e, j in scores if e >= least), reverse=True)
-                out += [(min(i, int(ids[j])), max(i, int(ids[j]))) for _, j in good[:most]]
-        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-    tasks = [x.select("key", *names).withColumn("kind", F.lit(k)) for k, x in enumerate((members, guests, everyone, minors))]
-    tasks[1], tasks[3] = tasks[1].withColumn("kind", F.lit(0)), tasks[3].withColumn("kind", F.lit(2))
-    both = tasks[0].unionByName(tasks[1]).unionByName(tasks[2]).unionByName(tasks[3])
-    return both.groupBy("kind", "key", "c", "r").applyInArrow(compare, "a long, b long").distinct()
+            (xi, xc, xn), (yi, yc, yn) = ([t.column(c).to_numpy() for c in ("id", "component", "n")] for t in (x, y))
+            (xs, xo), (ys, yo) = (flat(t.column("sketch").combine_chunks()) for t in (x, y))
+            xv, yv, xo, yo = xs.view(U64), ys.view(U64), xo // 8, yo // 8
+            yout = y.column("outside").to_numpy(zero_copy_only=False)
+            order = np.argsort(yv)
+            sorted_, owner = yv[order], np.repeat(np.arange(len(yi)), np.diff(yo))[order]
+            for i in range(0, len(xi), 64):
+                j = min(len(xi), i + 64)
+                v, mine = xv[xo[i] : xo[j]], np.repeat(np.arange(j - i), np.diff(xo[i : j + 1]))
+                lo, hi = np.searchsorted(sorted_, v), np.searchsorted(sorted_, v, "right")
+                n = hi - lo
+                hit = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                shared = np.bincount(np.repeat(mine, n) * len(yi) + hit, minlength=(j - i) * len(yi)).reshape(j - i, len(yi))
+                small, large = np.minimum(xn[i:j, None], yn), np.maximum(xn[i:j, None], yn)
+                near = (xc[i:j, None] != yc) & (100 * small >= percent * large) & (100 * shared >= (percent - 50) * np.minimum(small, SKETCH))
+                near &= ~yout | (xi[i:j, None] < yi)  # two documents outside meet twice
+                for k in range(j - i):
+                    own = xv[xo[i + k] : xo[i + k + 1]]
+                    good = sorted(((e, b) for b in np.flatnonzero(near[k]).tolist() if (e := _estimate(own, yv[yo[b] : yo[b + 1]])) >= least), reverse=True)
+                    more = best is not None and len(good) > best
+                    out += [(min(int(xi[i + k]), int(yi[b])), max(int(xi[i + k]), int(yi[b])), more) for _, b in good[:best]]
+        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
+
+    tasks = all_.unionByName(asking)
+    return tasks.groupBy("key", "c", "r").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after ``links``, which are contracted by the components known before."""
+    if found is None:
+        return written(components(links, "a", "b"), "components")
+    for c in "ab":
+        links = links.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    new = written(components(links, "ca", "cb"), "components").toDF("component", "root")
+    old = found.join(new, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return written(old.unionByName(new.toDF("id", "component").join(found.select("id"), "id", "left_anti")), "components")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, slack: float = 0.25) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
+def groups(docs: DataFrame, words: int, percent: int, slack: float = 0.25) -> DataFrame:
+    """(doc_id, rid, n, component, smallest) of the rows of ``docs``: ``component`` names the group (null: empty set),
+    ``smallest`` is its smallest id.
 
-    ``slack``: how far the estimate may lie below the threshold; with k = 64 its standard error is below 0.05.
+    ``slack``: how far the estimate may lie below the threshold; with 64 values its standard error is below 0.05.
     """
     least = percent / 100 - slack
     rows = written(sketches(docs, words), "sketches")
-    sets = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("id is not null")
-    sets = written(sets, "sets")
+    sets = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "*"), "sets")
     smallest = -(-percent // (100 - percent))  # smaller sets are similar only to equal ones
-    keys = _keys(sets.where(F.col("n") >= smallest), percent)
-    counts = keys.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
-    lists = keys.join(counts, "key")
-    # A document's most frequent keys are left out: SPARE of its keys, where it has a full sketch.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "key"))
-    full = sets.select("id", (F.octet_length("sketch") == 8 * SKETCH).alias("full"))
-    lists = lists.withColumn("rank", rank).join(full, "id").where((F.col("rank") > SPARE) | ~F.col("full") | (F.col("df") <= SHORT)).drop("full")
-    lists = written(lists, "lists")
+    lists = written(_lists(sets.where(F.col("n") >= smallest), percent), "lists")
     pairs = written(_candidates(lists), "candidates")
-    best = pairs.groupBy("b").agg(F.max(F.struct("overlaps", "a")).alias("x")).select("x.a", "b")
-    passing = written(_passing(best, sets, least, percent), "pairs")
     long_lists = lists.where(F.col("df") > SHORT)
     inside = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(long_lists.select("id")).distinct()
-    full_sets = written(_full_sets(docs, inside, words), "full-sets")
-    links = written(_verified(passing, full_sets, percent), "similar")
-    found = components(links, "a", "b")
+    texts = written(_texts(docs, sets.join(inside, "id", "left_semi").select("id", "doc", "f1", "f2"), words), "texts")
+    checked = lambda found: written(_verified(written(found, "passing"), texts, percent, words).distinct(), "similar")
+    first = pairs.groupBy("b").agg(F.max(F.struct("overlaps", "a")).alias("x")).select("x.a", "b")
+    found = _joined(None, checked(_passing(first, sets, least, percent)))
     apart = pairs.select("a", "b")
     for c in "ab":
         apart = apart.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    new = written(_verified(written(_passing(apart, sets, least, percent), "pairs"), full_sets, percent), "similar")
-    if not new.isEmpty():
-        links = links.unionAll(new)
-        found = components(links, "a", "b")
-    most: int | None = 16
-    while not long_lists.isEmpty():
-        more = _leftover(long_lists, found, sets, least, percent, most)
-        new = written(_verified(more, full_sets, percent), "similar")
+    others = _passing(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), sets, least, percent)
+    for best in (BEST, None):
+        across = written(_across(long_lists, found, sets, least, percent, best), "across")
+        new = across.select("a", "b")
+        new = checked(new.unionByName(others).distinct() if best else new)
         if not new.isEmpty():
-            links = links.unionAll(new)
-            found = components(links, "a", "b")
-        elif most is None:
+            found = _joined(found, new)
+        if across.where("more").isEmpty():
             break
-        else:
-            most = None
-    found = found.select(F.col("id"), "component")
-    by_set = sets.select("f1", "f2", "id").join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
-    out = rows.join(by_set, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
+    members = sets.select("f1", "f2", "doc", "id").join(found, "id", "left").select("f1", "f2", "doc", F.coalesce("component", "id").alias("component"))
+    low = members.groupBy("component").agg(F.min("doc").alias("smallest"))
+    return rows.select("doc_id", "rid", "n", "f1", "f2").join(members.join(low, "component").drop("doc"), ["f1", "f2"], "left").select("doc_id", "rid", "n", "component", "smallest")
 
-def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, hashes) of the documents named."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", TEXTS):
-            yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in _sets(*shingles(batch.column("text"), words))], pa.binary())], ["id", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "id").mapInArrow(sets, "id long, hashes binary")
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, slack: float = 0.25) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``."""
+    out = groups(docs, words, percent, slack).withColumn("component_id", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +324,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (five words, 0.8) the smallest id stays. Columns stay as they are."""
-    judged = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(judged, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """Pipeline stage: of each group of near-duplicates (five words, 0.8) the row with the smallest id stays, one of equal
+    rows. Columns stay as they are; texts without words stay, one of equal rows."""
+    judged = groups(docs, words=5, percent=80)
+    group = F.struct(F.coalesce("component", "rid").alias("g"), F.col("component").isNull().alias("alone"))
+    stays = judged.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select("x.rid")
+    times = judged.groupBy("rid").agg(F.count("*").alias("times"))
+    rid, times_ = free_name("rid", docs.columns), free_name("times", docs.columns)
+    stays = written(stays.join(times, "rid"), "stays").toDF(rid, times_)
+    met = docs.withColumn(rid, row_hash("doc_id", "text")).join(stays, rid)
+    out = met.where(F.col(times_) == 1).unionByName(met.where(F.col(times_) > 1).dropDuplicates([rid]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
