@@ -10,7 +10,7 @@ for being frequent: a text made of frequent passages is listed under them.
 Lists of up to ``SHORT`` documents give all their pairs; in longer ones a document is paired with the list's first one and
 the one before it. A document's best candidate is verified first, and links are joined up to components. Then, in long
 lists, documents outside the list's largest component are compared with all others of other components, in blocks of
-``BLOCK``; pairs that pass the union-sketch estimate are verified by exact intersection and union of the full sets, which
+``BLOCK``, by sketches of ``FINE`` values (32 bits each); pairs that pass the union-sketch estimate are verified by exact intersection and union of the full sets, which
 are made again from the texts. The first round sends the best ``BEST`` for a document and block; if that left any out, a
 second round sends them all.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import U64, Powers, flat, free_name, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
 from .components import components
 
-SKETCH, INDEX, SHORT, BLOCK, BEST = 64, 40, 8, 1024, 4
+SKETCH, INDEX, FINE, SHORT, BLOCK, BEST = 64, 40, 256, 8, 1024, 4
 MISS = 1e-9  # chance that two similar sets share fewer of their INDEX smallest values than the lists count on
 TEXTS = 1 << 19  # bytes of text whose shingles a task holds at once; one longer text stays whole
 _symbols = spread(5)
@@ -191,6 +191,22 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return met.mapInArrow(keep, "id long, blob binary").dropDuplicates(["id"])
 
 
+def _fine(texts: DataFrame, words: int) -> DataFrame:
+    """(id, n, fine): set size and the high halves of the FINE smallest values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = _sets(*shingles(pa.array([coder.decompress(x) for x in part.column("blob").to_pylist()], pa.binary()), words))
+                yield pa.record_batch([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([np.unique((s[:FINE] >> U64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["id", "n", "fine"])
+
+    return texts.mapInArrow(run, "id long, n long, fine binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union of the full sets."""
 
@@ -219,45 +235,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _across(long_lists: DataFrame, found: DataFrame, sets: DataFrame, least: float, percent: int, best: int | None) -> DataFrame:
+def _across(long_lists: DataFrame, found: DataFrame, fine: DataFrame, least: float, percent: int, best: int | None) -> DataFrame:
     """(a, b, more): pairs of different components within long lists that pass the estimate, each with at least one
     document outside its list's largest component. ``best``: so many for a document and block; ``more``: it had more."""
     rows = long_lists.select("key", "id", "df").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     top = by.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = rows.join(top.select("key", F.col("top.component").alias("main"), F.col("top.size").alias("size")), "key").join(sets.select("id", "n", "sketch"), "id")
+    rows = rows.join(top.select("key", F.col("top.component").alias("main"), F.col("top.size").alias("size")), "key").join(fine, "id")
     bins, shares = F.ceil(F.col("df") / BLOCK).cast("int"), F.ceil((F.col("df") - F.col("size")) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.hash("id"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("component") != F.col("main")
-    same = ["key", "id", "component", "n", "sketch", outside.alias("outside")]
+    same = ["key", "id", "component", "n", "fine", outside.alias("outside")]
     all_ = rows.select(*same, place(bins).alias("c"), every(shares).alias("r"), F.lit(False).alias("asks"))
     asking = rows.where(outside).select(*same, every(bins).alias("c"), place(shares).alias("r"), F.lit(True).alias("asks"))
 
+    doubt = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / FINE)  # six standard errors; whole sets tell all but for equal halves
+
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         x, y = table.filter(pa.array(asks)).combine_chunks(), table.filter(pa.array(~asks)).combine_chunks()
         out: list[tuple[int, int, bool]] = []
         if x.num_rows and y.num_rows:
             (xi, xc, xn), (yi, yc, yn) = ([t.column(c).to_numpy() for c in ("id", "component", "n")] for t in (x, y))
-            (xs, xo), (ys, yo) = (flat(t.column("sketch").combine_chunks()) for t in (x, y))
-            xv, yv, xo, yo = xs.view(U64), ys.view(U64), xo // 8, yo // 8
+            (xv, xo), (yv, yo) = ((data.view(np.uint32), edges // 4) for data, edges in (flat(t.column("fine").combine_chunks()) for t in (x, y)))
             yout = y.column("outside").to_numpy(zero_copy_only=False)
-            order = np.argsort(yv)
-            sorted_, owner = yv[order], np.repeat(np.arange(len(yi)), np.diff(yo))[order]
+            owner = np.repeat(np.arange(len(yi)), np.diff(yo))
+            head = np.flatnonzero(np.arange(len(yv)) - yo[owner] < SKETCH)
+            head = head[np.argsort(yv[head])]
+            sorted_, owner = yv[head], owner[head]
             for i in range(0, len(xi), 64):
                 j = min(len(xi), i + 64)
-                v, mine = xv[xo[i] : xo[j]], np.repeat(np.arange(j - i), np.diff(xo[i : j + 1]))
+                mine = np.repeat(np.arange(j - i), np.diff(xo[i : j + 1]))
+                head = np.arange(len(mine)) - (xo[i:j] - xo[i])[mine] < SKETCH
+                v, mine = xv[xo[i] : xo[j]][head], mine[head]
                 lo, hi = np.searchsorted(sorted_, v), np.searchsorted(sorted_, v, "right")
                 n = hi - lo
                 hit = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 shared = np.bincount(np.repeat(mine, n) * len(yi) + hit, minlength=(j - i) * len(yi)).reshape(j - i, len(yi))
                 small, large = np.minimum(xn[i:j, None], yn), np.maximum(xn[i:j, None], yn)
-                near = (xc[i:j, None] != yc) & (100 * small >= percent * large) & (100 * shared >= (percent - 50) * np.minimum(small, SKETCH))
+                near = (xc[i:j, None] != yc) & (100 * small >= percent * large) & (shared + 1 >= least * np.minimum(small, SKETCH))
                 near &= ~yout | (xi[i:j, None] < yi)  # two documents outside meet twice
                 for k in range(j - i):
                     own = xv[xo[i + k] : xo[i + k + 1]]
-                    good = sorted(((e, b) for b in np.flatnonzero(near[k]).tolist() if (e := _estimate(own, yv[yo[b] : yo[b + 1]])) >= least), reverse=True)
+                    good = []
+                    for b in np.flatnonzero(near[k]).tolist():
+                        e = _estimate(own, yv[yo[b] : yo[b + 1]], FINE)
+                        if e >= percent / 100 - (0.01 if large[k, b] <= FINE else doubt):
+                            good.append((e, b))
+                    good.sort(reverse=True)
                     more = best is not None and len(good) > best
                     out += [(min(int(xi[i + k]), int(yi[b])), max(int(xi[i + k]), int(yi[b])), more) for _, b in good[:best]]
         return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
@@ -300,8 +326,9 @@ def groups(docs: DataFrame, words: int, percent: int, slack: float = 0.25) -> Da
     for c in "ab":
         apart = apart.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
     others = _passing(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), sets, least, percent)
+    fine = written(_fine(texts.join(long_lists.select("id").distinct(), "id", "left_semi"), words), "fine")
     for best in (BEST, None):
-        across = written(_across(long_lists, found, sets, least, percent, best), "across")
+        across = written(_across(long_lists, found, fine, least, percent, best), "across")
         new = across.select("a", "b")
         new = checked(new.unionByName(others).distinct() if best else new)
         if not new.isEmpty():
