@@ -7,10 +7,12 @@ under all of them but its so many (less one) most frequent, and the two still me
 ``INDEX`` values this bound is exact; for larger ones fewer are shared with a chance below ``MISS``. No value is dropped
 for being frequent: a text made of frequent passages is listed under them.
 
-Lists of up to ``SHORT`` documents give all their pairs; in longer ones a document is paired with the list's first one and
+Lists of up to ``SHORT`` documents give all their pairs. The documents of longer lists get new lists, in the same way, from
+their ``FINE`` smallest values (32 bits each), which leave out what they share with unlike texts. In lists that stay long a
+document is paired with the list's first one and
 the one before it. A document's best candidate is verified first, and links are joined up to components. Then, in long
 lists, documents outside the list's largest component are compared with all others of other components, in blocks of
-``BLOCK``, by sketches of ``FINE`` values (32 bits each); pairs that pass the union-sketch estimate are verified by exact intersection and union of the full sets, which
+``BLOCK``, by their ``FINE`` values; pairs that pass the union-sketch estimate are verified by exact intersection and union of the full sets, which
 are made again from the texts. The first round sends the best ``BEST`` for a document and block; if that left any out, a
 second round sends them all.
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Powers, flat, free_name, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
 from .components import components
+from .tokens import gathered
 
 SKETCH, INDEX, FINE, SHORT, BLOCK, BEST = 64, 40, 256, 8, 1024, 4
 MISS = 1e-9  # chance that two similar sets share fewer of their INDEX smallest values than the lists count on
@@ -99,41 +102,43 @@ def sketches(docs: DataFrame, words: int = 3, k: int = SKETCH) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, rid long, n long, f1 long, f2 long, sketch binary")
 
 
-def shared_at_least(percent: int, sizes: int = 4 * INDEX) -> np.ndarray:
-    """By set size (the last entry: that and all larger): how many of its INDEX smallest values a similar set shares.
+def shared_at_least(percent: int, index: int = INDEX) -> np.ndarray:
+    """By set size (the last entry: that and all larger): how many of its ``index`` smallest values a similar set shares.
 
-    Of the INDEX smallest values of the union of ``u``, both sets hold those that they share, of which there are at least
-    ``percent * u / 100``: at most ``u - INDEX`` of them are not among the INDEX, and their number is at least that of a
+    Of the ``index`` smallest values of the union of ``u``, both sets hold those that they share, of which there are at least
+    ``percent * u / 100``: at most ``u - index`` of them are not among these, and their number is at least that of a
     binomial draw but for a chance of MISS."""
-    p, tail, likely = percent / 100, 0.0, 0
-    while likely < INDEX and (tail := tail + math.comb(INDEX, likely) * p**likely * (1 - p) ** (INDEX - likely)) <= MISS:
+    p, tail, likely, sizes = percent / 100, 0.0, 0, 4 * index
+    while likely < index and (tail := tail + math.comb(index, likely) * p**likely * (1 - p) ** (index - likely)) <= MISS:
         likely += 1
     out = np.full(sizes + 1, likely, np.int64)
     for n in range(sizes):
         of = [(-(-percent * u // 100), u) for u in range(max(n, 1), max(n * 100 // percent, 1) + 1)]
-        out[n] = max(1, min(x if u <= INDEX else max(x - (u - INDEX), likely) for x, u in of))
+        out[n] = max(1, min(x if u <= index else max(x - (u - index), likely) for x, u in of))
     return out
 
 
-def _lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, df, first): the inverted lists of at least two documents, their lengths and smallest ids."""
-    bound = shared_at_least(percent)
+def _lists(sets: DataFrame, percent: int, index: int = INDEX) -> DataFrame:
+    """(key, id, df, first) of ``sets(id, n, values)``: the inverted lists of at least two documents, their lengths and
+    smallest ids. ``values``: 64 bits each, or 32 where ``index`` is FINE."""
+    bound, kind = shared_at_least(percent, index), np.uint32 if index == FINE else np.int64
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("sketch"))
-            n = np.diff(offsets) // 8
-            first = np.arange(len(data) // 8) - np.repeat(offsets[:-1] // 8, n) < INDEX
+            data, offsets = flat(batch.column("values"))
+            data, offsets = data.view(kind), offsets // kind().itemsize
+            n = np.diff(offsets)
+            first = np.arange(len(data)) - np.repeat(offsets[:-1], n) < index
             need = bound[np.minimum(batch.column("n").to_numpy(), len(bound) - 1)].astype(np.int16)
-            yield pa.record_batch([pa.array(data.view(np.int64)[first]), pa.array(np.repeat(batch.column("id").to_numpy(), n)[first]), pa.array(np.repeat(need, n)[first])], ["key", "id", "need"])
+            yield pa.record_batch([pa.array(data[first].astype(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)[first]), pa.array(np.repeat(need, n)[first])], ["key", "id", "need"])
 
-    rows = sets.select("id", "n", "sketch").mapInArrow(values, "key long, id long, need short")
+    rows = sets.select("id", "n", "values").mapInArrow(values, "key long, id long, need short")
     met = rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
-    own = Window.partitionBy("id")  # at most INDEX rows
+    own = Window.partitionBy("id")  # at most ``index`` rows
     met = met.withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("df", "key")))
     kept = written(met.where("after >= need - 1").select("key", "id"), "lists")
     lengths = kept.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
-    return kept.join(lengths, "key")
+    return written(kept.join(lengths, "key"), "lists")
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
@@ -235,6 +240,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _heads(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SKETCH smallest values of each row, and where each row's begin."""
+    n = np.diff(edges)
+    head = np.arange(len(values)) - np.repeat(edges[:-1], n) < SKETCH
+    return values[head], np.append(0, np.cumsum(np.minimum(n, SKETCH)))
+
+
+def _earlier(keys: pa.ChunkedArray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.combine_chunks()
+    edges, values = keys.offsets.to_numpy().astype(np.int64), keys.flatten().to_numpy()
+    own = values < key
+    return values[own], np.append(0, np.cumsum(own))[edges - edges[0]]
+
+
+def _shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], i: int, j: int) -> np.ndarray:
+    """How many values each of the rows i..j of ``x`` shares with each row of ``y``: hits added up, or where these are
+    many, as a product of two tables of rows and common values."""
+    (xv, xo), (yv, yo) = x, y
+    m, n_y = j - i, len(yo) - 1
+    v, mine = xv[xo[i] : xo[j]], np.repeat(np.arange(m), np.diff(xo[i : j + 1]))
+    order = np.argsort(yv, kind="stable")
+    sorted_, owner = yv[order], np.repeat(np.arange(n_y), np.diff(yo))[order]
+    lo = np.searchsorted(sorted_, v)
+    n = np.searchsorted(sorted_, v, "right") - lo
+    met = n > 0
+    common, column = np.unique(lo[met], return_inverse=True)
+    if m * n_y * len(common) < 500 * n.sum():
+        left, right = np.zeros((m, len(common)), np.float32), np.zeros((n_y, len(common)), np.float32)
+        left[mine[met], column] = 1
+        times = np.searchsorted(sorted_, sorted_[common], "right") - common
+        at = np.repeat(common - np.cumsum(times) + times, times) + np.arange(times.sum())
+        right[owner[at], np.repeat(np.arange(len(common)), times)] = 1
+        return (left @ right.T).astype(np.int64)
+    hit = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    return np.bincount(np.repeat(mine, n) * n_y + hit, minlength=m * n_y).reshape(m, n_y)
+
+
+def _estimates(xv: np.ndarray, xo: np.ndarray, yv: np.ndarray, yo: np.ndarray, k: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of rows k and b from the FINE smallest values of their union."""
+    nx, ny = xo[k + 1] - xo[k], yo[b + 1] - yo[b]
+    of = np.arange(len(k), dtype=np.int64)
+    both = np.sort(np.concatenate([np.repeat(of, nx) << 32 | gathered(xv, xo[k], nx), np.repeat(of, ny) << 32 | gathered(yv, yo[b], ny)]))
+    new = np.append(True, both[1:] != both[:-1])
+    pair = both >> 32
+    first = np.searchsorted(pair, of)
+    rank = np.cumsum(new)
+    rank -= (rank[first] - 1)[pair]
+    distinct = np.bincount(pair, new, len(k))
+    most = np.where((nx >= FINE) | (ny >= FINE), np.minimum(distinct, FINE), distinct)
+    return np.bincount(pair, ~new & (rank <= most[pair]), len(k)) / np.maximum(most, 1)
+
+
 def _across(long_lists: DataFrame, found: DataFrame, fine: DataFrame, least: float, percent: int, best: int | None) -> DataFrame:
     """(a, b, more): pairs of different components within long lists that pass the estimate, each with at least one
     document outside its list's largest component. ``best``: so many for a document and block; ``more``: it had more."""
@@ -246,7 +303,7 @@ def _across(long_lists: DataFrame, found: DataFrame, fine: DataFrame, least: flo
     place = lambda n: F.pmod(F.hash("id"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("component") != F.col("main")
-    same = ["key", "id", "component", "n", "fine", outside.alias("outside")]
+    same = ["key", "id", "component", "n", "fine", "keys", outside.alias("outside")]
     all_ = rows.select(*same, place(bins).alias("c"), every(shares).alias("r"), F.lit(False).alias("asks"))
     asking = rows.where(outside).select(*same, every(bins).alias("c"), place(shares).alias("r"), F.lit(True).alias("asks"))
 
@@ -260,32 +317,29 @@ def _across(long_lists: DataFrame, found: DataFrame, fine: DataFrame, least: flo
             (xi, xc, xn), (yi, yc, yn) = ([t.column(c).to_numpy() for c in ("id", "component", "n")] for t in (x, y))
             (xv, xo), (yv, yo) = ((data.view(np.uint32), edges // 4) for data, edges in (flat(t.column("fine").combine_chunks()) for t in (x, y)))
             yout = y.column("outside").to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(yi)), np.diff(yo))
-            head = np.flatnonzero(np.arange(len(yv)) - yo[owner] < SKETCH)
-            head = head[np.argsort(yv[head])]
-            sorted_, owner = yv[head], owner[head]
-            for i in range(0, len(xi), 64):
-                j = min(len(xi), i + 64)
-                mine = np.repeat(np.arange(j - i), np.diff(xo[i : j + 1]))
-                head = np.arange(len(mine)) - (xo[i:j] - xo[i])[mine] < SKETCH
-                v, mine = xv[xo[i] : xo[j]][head], mine[head]
-                lo, hi = np.searchsorted(sorted_, v), np.searchsorted(sorted_, v, "right")
-                n = hi - lo
-                hit = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                shared = np.bincount(np.repeat(mine, n) * len(yi) + hit, minlength=(j - i) * len(yi)).reshape(j - i, len(yi))
+            key = x.column("key")[0].as_py()
+            heads = [_heads(v, o) for v, o in ((xv, xo), (yv, yo))]
+            before = [_earlier(t.column("keys"), key) for t in (x, y)]  # the lists compared before this one
+            for i in range(0, len(xi), 256):
+                j = min(len(xi), i + 256)
                 small, large = np.minimum(xn[i:j, None], yn), np.maximum(xn[i:j, None], yn)
-                near = (xc[i:j, None] != yc) & (100 * small >= percent * large) & (shared + 1 >= least * np.minimum(small, SKETCH))
+                near = (xc[i:j, None] != yc) & (100 * small >= percent * large) & (_shared(*heads, i, j) + 1 >= least * np.minimum(small, SKETCH))
                 near &= ~yout | (xi[i:j, None] < yi)  # two documents outside meet twice
-                for k in range(j - i):
-                    own = xv[xo[i + k] : xo[i + k + 1]]
-                    good = []
-                    for b in np.flatnonzero(near[k]).tolist():
-                        e = _estimate(own, yv[yo[b] : yo[b + 1]], FINE)
-                        if e >= percent / 100 - (0.01 if large[k, b] <= FINE else doubt):
-                            good.append((e, b))
-                    good.sort(reverse=True)
-                    more = best is not None and len(good) > best
-                    out += [(min(int(xi[i + k]), int(yi[b])), max(int(xi[i + k]), int(yi[b])), more) for _, b in good[:best]]
+                near &= _shared(*before, i, j) == 0
+                if near.sum() > 2000:  # bounds from all values at once leave few estimates to make
+                    full, whole = _shared((xv, xo), (yv, yo), i, j), large <= FINE
+                    near &= np.where(whole, full >= (percent / 100 - 0.01) * (xn[i:j, None] + yn - full), full >= (percent / 100 - doubt) * np.minimum(small, FINE) - 1)
+                k, b = np.nonzero(near)
+                e = np.concatenate([_estimates(xv, xo, yv, yo, k[c : c + 4000] + i, b[c : c + 4000]) for c in range(0, len(k), 4000)]) if len(k) else np.zeros(0)
+                good = e >= percent / 100 - np.where(large[k, b] <= FINE, 0.01, doubt)
+                k, b, e = k[good], b[good], e[good]
+                by = np.lexsort((-e, k))
+                k, b = k[by], b[by]
+                rank = np.arange(len(k)) - np.searchsorted(k, k)
+                more = np.bincount(k, minlength=j - i)[k] > best if best is not None else np.zeros(len(k), bool)
+                use = rank < best if best is not None else np.ones(len(k), bool)
+                pair = np.stack([xi[i + k[use]], yi[b[use]]])
+                out += zip(pair.min(0).tolist(), pair.max(0).tolist(), more[use].tolist())
         return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
 
     tasks = all_.unionByName(asking)
@@ -314,11 +368,17 @@ def groups(docs: DataFrame, words: int, percent: int, slack: float = 0.25) -> Da
     sets = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "*"), "sets")
     smallest = -(-percent // (100 - percent))  # smaller sets are similar only to equal ones
-    lists = written(_lists(sets.where(F.col("n") >= smallest), percent), "lists")
-    pairs = written(_candidates(lists), "candidates")
-    long_lists = lists.where(F.col("df") > SHORT)
-    inside = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(long_lists.select("id")).distinct()
+    rough = _lists(sets.where(F.col("n") >= smallest).select("id", "n", F.col("sketch").alias("values")), percent)
+    crowded = rough.where(F.col("df") > SHORT).select("id").distinct()
+    inside = rough.where(F.col("df") <= SHORT).select("id").unionAll(crowded).distinct()
     texts = written(_texts(docs, sets.join(inside, "id", "left_semi").select("id", "doc", "f1", "f2"), words), "texts")
+    fine = written(_fine(texts.join(crowded, "id", "left_semi"), words), "fine")
+    lists = _lists(fine.select("id", "n", F.col("fine").alias("values")), percent, FINE)
+    long_lists = lists.where(F.col("df") > SHORT)
+    pairs = _candidates(rough.where(F.col("df") <= SHORT)).unionByName(_candidates(lists))
+    pairs = written(pairs.groupBy("a", "b").agg(F.sum("overlaps").alias("overlaps")), "candidates")
+    keys = long_lists.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most FINE
+    fine = written(fine.join(keys, "id"), "fine")
     checked = lambda found: written(_verified(written(found, "passing"), texts, percent, words).distinct(), "similar")
     first = pairs.groupBy("b").agg(F.max(F.struct("overlaps", "a")).alias("x")).select("x.a", "b")
     found = _joined(None, checked(_passing(first, sets, least, percent)))
@@ -326,11 +386,12 @@ def groups(docs: DataFrame, words: int, percent: int, slack: float = 0.25) -> Da
     for c in "ab":
         apart = apart.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
     others = _passing(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), sets, least, percent)
-    fine = written(_fine(texts.join(long_lists.select("id").distinct(), "id", "left_semi"), words), "fine")
+    new = checked(others)
+    if not new.isEmpty():
+        found = _joined(found, new)
     for best in (BEST, None):
         across = written(_across(long_lists, found, fine, least, percent, best), "across")
-        new = across.select("a", "b")
-        new = checked(new.unionByName(others).distinct() if best else new)
+        new = checked(across.select("a", "b"))
         if not new.isEmpty():
             found = _joined(found, new)
         if across.where("more").isEmpty():
