@@ -1,29 +1,22 @@
-"""Language-model scoring by prediction by partial matching.
-
-Four contexts, each escaping to the next:
-
-1. the document so far: a token seen ``j`` times among ``t`` has weight ``j``, the escape has weight ``history``;
-2. the training texts of one class: a token counted ``c`` times has weight ``c - 1/2``, the escape half the number of
-   the class's distinct tokens (method D). Classes are ``CLASSES`` hashes of a label of the training rows; the label of
-   a scored row is not read: its probability is the mean over the classes, weighted by their training rows;
-3. all training texts, likewise;
-4. the spelling: a trie of byte contexts of a token (the last ``ORDERS`` bytes, its start included, an end symbol
-   closing it), trained on the distinct training tokens. Escapes follow method C and symbols of longer contexts are
-   excluded, down to equal chances for the symbols never seen.
-
-Contexts are blended on escape, so the probabilities of all token sequences sum to one at most. The first context is
-exchangeable: its code length depends on the document's counts only, and is summed with log-gamma.
-
-Spark cuts the documents into blocks of about ``BLOCK`` bytes. A block gives its distinct tokens with their training
-counts and a compressed table of (document, token, count). Tokens are counted over the corpus, spelled once each, and
-joined back to the blocks that hold them; what is shuffled grows with the corpus and nothing of it reaches the driver.
-Only the trie is broadcast: exact contexts of up to two bytes and, for the third and fourth, ``2**SPLIT`` classes of a
-byte each. All orders are kept at every size: a trie of more than ``max_trie`` counts is dealt into shares by the last
-two bytes of the context, and the words are spelled share by share, each symbol by the share that has its contexts.
-
-Defined results: null text is the empty text (its only token is the end); without training documents the counts are 0
-and the base score takes its formula with N = 0; repeated rows are scored each; a null id counts as the empty text in
-the share; an empty input gives an empty result; other columns are ignored.
+"""Language-model scoring by prediction by partial matching, pretrained on the training texts.
+
+The text is read as running bytes: words, lower-cased, each followed by a blank, then an end symbol. A byte is predicted
+in the context of the ``ORDERS`` bytes before it, which run across word boundaries (at a word's start: the blank and the
+last byte of the word before). A trie holds the counts of symbols by context, from every training position and in
+contexts of all orders. A symbol new to a context costs an escape (method C) and is sought in the next shorter one, with
+the symbols of the longer context excluded, down to equal chances for symbols never seen. The probabilities of all
+symbols that may follow a context sum to one. The score is the code length of the document, summed.
+
+Since no context reaches back over more than two bytes before a word, a word's code length depends on the word and one
+byte before the blank: such *units* are counted over the corpus, coded once each, and joined back to the blocks of about
+``BLOCK`` bytes that hold them. What is shuffled grows with the corpus and nothing of it reaches the driver but the trie's
+counts, which are broadcast. A trie of more than ``max_trie`` counts is dealt into shares by the last two bytes of the
+context, and the units are coded share by share, each symbol by the share that has its contexts: orders and scores are
+the same at every size.
+
+Defined results: null text is the empty text (its only token is the end); without training documents the counts are 0,
+the base score takes its formula with N = 0 and the model knows no context; repeated rows are scored each; a null id
+counts as the empty text in the share; an empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,52 +32,47 @@ from pyspark.sql import functions as F
 
 from .common import crc_share, flat, lower_ascii, pieces, utf8, word_bounds, written
 
-ORDERS, SPLIT, BLOCK, END, SYMBOLS, CLASSES = 4, 3, 32 << 20, 256, 257, 8
-FIRST = [0, 1, 257, 257 + 65536, 257 + 65536 + (65536 << SPLIT)]  # where the contexts of each order begin
+ORDERS, BLOCK, END, SYMBOLS = 4, 32 << 20, 256, 257
+FIRST = [0, 1, 1 + (1 << 8), 1 + (1 << 8) + (1 << 16), 1 + (1 << 8) + (1 << 16) + (1 << 24)]  # where the contexts of each order begin
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for x > 0, by Stirling's series after a shift by 8."""
-    shift = np.log(x)
-    for i in range(1, 8):
-        shift += np.log(x + i)
-    z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.91893853320467274178 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
-
-
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the rows, lower-cased, and the row of each."""
+def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All units of the rows and the row of each: the last byte of the word before (a blank at the text's start) and the
+    lower-cased word, or no word for the end."""
     data, offsets = flat(utf8(texts))
     low = lower_ascii(data)
     starts, ends, first = word_bounds(low, offsets)
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    last = np.append(32, low[ends - 1]) if len(ends) else np.array([32], np.uint8)  # of each word, after a blank
+    before = np.where(np.arange(len(starts)) == first[:-1][row], 32, last[:-1])
+    final = np.where(np.diff(first) > 0, last[first[1:]], 32)
     solid = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edges = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(low[solid])])
-    return words, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    sizes = ends - starts
+    body = np.insert(low[solid], np.cumsum(sizes) - sizes, before)
+    edges = np.append(0, np.cumsum(np.concatenate([sizes + 1, np.ones(n, np.int64)]))).astype(np.int64)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts) + n, [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate([body, final]).astype(np.uint8))])
+    return units, np.concatenate([row, np.arange(n)])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Of ``docs(doc_id, held_out, class, text)``: rows (block, word, at, n0, ...) of tokens and, with a null word,
-    (block, table). n: training counts by class."""
-    counts = [f"n{k}" for k in range(CLASSES)]
+    """Of ``docs(doc_id, held_out, text)``: rows (block, unit, at, n) of units, ``n`` in training texts, and, with a null
+    unit, (block, table)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        names = ["block", "word", "at", *counts, "table"]
+        names = ["block", "unit", "at", "n", "table"]
         for batch in pieces(batches, "text", BLOCK):
             block = (part << 33) + count
             count += 1
-            words, rows = _words(batch.column("text"))
-            coded = words.dictionary_encode()
+            units, rows = _units(batch.column("text"))
+            coded = units.dictionary_encode()
             at, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            kind = batch.column("class").to_numpy().astype(np.int64)
-            learn = ~held[rows]
-            n = np.bincount(at[learn] + size * kind[rows[learn]], minlength=size * CLASSES).reshape(CLASSES, size)
+            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)[rows]
+            n = np.bincount(at[learn], minlength=size)
             key, times = np.unique((rows << 32) + at, return_counts=True)
             rows, at = key >> 32, key & 0xFFFFFFFF
-            per_row = np.bincount(rows, minlength=batch.num_rows)
-            edges = pa.array(np.append(0, np.cumsum(per_row)).astype(np.int32))
+            edges = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))).astype(np.int32))
             table = pa.record_batch([
                 batch.column("doc_id"), batch.column("held_out"),
                 pa.ListArray.from_arrays(edges, pa.array(np.diff(at, prepend=0).astype(np.int32))),
@@ -93,37 +81,34 @@ def blocks(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(table)
-            yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.int32()), *[pa.array([None], pa.int64())] * CLASSES, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+            yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
             for i in range(0, size, 50_000):
                 some = coded.dictionary.slice(i, 50_000).cast(pa.binary())
                 m = len(some)
-                yield pa.record_batch([pa.array(np.full(m, block)), some, pa.array(np.arange(i, i + m, dtype=np.int32)), *(pa.array(x[i : i + m].astype(np.int64)) for x in n), pa.nulls(m, pa.binary())], names)
-
-    return docs.mapInArrow(cut, "block long, word binary, at int, " + ", ".join(f"{c} long" for c in counts) + ", table binary")
-
-
-def contexts(words: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the words (each closed by END), the word of each, and the contexts by order (-1: none so long)."""
-    data, offsets = flat(words)
-    n = np.diff(offsets)
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    ends = np.cumsum(n + 1) - 1
-    symbols = np.empty(len(owner), np.int64)
-    inner = np.ones(len(owner), bool)
-    inner[ends] = False
-    symbols[inner], symbols[ends] = data, END
-    place = np.arange(len(owner)) - np.repeat(ends - n, n + 1)
-    last = []  # the byte before, the one before that, ...: a blank stands before a word
-    for k in range(1, orders + 1):
-        x = np.full(len(owner), 32, np.int64)
-        x[place >= k] = symbols[np.flatnonzero(place >= k) - k]
-        last.append(x)
+                yield pa.record_batch([pa.array(np.full(m, block)), some, pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(n[i : i + m].astype(np.int64)), pa.nulls(m, pa.binary())], names)
+
+    return docs.mapInArrow(cut, "block long, unit binary, at int, n long, table binary")
+
+
+def contexts(units: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the units (the word's bytes and a blank, or the end), the unit of each, and the contexts by order (-1:
+    not so long)."""
+    data, offsets = flat(units)
+    n = np.diff(offsets)  # symbols: a byte stands before the word, a blank after it
+    owner = np.repeat(np.arange(len(n)), n)
+    ends = offsets[1:] - 1
+    place = np.arange(len(owner)) - offsets[:-1][owner]
+    symbols = np.append(data[1:], 0).astype(np.int64)
+    symbols[ends] = np.where(n > 1, 32, END)
     out = np.full((orders + 1, len(owner)), -1, np.int64)
     out[0] = 0
     code = np.zeros(len(owner), np.int64)
     for k in range(1, orders + 1):
-        code = code * 256 + last[k - 1] if k <= 2 else (code << SPLIT) + ((last[k - 1] * 0x9E37 >> 7) & ((1 << SPLIT) - 1))
-        fits = place >= k - 1
+        at = np.arange(len(owner)) - k
+        # Before the word's first byte stands a blank, before that the unit's byte.
+        back = np.where(place >= k, symbols[at], np.where(place == k - 1, 32, data[offsets[:-1][owner]]))
+        code = code * 256 + back
+        fits = place >= k - 2
         out[k, fits] = FIRST[k] + code[fits]
     return symbols, owner, out
 
@@ -145,8 +130,7 @@ class Trie:
         # How much of the next shorter context the symbols of a context make up.
         order_of = np.searchsorted(FIRST, self.nodes, "right") - 1
         code = self.nodes - np.array(FIRST)[order_of]
-        shorter = np.where(order_of > 2, code >> SPLIT, code >> 8)
-        parent = np.where(order_of > 0, np.array([0, *FIRST[:-1]])[order_of] + shorter, 0)
+        parent = np.where(order_of > 0, np.array([0, *FIRST[:-1]])[order_of] + (code >> 8), 0)
         at = np.repeat(parent, self.distinct) * SYMBOLS + self.keys % SYMBOLS
         inside = self.count(at)
         self.covered = np.add.reduceat(inside, first) if len(of) else np.zeros(0, np.int64)
@@ -155,9 +139,9 @@ class Trie:
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[i] == keys, self.counts[i], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
-    def spelled(self, words: pa.Array) -> np.ndarray:
-        """Natural logarithm of the probability of each word; of a share: its summand."""
-        symbols, owner, ctx = contexts(words, self.orders)
+    def coded(self, units: pa.Array) -> np.ndarray:
+        """Natural logarithm of the probability of each unit; of a share: its summand."""
+        symbols, owner, ctx = contexts(units, self.orders)
         cost = np.zeros(len(symbols))
         open_ = np.arange(len(symbols))
         if self.shares > 1:  # symbols with a shorter context belong to the first share
@@ -183,123 +167,89 @@ class Trie:
             open_ = open_[~got]
         seen = int(self.distinct[0]) if len(self.nodes) and self.nodes[0] == 0 else 0
         cost[open_] -= np.log(max(SYMBOLS - seen, 1))
-        return np.bincount(owner, cost, len(words))
+        return np.bincount(owner, cost, len(units))
 
 
-def train(types: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Iterator[Trie]:
-    """The trie of ``types(word)``, in shares of about ``max_trie`` counts: every distinct token counts once."""
+def train(units: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Iterator[Trie]:
+    """The trie of ``units(unit, n)``, in shares of about ``max_trie`` counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            symbols, _, ctx = contexts(batch.column("word"), orders)
-            found, n = np.unique((ctx * SYMBOLS + symbols)[ctx >= 0], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            symbols, owner, ctx = contexts(batch.column("unit"), orders)
+            n = np.broadcast_to(batch.column("n").to_numpy()[owner], ctx.shape)[ctx >= 0]
+            keys, at = np.unique(np.concatenate([keys, (ctx * SYMBOLS + symbols)[ctx >= 0]]), return_inverse=True)
             sums = np.bincount(at, np.concatenate([sums, n]), len(keys)).astype(np.int64)
         yield pa.record_batch([pa.array(keys), pa.array(sums)], ["key", "n"])
 
-    table = written(types.select("word").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
+    table = written(units.select("unit", "n").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
     shares = max(1, -(-table.count() // max_trie))
     context = f"(key div {SYMBOLS})"
-    two = f"case when {context} < {FIRST[3]} then {context} - {FIRST[2]} when {context} < {FIRST[4]} then shiftright({context} - {FIRST[3]}, {SPLIT}) else shiftright({context} - {FIRST[4]}, {2 * SPLIT}) end"
+    two = f"case when {context} < {FIRST[3]} then {context} - {FIRST[2]} when {context} < {FIRST[4]} then shiftright({context} - {FIRST[3]}, 8) else shiftright({context} - {FIRST[4]}, 16) end"
     for share in range(shares):
         own = table if shares == 1 else table.where(f"{context} < {FIRST[2]} or shiftright(({two}) * 40503, 3) % {shares} = {share}")
         got = own.toArrow()
         yield Trie(got.column("key").to_numpy(), got.column("n").to_numpy(), orders, share, shares)
 
 
-def score(docs: DataFrame, history: float = 1000.0, max_trie: int = 1 << 24) -> DataFrame:
-    """Scores of ``docs(doc_id, text, held_out, label)``; the model learns from the rows that are not held out.
+def score(docs: DataFrame, max_trie: int = 1 << 24) -> DataFrame:
+    """Scores of ``docs(doc_id, text, held_out)``; the model learns from the rows that are not held out.
 
     ``max_trie``: counts of the trie that a broadcast holds; the scores do not depend on it."""
     spark = docs.sparkSession
-    kind = F.crc32(F.coalesce(F.col("label").cast("string"), F.lit("")).cast("binary")) % CLASSES
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), kind.cast("int").alias("class"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
     found = written(blocks(rows), "blocks")
-    tokens, names = found.where("word is not null"), [f"n{k}" for k in range(CLASSES)]
-    vocabulary = written(tokens.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]), "vocabulary")
-    c = sum((F.col(x) for x in names[1:]), F.col(names[0]))
-    sums = vocabulary.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names], *[F.count(F.when(F.col(x) > 0, 1)) for x in names], F.count(F.when(c > 0, 1))).first()
-    ends = np.zeros(CLASSES, np.int64)
-    for r in rows.where("not held_out").groupBy("class").count().collect():  # at most CLASSES rows
-        ends[r[0]] = r[1]
-    c_end = int(ends.sum())
-    sizes, distinct = np.array(sums[:CLASSES]) + ends, np.array(sums[CLASSES:-1]) + (ends > 0)
-    total, kinds = int(sizes.sum()), int(sums[-1]) + (c_end > 0)
-
-    def spelling(shared) -> Callable:
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    units = written(found.where("unit is not null").groupBy("unit").agg(F.sum("n").alias("n")), "units")
+    word = F.expr("substring(unit, 2)")
+    words = written(units.groupBy(word.alias("word")).agg(F.sum("n").alias("c")), "words")
+    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+
+    def coding(shared) -> Callable:
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    sums = pc.add(batch.column("spelled"), pa.array(shared.value.spelled(batch.column("word"))))
-                    yield batch.set_column(batch.schema.get_field_index("spelled"), "spelled", sums)
+                    sums = pc.add(batch.column("cost"), pa.array(shared.value.coded(batch.column("unit"))))
+                    yield batch.set_column(batch.schema.get_field_index("cost"), "cost", sums)
 
-        return spell
+        return code
 
-    spelled, spelled_end = vocabulary.withColumn("spelled", F.lit(0.0)), np.zeros(1)
-    for trie in train(vocabulary.where(c > 0), max_trie=max_trie):
+    coded = units.select("unit", F.lit(0.0).alias("cost"))
+    for trie in train(units.where("n > 0"), max_trie=max_trie):
         shared = spark.sparkContext.broadcast(trie)
-        spelled = spelled.mapInArrow(spelling(shared), spelled.schema)
-        spelled_end = spelled_end + trie.spelled(pa.array([b""], pa.binary()))
+        coded = coded.mapInArrow(coding(shared), coded.schema)
         if trie.shares > 1:  # one share at a time is held
-            spelled = written(spelled, "spelled")
+            coded = written(coded, "coded")
             shared.destroy()
-    known = tokens.select("block", "word", "at").join(spelled, "word").select(F.col("block").alias("of"), "at", *names, "spelled")
-
-    def prior(n: np.ndarray, spelled: np.ndarray) -> list[tuple[float, np.ndarray]]:
-        """(share, probabilities) by class; without training texts the spelling alone."""
-        whole = np.exp(spelled)
-        if not total:
-            return [(1.0, np.maximum(whole, 1e-290))]
-        whole = np.maximum((np.maximum(n.sum(0) - 0.5, 0) + kinds / 2 * whole) / total, 1e-290)
-        return [(ends[k] / c_end, (np.maximum(n[k] - 0.5, 0) + distinct[k] / 2 * whole) / sizes[k]) for k in range(CLASSES) if ends[k]]
+    coded = coded.withColumn("word", word).join(words, "word").select("unit", "c", "cost")
+    known = found.where("unit is not null").select("block", "unit", "at").join(coded, "unit").select(F.col("block").alias("of"), "at", "c", "cost")
 
     def judge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
         place = right.column("at").to_numpy()
-        n, s = np.zeros((CLASSES, right.num_rows), np.int64), np.zeros(right.num_rows)
-        for k, x in enumerate(names):
-            n[k, place] = right.column(x).to_numpy()
-        s[place] = right.column("spelled").to_numpy()
-        c = n.sum(0)
-        floor = np.log10((c_end + 0.5) / (total + 0.5 * (kinds + 1)))
+        c, cost = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows)
+        c[place], cost[place] = right.column("c").to_numpy(), right.column("cost").to_numpy()
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+        out = []
         for blob in left.column("table").to_pylist():
             table = pa.ipc.open_stream(blob).read_all().combine_chunks()
             n_docs = table.num_rows
             step, times = table.column("step").combine_chunks(), table.column("times").combine_chunks()
             doc = np.repeat(np.arange(n_docs), np.diff(step.offsets.to_numpy()))
             at, k = np.cumsum(step.flatten().to_numpy().astype(np.int64)), times.flatten().to_numpy().astype(np.int64)
-            size = np.bincount(doc, k, n_docs).astype(np.int64) + 1
-            more = np.flatnonzero(k > 1)
-            by_class = []
-            for (share, p), (_, p_end) in zip(prior(n, s), prior(ends[:, None], spelled_end)):
-                x = history * p
-                one = np.log(x)
-                gain = one[at]
-                rest = one - log_gamma(x + 1)
-                gain[more] = log_gamma(k[more] + x[at[more]]) + rest[at[more]]
-                by_class.append(np.log(share) + np.bincount(doc, gain, n_docs) + np.log(history * p_end[0]))
-            by_class = np.array(by_class)
-            best = by_class.max(0)
-            model = best + np.log(np.exp(by_class - best).sum(0)) - (log_gamma(size + history) - log_gamma(np.full(n_docs, history)))
             out.append(pa.table({
-                "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": size,
-                "n_known": np.bincount(doc, k * (c[at] > 0), n_docs).astype(np.int64) + int(c_end > 0),
-                "train_tokens": np.full(n_docs, total),
-                "base_score": np.bincount(doc, k * base[at], n_docs) + floor,
-                "score": model / np.log(10),
+                "doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
+                "n_tokens": np.bincount(doc, k, n_docs).astype(np.int64), "n_known": np.bincount(doc, k * (c[at] > 0), n_docs).astype(np.int64),
+                "train_tokens": np.full(n_docs, total), "base_score": np.bincount(doc, k * base[at], n_docs), "score": np.bincount(doc, k * cost[at], n_docs) / np.log(10),
             }))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
-    tables = found.where("word is null").select("block", "table").toDF("block", "table")
+    tables = found.where("unit is null").select("block", "table")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return tables.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(judge, schema)
 
 
 def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs.select("doc_id", "text", (crc_share("doc_id", 5) == 1).alias("held_out"), F.col("lang").alias("label")))
+    return score(docs.select("doc_id", "text", (crc_share("doc_id", 5) == 1).alias("held_out")))

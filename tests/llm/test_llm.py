@@ -228,42 +228,67 @@ def test_packing_places_everything(spark, docs, texts):
     assert packing.pack_documents(empty(spark), tokenizer_path("byte_bpe_50k.json"), end=0).count() == 0
 
 
-def test_ppm_base_and_sums(spark, docs, texts):
+def ppm_brute_force(training, texts, orders=4):
+    """log10 probabilities by a plain dictionary model; contexts at a word's start reach two bytes back."""
+    def symbols(t):
+        before, out = 32, []
+        for w in (t or "").encode().lower().split():
+            own = [*w, 32]
+            out += [(s, bytes([before, 32, *own[:i]])[-orders:]) for i, s in enumerate(own)]
+            before = w[-1]
+        return [*out, (256, bytes([before, 32]))]
+
+    counts = collections.defaultdict(collections.Counter)
+    for t in training:
+        for s, ctx in symbols(t):
+            for k in range(len(ctx) + 1):
+                counts[ctx[len(ctx) - k :]][s] += 1
+
+    def chance(s, ctx):
+        p, gone = 1.0, set()
+        for k in range(len(ctx), -1, -1):
+            own = {x: n for x, n in counts.get(ctx[len(ctx) - k :], {}).items() if x not in gone}
+            n, d = sum(own.values()), len(own)
+            if not n:
+                continue
+            if s in own:
+                return p * own[s] / (n + d)
+            p *= d / (n + d)
+            gone |= own.keys()
+        return p / (257 - len(gone))
+
+    return [sum(np.log10(chance(s, ctx)) for s, ctx in symbols(t)) for t in texts], chance
+
+
+def test_ppm_equals_brute_force(spark, docs, texts):
     import math
     import re
 
-    rows = ppm.score(docs.selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out", "lang as label")).collect()
+    rows = ppm.score(docs.selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out", "1 as n", "2 as block")).collect()
     split = {i: [w.encode() for w in re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())] + [None] for i, t in enumerate(texts)}
     c = collections.Counter(w for i, ws in split.items() if i % 5 != 1 for w in ws)
     n, v = sum(c.values()), len(c)
+    want, chance = ppm_brute_force([t for i, t in enumerate(texts) if i % 5 != 1], texts)
+    assert len(rows) == len(texts)
     for r in rows:
         own = split[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9) and r.score < 0
-    assert ppm.score(empty(spark).selectExpr("doc_id", "text", "false as held_out", "lang as label")).count() == 0
-
-
-def test_ppm_spelling_is_a_distribution():
-    import pyarrow as pa
-
-    s, _, ctx = ppm.contexts(pa.array([b"ab", b"abc", b"b"], pa.binary()), 3)
-    keys, n = np.unique((ctx * ppm.SYMBOLS + s)[ctx >= 0], return_counts=True)
-    trie = ppm.Trie(keys, n, 3)
-    one = [bytes([i]) for i in range(256)]
-    total = np.exp(trie.spelled(pa.array([b"", *one], pa.binary()))).sum()
-    assert 0 < total < 1
-    assert np.allclose(ppm.log_gamma(np.array([0.5, 1.0, 5.0])), [0.5723649429247001, 0.0, 3.1780538303479458], atol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r.doc_id
+    for ctx in (b"", b" ", b"a ", b"e th", b"zzzz", b"x"):
+        assert math.isclose(sum(chance(s, ctx) for s in range(257)), 1, rel_tol=1e-9)
+    turned = docs.selectExpr("doc_id", "array_join(reverse(split(text, ' ')), ' ') as text", "false as held_out").where("doc_id in (5, 6, 7, 8)")
+    both = docs.selectExpr("doc_id + 1000 as doc_id", "text", "false as held_out").unionByName(turned.selectExpr("doc_id", "text", "true as held_out"))
+    got = {x.doc_id: x.score for x in ppm.score(both).collect()}
+    assert any(abs(got[i] - got[i + 1000]) > 0.01 for i in (5, 6, 7, 8))  # the order of words counts
+    assert ppm.score(empty(spark).selectExpr("doc_id", "text", "false as held_out")).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (4, None)], "doc_id long, text string").selectExpr("*", "true as held_out")
+    assert [(x.n_known, x.train_tokens) for x in ppm.score(odd).collect()] == [(0, 0)] * 4
 
 
 def test_ppm_scores_do_not_depend_on_the_size_of_a_share(spark, docs):
-    rows = docs.selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out", "lang as label")
-    types = spark.createDataFrame([(w.encode(),) for w in words(random.Random(2), 300).split()], "word binary").distinct()
-    tries = list(ppm.train(types, max_trie=500))
-    assert len(tries) > 2 and all(t.orders == ppm.ORDERS for t in tries)
-    some = [b"", b"a", b"abc", b"\xc3\xa9lan", b"unseen"]
-    whole = next(iter(ppm.train(types))).spelled(pa.array(some, pa.binary()))
-    assert np.allclose(sum(t.spelled(pa.array(some, pa.binary())) for t in tries), whole, atol=1e-9)
-    one, many = ({x.doc_id: x.score for x in ppm.score(rows, max_trie=m).collect()} for m in (1 << 24, 2_000))
+    rows = docs.selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out")
+    one, many = ({x.doc_id: x.score for x in ppm.score(rows, max_trie=m).collect()} for m in (1 << 24, 6_000))
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)
 
 
