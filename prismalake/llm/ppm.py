@@ -1,18 +1,17 @@
 """Language-model scoring by prediction by partial matching, pretrained on the training texts.
 
 The text is read as running bytes: words, lower-cased, each followed by a blank, then an end symbol. A byte is predicted
-in the context of the ``ORDERS`` bytes before it, which run across word boundaries (at a word's start: the blank and the
-last byte of the word before). A trie holds the counts of symbols by context, from every training position and in
-contexts of all orders. A symbol new to a context costs an escape (method C) and is sought in the next shorter one, with
-the symbols of the longer context excluded, down to equal chances for symbols never seen. The probabilities of all
-symbols that may follow a context sum to one. The score is the code length of the document, summed.
-
-Since no context reaches back over more than two bytes before a word, a word's code length depends on the word and one
-byte before the blank: such *units* are counted over the corpus, coded once each, and joined back to the blocks of about
-``BLOCK`` bytes that hold them. What is shuffled grows with the corpus and nothing of it reaches the driver but the trie's
-counts, which are broadcast. A trie of more than ``max_trie`` counts is dealt into shares by the last two bytes of the
-context, and the units are coded share by share, each symbol by the share that has its contexts: orders and scores are
-the same at every size.
+in the context of the ``ORDERS`` bytes before it, which run across word boundaries; blanks stand before a text's start. A
+trie holds the counts of symbols by context, from every training position and in contexts of all orders. A symbol new to
+a context costs an escape (method C) and is sought in the next shorter one, with the symbols of the longer context
+excluded, down to equal chances for symbols never seen. The probabilities of all symbols that may follow a context sum to
+one. The score is the code length of the document, summed.
+
+Tasks add up equal strings of ``ORDERS + 1`` symbols before the shuffle, and Spark adds up the corpus; what is shuffled
+grows with it. The trie's counts are broadcast: a trie of more than ``max_trie`` counts is dealt into shares by the last
+two bytes of the context, and a symbol is coded by the share that has its contexts, one share at a time: orders and
+scores are the same at every size. Documents are coded in pieces of about ``PIECE`` bytes, equal strings of a piece once.
+For the base score, tokens are counted over the corpus and joined back to the blocks of documents that hold them.
 
 Defined results: null text is the empty text (its only token is the end); without training documents the counts are 0,
 the base score takes its formula with N = 0 and the model knows no context; repeated rows are scored each; a null id
@@ -21,7 +20,8 @@ counts as the empty text in the share; an empty input gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +32,82 @@ from pyspark.sql import functions as F
 
 from .common import crc_share, flat, lower_ascii, pieces, utf8, word_bounds, written
 
-ORDERS, BLOCK, END, SYMBOLS = 4, 32 << 20, 256, 257
-FIRST = [0, 1, 1 + (1 << 8), 1 + (1 << 8) + (1 << 16), 1 + (1 << 8) + (1 << 16) + (1 << 24)]  # where the contexts of each order begin
+ORDERS, BLOCK, PIECE, END, SYMBOLS = 5, 32 << 20, 8 << 20, 256, 257
+FIRST = [0, *np.cumsum([1 << (8 * k) for k in range(ORDERS)]).tolist()]  # where the contexts of each order begin
 
 
-def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All units of the rows and the row of each: the last byte of the word before (a blank at the text's start) and the
-    lower-cased word, or no word for the end."""
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the rows, lower-cased, then an empty one for each row's end, and the row of each."""
+    data, offsets = flat(utf8(texts))
+    low = lower_ascii(data)
+    starts, ends, first = word_bounds(low, offsets)
+    solid = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    n = len(offsets) - 1
+    edges = np.append(0, np.cumsum(np.concatenate([ends - starts, np.zeros(n, np.int64)]))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts) + n, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(low[solid]))])
+    return words, np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of the rows its context of ORDERS bytes (the nearest first) and itself, as one number, and its row."""
     data, offsets = flat(utf8(texts))
     low = lower_ascii(data)
     starts, ends, first = word_bounds(low, offsets)
     n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    last = np.append(32, low[ends - 1]) if len(ends) else np.array([32], np.uint8)  # of each word, after a blank
-    before = np.where(np.arange(len(starts)) == first[:-1][row], 32, last[:-1])
-    final = np.where(np.diff(first) > 0, last[first[1:]], 32)
+    words = np.diff(first)
+    sizes = ends - starts + 1  # each with a blank
     solid = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    sizes = ends - starts
-    body = np.insert(low[solid], np.cumsum(sizes) - sizes, before)
-    edges = np.append(0, np.cumsum(np.concatenate([sizes + 1, np.ones(n, np.int64)]))).astype(np.int64)
-    units = pa.Array.from_buffers(pa.large_binary(), len(starts) + n, [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate([body, final]).astype(np.uint8))])
-    return units, np.concatenate([row, np.arange(n)])
+    running = np.insert(low[solid], np.cumsum(sizes - 1), np.uint8(32)).astype(np.int64)
+    total = np.append(0, np.cumsum(sizes))
+    length = total[first[1:]] - total[first[:-1]]
+    symbols = np.insert(running, np.cumsum(length), END)
+    length = length + 1
+    row = np.repeat(np.arange(n, dtype=np.int32), length)
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(length) - length, length)
+    code = np.zeros(len(symbols), np.int64)
+    for k in range(1, ORDERS + 1):
+        back = np.roll(symbols, k)
+        back[place < k] = 32
+        code = code * 256 + back
+    return code * 512 + symbols, row
+
+
+def contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and contexts by order of what ``grams`` gives."""
+    code = keys >> 9
+    return keys & 511, np.stack([FIRST[k] + (code >> (8 * (ORDERS - k))) for k in range(ORDERS + 1)])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Of ``docs(doc_id, held_out, text)``: rows (block, unit, at, n) of units, ``n`` in training texts, and, with a null
-    unit, (block, table)."""
+def rows_at_most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", PIECE):
+        for i in range(0, batch.num_rows, 8192):
+            yield batch.slice(i, 8192)
+
+
+def blocks(docs: DataFrame, tries: list) -> DataFrame:
+    """Of ``docs(doc_id, held_out, text)``: rows (block, word, at, n) of tokens, ``n`` in training texts, and, with a null
+    word, (block, table), which has the model's scores. ``tries``: broadcasts of the shares of the trie."""
+
+    def cost(texts: pa.Array) -> np.ndarray:
+        keys, row = grams(texts)
+        keys, at = np.unique(keys, return_inverse=True)
+        symbols, ctx = contexts(keys)
+        each = np.zeros(len(keys))
+        for shared in tries:
+            each += shared.value.coded(symbols, ctx)
+            if len(tries) > 1:
+                shared.__dict__.pop("_value", None)  # one share at a time is held
+        return np.bincount(row, each[at], len(texts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        names = ["block", "unit", "at", "n", "table"]
+        names = ["block", "word", "at", "n", "table"]
         for batch in pieces(batches, "text", BLOCK):
             block = (part << 33) + count
             count += 1
-            units, rows = _units(batch.column("text"))
-            coded = units.dictionary_encode()
+            score = np.concatenate([cost(b.column("text")) for b in rows_at_most(iter([batch]))])
+            words, rows = _words(batch.column("text"))
+            coded = words.dictionary_encode()
             at, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
             learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)[rows]
             n = np.bincount(at[learn], minlength=size)
@@ -74,10 +115,10 @@ def blocks(docs: DataFrame) -> DataFrame:
             rows, at = key >> 32, key & 0xFFFFFFFF
             edges = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))).astype(np.int32))
             table = pa.record_batch([
-                batch.column("doc_id"), batch.column("held_out"),
+                batch.column("doc_id"), batch.column("held_out"), pa.array(score),
                 pa.ListArray.from_arrays(edges, pa.array(np.diff(at, prepend=0).astype(np.int32))),
                 pa.ListArray.from_arrays(edges, pa.array(times.astype(np.int32))),
-            ], ["doc_id", "held_out", "step", "times"])
+            ], ["doc_id", "held_out", "score", "step", "times"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(table)
@@ -87,30 +128,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 m = len(some)
                 yield pa.record_batch([pa.array(np.full(m, block)), some, pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(n[i : i + m].astype(np.int64)), pa.nulls(m, pa.binary())], names)
 
-    return docs.mapInArrow(cut, "block long, unit binary, at int, n long, table binary")
-
-
-def contexts(units: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the units (the word's bytes and a blank, or the end), the unit of each, and the contexts by order (-1:
-    not so long)."""
-    data, offsets = flat(units)
-    n = np.diff(offsets)  # symbols: a byte stands before the word, a blank after it
-    owner = np.repeat(np.arange(len(n)), n)
-    ends = offsets[1:] - 1
-    place = np.arange(len(owner)) - offsets[:-1][owner]
-    symbols = np.append(data[1:], 0).astype(np.int64)
-    symbols[ends] = np.where(n > 1, 32, END)
-    out = np.full((orders + 1, len(owner)), -1, np.int64)
-    out[0] = 0
-    code = np.zeros(len(owner), np.int64)
-    for k in range(1, orders + 1):
-        at = np.arange(len(owner)) - k
-        # Before the word's first byte stands a blank, before that the unit's byte.
-        back = np.where(place >= k, symbols[at], np.where(place == k - 1, 32, data[offsets[:-1][owner]]))
-        code = code * 256 + back
-        fits = place >= k - 2
-        out[k, fits] = FIRST[k] + code[fits]
-    return symbols, owner, out
+    return docs.mapInArrow(cut, "block long, word binary, at int, n long, table binary")
 
 
 class Trie:
@@ -139,13 +157,12 @@ class Trie:
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[i] == keys, self.counts[i], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
-    def coded(self, units: pa.Array) -> np.ndarray:
-        """Natural logarithm of the probability of each unit; of a share: its summand."""
-        symbols, owner, ctx = contexts(units, self.orders)
+    def coded(self, symbols: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each symbol in its contexts; of a share: 0 for those of others."""
         cost = np.zeros(len(symbols))
         open_ = np.arange(len(symbols))
-        if self.shares > 1:  # symbols with a shorter context belong to the first share
-            open_ = np.flatnonzero(np.where(ctx[2] < 0, 0, ((ctx[2] - FIRST[2]) * 40503 >> 3) % self.shares) == self.share)
+        if self.shares > 1:
+            open_ = np.flatnonzero(((ctx[2] - FIRST[2]) * 40503 >> 3) % self.shares == self.share)
         excluded = np.full(len(open_), -1)
         for k in range(self.orders, -1, -1):
             node = ctx[k, open_]
@@ -167,68 +184,56 @@ class Trie:
             open_ = open_[~got]
         seen = int(self.distinct[0]) if len(self.nodes) and self.nodes[0] == 0 else 0
         cost[open_] -= np.log(max(SYMBOLS - seen, 1))
-        return np.bincount(owner, cost, len(units))
+        return cost
 
 
-def train(units: DataFrame, orders: int = ORDERS, max_trie: int = 1 << 24) -> Iterator[Trie]:
-    """The trie of ``units(unit, n)``, in shares of about ``max_trie`` counts."""
+def train(docs: DataFrame, max_trie: int = 1 << 24) -> Iterator[Trie]:
+    """The trie of the texts of ``docs``, in shares of about ``max_trie`` counts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(parts: Iterator[np.ndarray], given: Iterator[np.ndarray | None]) -> pa.RecordBatch:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part, n in zip(parts, given):
+            part, own = np.unique(part, return_counts=True) if n is None else (part, n)
+            keys, at = np.unique(np.concatenate([keys, part]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, own]), len(keys)).astype(np.int64)
+        return pa.record_batch([pa.array(keys), pa.array(sums)], ["key", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield summed((grams(b.column("text"))[0] for b in rows_at_most(batches)), repeat(None))
+
+    def by_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            symbols, owner, ctx = contexts(batch.column("unit"), orders)
-            n = np.broadcast_to(batch.column("n").to_numpy()[owner], ctx.shape)[ctx >= 0]
-            keys, at = np.unique(np.concatenate([keys, (ctx * SYMBOLS + symbols)[ctx >= 0]]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-        yield pa.record_batch([pa.array(keys), pa.array(sums)], ["key", "n"])
-
-    table = written(units.select("unit", "n").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
+            symbols, ctx = contexts(batch.column("key").to_numpy())
+            yield summed(iter([(ctx * SYMBOLS + symbols).ravel()]), iter([np.tile(batch.column("n").to_numpy(), len(ctx))]))
+
+    whole = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    table = written(whole.mapInArrow(by_order, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
     shares = max(1, -(-table.count() // max_trie))
     context = f"(key div {SYMBOLS})"
-    two = f"case when {context} < {FIRST[3]} then {context} - {FIRST[2]} when {context} < {FIRST[4]} then shiftright({context} - {FIRST[3]}, 8) else shiftright({context} - {FIRST[4]}, 16) end"
+    two = "case " + " ".join(f"when {context} >= {FIRST[k]} then shiftright({context} - {FIRST[k]}, {8 * (k - 2)})" for k in range(ORDERS, 1, -1)) + " end"
     for share in range(shares):
         own = table if shares == 1 else table.where(f"{context} < {FIRST[2]} or shiftright(({two}) * 40503, 3) % {shares} = {share}")
         got = own.toArrow()
-        yield Trie(got.column("key").to_numpy(), got.column("n").to_numpy(), orders, share, shares)
+        yield Trie(got.column("key").to_numpy(), got.column("n").to_numpy(), ORDERS, share, shares)
 
 
 def score(docs: DataFrame, max_trie: int = 1 << 24) -> DataFrame:
     """Scores of ``docs(doc_id, text, held_out)``; the model learns from the rows that are not held out.
 
-    ``max_trie``: counts of the trie that a broadcast holds; the scores do not depend on it."""
+    ``max_trie``: counts of the trie that a task holds; the scores do not depend on it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
-    found = written(blocks(rows), "blocks")
-    units = written(found.where("unit is not null").groupBy("unit").agg(F.sum("n").alias("n")), "units")
-    word = F.expr("substring(unit, 2)")
-    words = written(units.groupBy(word.alias("word")).agg(F.sum("n").alias("c")), "words")
+    tries = [spark.sparkContext.broadcast(t) for t in train(rows.where("not held_out"), max_trie)]
+    found = written(blocks(rows, tries), "blocks")
+    tokens = found.where("word is not null")
+    words = written(tokens.groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-
-    def coding(shared) -> Callable:
-        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    sums = pc.add(batch.column("cost"), pa.array(shared.value.coded(batch.column("unit"))))
-                    yield batch.set_column(batch.schema.get_field_index("cost"), "cost", sums)
-
-        return code
-
-    coded = units.select("unit", F.lit(0.0).alias("cost"))
-    for trie in train(units.where("n > 0"), max_trie=max_trie):
-        shared = spark.sparkContext.broadcast(trie)
-        coded = coded.mapInArrow(coding(shared), coded.schema)
-        if trie.shares > 1:  # one share at a time is held
-            coded = written(coded, "coded")
-            shared.destroy()
-    coded = coded.withColumn("word", word).join(words, "word").select("unit", "c", "cost")
-    known = found.where("unit is not null").select("block", "unit", "at").join(coded, "unit").select(F.col("block").alias("of"), "at", "c", "cost")
+    known = tokens.select("block", "word", "at").join(words, "word").select(F.col("block").alias("of"), "at", "c")
 
     def judge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         place = right.column("at").to_numpy()
-        c, cost = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows)
-        c[place], cost[place] = right.column("c").to_numpy(), right.column("cost").to_numpy()
+        c = np.zeros(right.num_rows, np.int64)
+        c[place] = right.column("c").to_numpy()
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
         out = []
         for blob in left.column("table").to_pylist():
@@ -240,12 +245,12 @@ def score(docs: DataFrame, max_trie: int = 1 << 24) -> DataFrame:
             out.append(pa.table({
                 "doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
                 "n_tokens": np.bincount(doc, k, n_docs).astype(np.int64), "n_known": np.bincount(doc, k * (c[at] > 0), n_docs).astype(np.int64),
-                "train_tokens": np.full(n_docs, total), "base_score": np.bincount(doc, k * base[at], n_docs), "score": np.bincount(doc, k * cost[at], n_docs) / np.log(10),
+                "train_tokens": np.full(n_docs, total), "base_score": np.bincount(doc, k * base[at], n_docs), "score": pc.divide(table.column("score"), float(np.log(10))),
             }))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
-    tables = found.where("unit is null").select("block", "table")
+    tables = found.where("word is null").select("block", "table")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return tables.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(judge, schema)
 

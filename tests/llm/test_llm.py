@@ -228,15 +228,11 @@ def test_packing_places_everything(spark, docs, texts):
     assert packing.pack_documents(empty(spark), tokenizer_path("byte_bpe_50k.json"), end=0).count() == 0
 
 
-def ppm_brute_force(training, texts, orders=4):
-    """log10 probabilities by a plain dictionary model; contexts at a word's start reach two bytes back."""
+def ppm_brute_force(training, texts, orders=5):
+    """log10 probabilities by a plain dictionary model."""
     def symbols(t):
-        before, out = 32, []
-        for w in (t or "").encode().lower().split():
-            own = [*w, 32]
-            out += [(s, bytes([before, 32, *own[:i]])[-orders:]) for i, s in enumerate(own)]
-            before = w[-1]
-        return [*out, (256, bytes([before, 32]))]
+        run = [x for w in (t or "").encode().lower().split() for x in [*w, 32]]
+        return [(s, bytes([*b" " * orders, *run][i : i + orders])) for i, s in enumerate([*run, 256])]
 
     counts = collections.defaultdict(collections.Counter)
     for t in training:
