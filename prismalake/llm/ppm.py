@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_share, flat, lower_ascii, pieces, utf8, word_bounds, written
 
-ORDERS, BLOCK, PIECE, END, SYMBOLS = 5, 32 << 20, 8 << 20, 256, 257
+ORDERS, BLOCK, PIECE, END, SYMBOLS = 5, 16 << 20, 3 << 20, 256, 257
 FIRST = [0, *np.cumsum([1 << (8 * k) for k in range(ORDERS)]).tolist()]  # where the contexts of each order begin
 
 
