@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import DATA, C, channels_must_be, div, each, let, over_data, put, to_byte
+from ..functions.planes import DATA, C, channels_must_be, div, let, over_data, to_byte
 from .pointwise import as_gray
 from .stencils import sobel_gradients
 
@@ -21,18 +21,32 @@ def bin_of(v: Column, low, high, bins: int) -> Column:
     return F.when((v >= low) & (v <= high), F.least(place, F.lit(bins - 1)).cast("int"))
 
 
-def counts(values: Column, low, high, bins: int) -> Column:
-    """Array of the counts of an array's values by bin, in one pass over the sorted bin numbers."""
+def ends(values: Column, low, high, bins: int) -> Column:
+    """For each bin how many of an array's values lie in it or in an earlier one: the bin numbers, each bin once more,
+    are sorted, and a bin's last place is read off."""
     numbers = F.transform(values, lambda v: bin_of(v, low, high, bins))
     every = F.sequence(F.lit(0), F.lit(bins - 1))
-    return let(numbers, lambda own: F.transform(every, lambda b: F.size(F.filter(own, lambda n: n == b)).cast("long")))
+    last = lambda own: F.filter(F.transform(own, lambda v, i: F.when(F.coalesce(F.get(own, i + 1) != v, F.lit(True)), i + 1)), lambda i: i.isNotNull())
+    return F.transform(let(F.sort_array(F.concat(F.filter(numbers, lambda n: n.isNotNull()), every)), last), lambda e, b: (e - b - 1).cast("long"))
+
+
+def counts(values: Column, low, high, bins: int) -> Column:
+    """Array of the counts of an array's values by bin."""
+    return let(ends(values, low, high, bins), lambda upto: F.transform(upto, lambda e, b: e - F.coalesce(F.get(upto, b - 1), F.lit(0).cast("long"))))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once a row, however often later expressions name them."""
+    for name, value in columns.items():
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+    return df
 
 
 def histogram(df: DataFrame, bins: int = 256, range_: tuple[float, float] = (0, 256)) -> DataFrame:
     """(image_id, bin, lo, hi, count) of grey images, empty bins included: a distributed count joined to all bins."""
     _positive(bins)
     low, high = float(range_[0]), float(range_[1])
-    df = to_byte(channels_must_be(df, 1, "histogram"))
+    df = once(to_byte(channels_must_be(df, 1, "histogram")), data=DATA())
     found = df.select("image_id", F.explode("data").alias("v")).select("image_id", bin_of(F.col("v"), low, high, bins).alias("bin"))
     found = found.where("bin is not null").groupBy("image_id", "bin").agg(F.count("*").alias("count"))
     every = df.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -53,49 +67,32 @@ def histogram_dataframe(df: DataFrame, bins: int = 256) -> DataFrame:
     return rows.select("image_id", "bin", ((F.col("lo") + F.col("hi")) / 2).alias("intensity"), "count", share(F.col("count")).alias("probability"), share(upto).alias("cdf"))
 
 
-def _levels() -> Column:
-    return counts(F.transform(DATA(), lambda v: F.floor(v).cast("double")), 0.0, 256.0, 256)
-
-
-def _running(values: Column) -> Column:
-    """Running sums of an array."""
-    start = F.struct(F.lit(0).cast("double").alias("s"), F.array().cast("array<double>").alias("a"))
-    return F.aggregate(values, start, lambda a, v: F.struct((a["s"] + v).alias("s"), F.concat(a["a"], F.array(a["s"] + v)).alias("a")))["a"]
-
-
 def histogram_equalization(df: DataFrame) -> DataFrame:
     """Grey bytes spread over 0..255 by their running counts; a constant image becomes 0."""
-    df = to_byte(channels_must_be(df, 1, "histogram_equalization"))
-
-    def table() -> Column:
-        def levels(cdf: Column) -> Column:
-            first = F.array_min(F.filter(cdf, lambda s: s > 0))
-            span = F.nullif(F.size(DATA()) - first, F.lit(0.0))
-            ends = F.struct(first.alias("first"), span.alias("span"))
-            return let(ends, lambda e: F.transform(cdf, lambda s: F.coalesce(F.rint(F.greatest(s - e["first"], F.lit(0.0)) / e["span"] * 255), F.lit(0.0))))
-
-        return let(_running(F.transform(_levels(), lambda n: n.cast("double"))), levels)
-
-    return put(df, data=each(lambda v, levels: F.get(levels, F.floor(v).cast("int")), table))
+    names = df.columns
+    df = once(to_byte(channels_must_be(df, 1, "histogram_equalization")), data=DATA())
+    df = once(df, _cdf=F.transform(ends(F.transform(DATA(), lambda v: F.floor(v).cast("double")), 0.0, 256.0, 256), lambda n: n.cast("double")))
+    df = once(df, _first=F.array_min(F.filter("_cdf", lambda n: n > 0)))
+    span = F.nullif(F.size(DATA()) - F.col("_first"), F.lit(0.0))
+    df = once(df, _levels=F.transform("_cdf", lambda n: F.coalesce(F.rint(F.greatest(n - F.col("_first"), F.lit(0.0)) / span * 255), F.lit(0.0))))
+    return df.withColumn("data", F.transform("data", lambda v: F.get(F.col("_levels"), F.floor(v).cast("int")))).select(*names)
 
 
 def threshold_otsu(df: DataFrame) -> DataFrame:
     """Adds ``threshold``, the first level with the greatest variance between classes; data becomes 255 above it, else 0."""
-    df = to_byte(channels_must_be(df, 1, "threshold_otsu"))
-
-    def level() -> Column:
-        last = F.lit(255)
-
-        def best(r: Column) -> Column:
-            n, total = F.get(r["c"], last), F.get(r["s"], last)
-            split = lambda c, q: F.when((c > 0) & (c < n), F.pow(q * n - total * c, 2) / (F.nullif(c, F.lit(0.0)) * F.nullif(n - c, F.lit(0.0)))).otherwise(0.0)
-            between = F.zip_with(r["c"], r["s"], split)
-            return let(between, lambda b: F.when(F.array_max(b) > 0, F.array_position(b, F.array_max(b)) - 1).otherwise(0).cast("double"))
-
-        weighted = lambda own: F.struct(_running(F.transform(own, lambda n: n.cast("double"))).alias("c"), _running(F.transform(own, lambda n, i: (n * i).cast("double"))).alias("s"))
-        return let(let(_levels(), weighted), best)
-
-    return df.withColumns({"data": each(lambda v, t: F.when(v > t, 255.0).otherwise(0.0), level), "threshold": over_data(level)})
+    names = df.columns
+    df = once(to_byte(channels_must_be(df, 1, "threshold_otsu")), data=DATA())
+    # Running counts and running sums of the levels; the sum up to a level is its count times the level, less the counts before.
+    df = once(df, _c=F.transform(ends(F.transform(DATA(), lambda v: F.floor(v).cast("double")), 0.0, 256.0, 256), lambda n: n.cast("double")))
+    start = F.struct(F.lit(0.0).alias("before"), F.array().cast("array<double>").alias("a"))
+    df = once(df, _s=F.aggregate("_c", start, lambda a, n: F.struct((a["before"] + n).alias("before"), F.array_append(a["a"], a["before"]).alias("a")))["a"])
+    df = once(df, _q=F.transform("_s", lambda b, i: i * F.get(F.col("_c"), i) - b))
+    df = once(df, _n=F.get("_c", F.lit(255)), _t=F.get("_q", F.lit(255)))
+    n, t = F.col("_n"), F.col("_t")
+    split = lambda c, q: F.when((c > 0) & (c < n), F.pow(q * n - t * c, 2) / (F.nullif(c, F.lit(0.0)) * F.nullif(n - c, F.lit(0.0)))).otherwise(0.0)
+    df = once(df, _b=F.zip_with("_c", "_q", split))
+    df = once(df, threshold=F.when(F.array_max("_b") > 0, F.array_position("_b", F.array_max("_b")) - 1).otherwise(0).cast("double"))
+    return df.withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), 255.0).otherwise(0.0))).select(*names, "threshold")
 
 
 def color_histogram(df: DataFrame, bins: int = 32, normalize: bool = True) -> DataFrame:

@@ -24,7 +24,7 @@ TRIANGLE = [(1, 0), (6, 2), (3, 7)]
 LEVEL = "least(255, greatest(0, floor(e::double * 256 + 128)))::double"
 GRAY = f"img AS (SELECT vec_id AS image_id, 0 AS c, (p // 8)::int AS y, (p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"
 RGB = f"img AS (SELECT vec_id // 3 AS image_id, (vec_id % 3)::int AS c, (p // 8)::int AS y, (p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) WHERE vec_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(*) = 3))"
-TEXT = "img AS (SELECT doc_id AS image_id, 0 AS c, (p // 32)::int AS y, (p % 32)::int AS x, (unicode(text[p + 1]) % 256)::double AS v FROM documents, (SELECT unnest(range(1024)) AS p) WHERE length(text) >= 1024)"
+TEXT = "img AS (SELECT doc_id AS image_id, 0 AS c, (p // 32)::int AS y, (p % 32)::int AS x, (CASE WHEN p < length(text) THEN unicode(text[p + 1]) % 256 ELSE 0 END)::double AS v FROM (SELECT doc_id, text, unnest(range(((length(text) + 31) // 32) * 32)) AS p FROM documents WHERE text <> ''))"
 
 
 def out(value: str = "v") -> str:

@@ -23,7 +23,9 @@ def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey 32 x 32 images: the first 1024 characters of the texts that have as many, code points modulo 256."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 1024)
-    data = F.expr("transform(sequence(1, 1024), i -> cast(ascii(substring(text, i, 1)) % 256 as double))")
-    return rows.select(F.col("doc_id").alias("image_id"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    """Grey images 32 wide: the characters of each whole text row by row, code points modulo 256, the last row filled up
+    with 0. Null and empty texts are no images."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text != ''")
+    data = F.expr("concat(transform(split(text, ''), ch -> cast(ascii(ch) % 256 as double)), array_repeat(0D, cast(pmod(-length(text), 32) as int)))")
+    height = F.ceil(F.length("text") / 32).cast("int")
+    return rows.select(F.col("doc_id").alias("image_id"), height.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), F.explode(F.array(data)).alias("data"))
