@@ -223,7 +223,10 @@ def score(docs: DataFrame, max_trie: int = 1 << 24) -> DataFrame:
     ``max_trie``: counts of the trie that a task holds; the scores do not depend on it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
-    tries = [spark.sparkContext.broadcast(t) for t in train(rows.where("not held_out"), max_trie)]
+    tries = []
+    for trie in train(rows.where("not held_out"), max_trie):
+        tries.append(spark.sparkContext.broadcast(trie))
+        tries[-1].__dict__.pop("_value", None)  # the driver holds one share at a time, too
     found = written(blocks(rows, tries), "blocks")
     tokens = found.where("word is not null")
     words = written(tokens.groupBy("word").agg(F.sum("n").alias("c")), "words")
