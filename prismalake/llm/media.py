@@ -1,21 +1,23 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners (smallest eigenvalue of the gradient's second moments) are taken at several scales of a grey image. A corner's
-orientation is the direction of the brightness centroid of its patch; the patch, turned by it, gives 128 comparisons of
-two points: a binary descriptor. The 128 bits are cut into four words, and images meet in a hash join where they share
-a word in the same place: descriptors at most three bits apart always do. For images that meet, all descriptors are
-compared; matches vote for a similarity transform, and ``consensus`` of them link the two.
+orientation is the direction of the brightness centroid of its patch; the patch, turned by it and smoothed, gives 128
+comparisons of two points: a binary descriptor, cut into four words. A key is a place (of the four) with the words that
+a corner and one of its ``near`` nearest corners of the same scale have there: two corners with one word intact. Images
+meet in a hash join on keys and are candidates where they share ``votes`` keys. For candidates all descriptors are
+compared; matches vote for a similarity transform, and ``consensus`` of them link the two. Components of links are the
+classes.
 
-Equal images are one vertex with a count. A list of up to ``SHORT`` images gives its pairs. A longer one is compared in
-blocks of images, with the descriptors at hand, and returns a spanning forest of its links with counts of pairs, so
-that frequent words cost no quadratic rows. Counts of links add up over distinct pairs.
+Equal images are one vertex. Lists of keys are first compared with one member each (twice, by different orders), which
+joins a group of near copies by a number of comparisons that grows with its size only. Then members of a list that are
+still in different components are paired; lists within one component are done. No list is cut or left out.
 
 Sizes: an image keeps its ``corners`` strongest corners at each scale; this is what a descriptor set is, not a limit on
-candidates. A task holds a batch of images or two blocks.
+candidates. Intact words are a matter of chance for descriptors far apart: the tests measure which copies meet.
 
-Defined results: a null or empty image, one with a side below ``2 * RADIUS + 3`` and one without corners links with
-equal images only (null images: with nothing); rows with the same id count once; a null id has a null component; an
-empty input gives an empty result; other columns are ignored.
+Defined results: a null or empty image, one with a side below ``2 * RADIUS + 3`` and one without two corners at a scale
+is in a class with equal images only (null images: alone); rows with the same id count once; a null id has a null
+component and a class of one; an empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix64, written
 from .components import components
 
-RADIUS, SHORT, BLOCK = 10, 32, 128
+RADIUS = 10
 FIELD = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", 2)])
 
 
@@ -98,7 +100,7 @@ def describe(stack: np.ndarray, corners: int = 12, scales: tuple[float, ...] = (
         cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
         px = np.rint(PATTERN[..., 0] * cos - PATTERN[..., 1] * sin).astype(int)
         py = np.rint(PATTERN[..., 0] * sin + PATTERN[..., 1] * cos).astype(int)
-        v = g[i[:, None, None], y[:, None, None] + py, x[:, None, None] + px]
+        v = _box(g, 2)[i[:, None, None], y[:, None, None] + py, x[:, None, None] + px]
         bits = np.packbits(v[..., 0] < v[..., 1], axis=1, bitorder="little").view("<u8")
         found = np.zeros(len(i), FIELD)
         found["x"], found["y"], found["angle"], found["scale"], found["bits"] = (x + 0.5) * scale, (y + 0.5) * scale, angle, scale, bits
@@ -124,7 +126,10 @@ def agreeing(a: np.ndarray, b: np.ndarray, apart: int = 14, tolerance: float = 3
     ey = sin[:, None] * ax + cos[:, None] * ay + ty[:, None] - by
     fits = ex * ex + ey * ey <= tolerance * tolerance
     most = 0
-    for k in np.argsort(-fits.sum(1), kind="stable")[:3]:
+    votes = fits.sum(1)
+    for k in np.argsort(-votes, kind="stable"):
+        if votes[k] <= most:
+            break
         most = max(most, min(len(np.unique(i[fits[k]])), len(np.unique(j[fits[k]]))))
     return most
 
@@ -153,20 +158,30 @@ def described(images: DataFrame, corners: int = 12) -> DataFrame:
     return rows.mapInArrow(run, "id long, f1 long, f2 long, n long, marks binary")
 
 
-def _lists(reps: DataFrame) -> DataFrame:
-    """(place, word, id): the 32-bit words of each image's descriptors."""
+def keys_of(marks: np.ndarray, near: int = 3) -> np.ndarray:
+    """The distinct keys of an image: place and words of two neighbouring corners, hashed to 64 bits."""
+    gap = (marks["x"][:, None] - marks["x"]) ** 2 + (marks["y"][:, None] - marks["y"]) ** 2
+    gap[marks["scale"][:, None] != marks["scale"]] = np.inf
+    np.fill_diagonal(gap, np.inf)
+    next_to = np.argsort(gap, 1, kind="stable")[:, :near]
+    i, j = np.repeat(np.arange(len(marks)), next_to.shape[1]), next_to.ravel()
+    there = np.isfinite(gap[i, j])
+    w = np.ascontiguousarray(marks["bits"]).view("<u4").reshape(-1, 4).astype(U64)
+    one, two = w[i[there]], w[j[there]]
+    key = mix64((np.minimum(one, two) << U64(32) | np.maximum(one, two)) + np.arange(4, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return np.unique(key.ravel()).view(np.int64)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _keys(reps: DataFrame, near: int) -> DataFrame:
+    """(id, key) of each image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column("id").to_pylist(), []
-            for i, m in zip(ids, batch.column("marks").to_pylist()):
-                w = np.ascontiguousarray(np.frombuffer(m, FIELD)["bits"]).view("<u4").reshape(-1, 4)
-                key = np.unique(w.astype(np.int64) + (np.arange(4) << 32))
-                out.append(np.stack([np.full(len(key), i), key], 1))
-            both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            yield pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["id", "key"])
+            keys = [keys_of(np.frombuffer(m.as_buffer(), FIELD), near) for m in batch.column("marks")]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(k) for k in keys])
+            yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["id", "key"])
 
-    return reps.where("n > 0").select("id", "marks").mapInArrow(words, "id long, key long")
+    return reps.where("n > 1").select("id", "marks").mapInArrow(run, "id long, key long")
 
 
 def _pairs_checked(pairs: DataFrame, reps: DataFrame, consensus: int) -> DataFrame:
@@ -181,51 +196,55 @@ def _pairs_checked(pairs: DataFrame, reps: DataFrame, consensus: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
 
 
-def _blocks_checked(rows: DataFrame, reps: DataFrame, consensus: int) -> DataFrame:
-    """Linked pairs (a, b) within long lists ``rows(key, id, df)``, compared block by block."""
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    rows = rows.join(reps.select("id", "marks"), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks)
-    pick = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", "id", "marks", "own", pick.alias("other"))
-    rows = rows.select("key", "id", "marks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, c): the lists that still hold members of different components ``c``."""
+    found = components(links, "a", "b").select("id", "component")
+    rows = lists.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return rows.join(mixed, "key")
+
+
+def _stars(lists: DataFrame, order, votes: int) -> DataFrame:
+    """Pairs (a, b) of each member with its list's first in ``order``, where they are so in ``votes`` lists."""
+    first = lists.groupBy("key").agg(F.min_by(F.struct("id", "c"), order).alias("first"))
+    rows = lists.join(first, "key").where("c != first.c")
+    return _voted(rows.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")), votes)
+
+
+def _voted(pairs: DataFrame, votes: int) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
+
 
-    def compare(table: pa.Table) -> pa.Table:
-        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-        ids, marks = table.column("id").to_numpy(), [np.frombuffer(m, FIELD) for m in table.column("marks").to_pylist()]
-        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for x in one.tolist():
-            for y in two.tolist():
-                if (x < y or i[0] != j[0]) and ids[x] != ids[y] and agreeing(marks[x], marks[y]) >= consensus:
-                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        both = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+def copy_links(reps: DataFrame, consensus: int = 6, near: int = 3, votes: int = 2) -> DataFrame:
+    """Links (a, b) with the components of all links between candidates among ``reps(id, n, marks)``; not every link."""
+    keys = _keys(reps, near)
+    shared = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    lists = written(keys.join(shared, "key").select("key", "id", F.col("id").alias("c")), "lists")
+    links = written(_pairs_checked(_stars(lists, F.col("id"), votes), reps, consensus), "links")
+    rest = written(_open_lists(lists, links), "lists")
+    links = written(links.unionByName(_pairs_checked(_stars(rest, F.xxhash64("id"), votes), reps, consensus)), "links")
+    rest = written(_open_lists(rest, links), "lists")
+    other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
+    pairs = rest.withColumnRenamed("id", "a").join(other, "key").where("a < b and c != d").select("a", "b")
+    return written(links.unionByName(_pairs_checked(_voted(pairs, votes), reps, consensus)), "links")
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
+def detect_copies(images: DataFrame, consensus: int = 6, corners: int = 12, near: int = 3, votes: int = 2) -> DataFrame:
+    """(id, n_keypoints, n_class, component_id, kept) for each row of ``images(id, height, width, pixels)``.
 
-def detect_copies(images: DataFrame, consensus: int = 6, corners: int = 12) -> DataFrame:
-    """(id, n_keypoints, n_links, component_id, kept) for each row of ``images(id, height, width, pixels)``."""
+    ``n_class``: distinct ids of the class; ``component_id``: the smallest of them.
+    """
     rows = written(described(images, corners), "images")
     same = ["f1", "f2"]
     reps = rows.where("f1 is not null and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("n").alias("n"), F.first("marks").alias("marks"))
     reps = written(reps, "vertices")
-    keys = _lists(reps)
-    counts = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    lists = written(keys.join(counts, "key"), "lists")
-    short = lists.where(F.col("df") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SHORT at most
-    pairs = short.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").distinct()
-    links = _pairs_checked(pairs, reps, consensus).unionByName(_blocks_checked(lists.where(F.col("df") > SHORT), reps, consensus))
-    links = written(links.distinct(), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n = both.join(reps.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
-    found = components(links, "a", "b")
-    of = reps.select(*same, "id", "copies").join(n, "id", "left").join(found, "id", "left")
-    of = of.select(*same, (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    found = components(copy_links(reps, consensus, near, votes), "a", "b")
+    of = reps.select(*same, "id", "copies").join(found, "id", "left").select(*same, "copies", F.coalesce("component", "id").alias("component"))
+    of = of.join(of.groupBy("component").agg(F.sum("copies").alias("size")), "component")
     out = rows.select("id", "n", *same).join(of, same, "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
-    n_links = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
-    return out.select("id", F.col("n").alias("n_keypoints"), n_links.alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    n_class = F.when(F.col("id").isNull(), 1).otherwise(F.coalesce("size", F.lit(1))).cast("long")
+    return out.select("id", F.col("n").alias("n_keypoints"), n_class.alias("n_class"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def as_images(embeddings: DataFrame, tile: int = 8) -> DataFrame:

@@ -409,7 +409,32 @@ def test_image_copies(spark):
     df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
     got = {x.id: x for x in media.detect_copies(df).collect()}
     assert [got[i].component_id for i in range(16)] == [*range(12), 0, 0, 0, 0]
-    assert got[0].n_links == 4 and got[None].component_id is None and got[91].component_id == 91
+    assert got[0].n_class == 5 and got[None].component_id is None and got[91].component_id == 91 and got[91].n_class == 1
+    assert media.detect_copies(df.limit(0)).count() == 0
+    odd = df.unionAll(df.where("id < 3")).selectExpr("*", "1 as key", "2 as component")
+    assert {(x.id, x.component_id, x.n_class) for x in media.detect_copies(odd).collect()} == {(x.id, x.component_id, x.n_class) for x in got.values()}
+
+
+def test_image_copies_against_all_pairs(spark):
+    """Classes are within those of all pairs; of the planted copies that agree with their image, at least 0.9 are found."""
+    r = np.random.default_rng(8)
+    base = [photo(r) for _ in range(50)]
+    noisy = lambda m: np.clip(m + r.normal(0, 3, m.shape), 0, 255).astype(np.uint8)
+    edits = [lambda m: m[9:-7, 6:-11].copy(), lambda m: np.clip(m * 0.8 + 20, 0, 255).astype(np.uint8), noisy, lambda m: np.rot90(m).copy()]
+    ims = base + [e(m) for m in base for e in edits] + [noisy(base[0]) for _ in range(60)]
+    marks = [media.describe(m[None])[0] for m in ims]
+    roots = list(range(len(ims)))
+    for i in range(len(ims)):
+        for j in range(i):
+            if roots[i] != roots[j] and media.agreeing(marks[i], marks[j]) >= 6:
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if x == high else x for x in roots]
+    df = spark.createDataFrame([(i, *m.shape, m.tobytes()) for i, m in enumerate(ims)], "id long, height int, width int, pixels binary")
+    got = [x.component_id for x in media.detect_copies(df).orderBy("id").collect()]
+    assert all(roots[i] == roots[c] for i, c in enumerate(got))
+    of = [*range(50), *(i for i in range(50) for _ in edits), *[0] * 60]
+    planted = [i for i in range(50, len(ims)) if media.agreeing(marks[i], marks[of[i]]) >= 6]
+    assert len(planted) > 240 and np.mean([got[i] == got[of[i]] for i in planted]) >= 0.9
 
 
 def test_tool_calls(spark):
