@@ -57,18 +57,19 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     out_n = np.where(n >= words, n - words + 1, (n > 0).astype(np.int64))
     full = np.zeros(max(len(h) - words + 1, 0), U64)
     for i in range(words):
-        full = (full ^ h[i : len(h) - words + 1 + i]) * U64(0xC2B2AE3D27D4EB4F) + U64(i + 1)
+        full = (full ^ h[i : i + len(full)]) * U64(0xC2B2AE3D27D4EB4F) + U64(i + 1)
     full = mix64(full)
     at = np.repeat(first[:-1], out_n) + np.arange(out_n.sum()) - np.repeat(np.cumsum(out_n) - out_n, out_n)
     out = np.zeros(len(at), U64)
     owner_n = np.repeat(n, out_n)
     whole = owner_n >= words
     out[whole] = full[at[whole]]
-    for i in np.flatnonzero(~whole):
-        x = U64(int(owner_n[i]))
-        for w in h[at[i] : at[i] + owner_n[i]]:
-            x = mix64(np.array([x ^ w]))[0] * U64(0xC2B2AE3D27D4EB4F)
-        out[i] = mix64(np.array([x]))[0]
+    short = np.flatnonzero(~whole)
+    x, left = owner_n[short].astype(U64), owner_n[short]
+    for j in range(words - 1):
+        on = left > j
+        x[on] = mix64(x[on] ^ h[at[short[on]] + j]) * U64(0xC2B2AE3D27D4EB4F)
+    out[short] = mix64(x)
     return out, out_n
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, mix64, pieces, spread, utf8, word_bounds, written
+from .common import U64, Powers, flat, free_name, mix64, pieces, spread, utf8, word_bounds, written
 
 GRAM, SHALLOW, HOT, HELD = 128, 4, 20_000, 30_000
 PASSAGE, WORD_GRAM = 51, 16  # words of the shortest passage that the pipeline's stage takes out, and of an anchor's string
@@ -429,9 +429,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None
     A passage is a string of 400 bytes or more, or a run of ``PASSAGE`` words or more."""
     cut = remove_repeats(docs, whole_characters=True, words=PASSAGE).where("n_removed > 0")
     cut = cut.groupBy("doc_id", "rid").agg(F.first("kept").alias("kept"))  # repeated rows are cut alike
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("kept").cast("string").alias("__kept"))
-    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    met = rows.join(cut, (rows["doc_id"].cast("long").eqNullSafe(F.col("__id"))) & (F.col("__row") == F.col("__rid")), "left")
-    met = met.where("__kept is null or __kept != ''")
-    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    id_, rid, kept, row = (free_name(x, docs.columns) for x in ("cut_id", "cut_rid", "cut_kept", "cut_row"))
+    cut = cut.select(F.col("doc_id").alias(id_), F.col("rid").alias(rid), F.col("kept").cast("string").alias(kept))
+    rows = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    met = rows.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(row) == F.col(rid)), "left")
+    met = met.where(F.col(kept).isNull() | (F.col(kept) != ""))
+    new = {"text": F.coalesce(kept, "text"), "n_chars": F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return met.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
