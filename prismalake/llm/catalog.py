@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix
+from . import chat, embeddings, langid, media, minhash, neighbours, packing, pieces_sa, ppm, rans, suffix
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
         "op9_language_id": langid.op9_language_id,
         "op10_chat_tool_calls": chat.op10_chat_tool_calls,
+        "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
     }
 
 
