@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, langid, media, minhash, neighbours, packing, pieces_sa, ppm, rans, spelling, suffix
+from . import alignment, chat, embeddings, langid, media, minhash, neighbours, packing, pieces_sa, ppm, rans, spelling, suffix
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": langid.op9_language_id,
         "op10_chat_tool_calls": chat.op10_chat_tool_calls,
         "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
+        "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
