@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -123,6 +125,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    given_back()
+
+
+def given_back() -> None:
+    """Memory that a task has freed goes back to the system: workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, free_name, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
+from .common import U64, Powers, flat, free_name, given_back, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
 from .components import components
 from .tokens import gathered
 
@@ -236,6 +236,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
                 inter = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        given_back()
 
     left, right = (texts.select(F.col("id").alias(c), F.col("blob").alias(f"t{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
