@@ -122,6 +122,11 @@ def channels_must_be(df: DataFrame, n: int, what: str) -> DataFrame:
     return put(df, data=F.when(C() == n, DATA()).otherwise(bad))
 
 
+def grey_or_colour(df: DataFrame, what: str) -> DataFrame:
+    bad = F.raise_error(F.concat(F.lit(f"{what} needs 1 or 3 channels, got "), C().cast("string"))).cast("array<double>")
+    return put(df, data=F.when(C().isin(1, 3), DATA()).otherwise(bad))
+
+
 def pixels(df: DataFrame) -> DataFrame:
     """One row for each value."""
     rows = df.select("image_id", "width", "channels", F.posexplode("data").alias("p", "v"))

@@ -1,14 +1,20 @@
-"""Neighbourhood operators. Kernels that are an outer product run as two one-dimensional passes."""
+"""Neighbourhood operators. Kernels that are an outer product run as two one-dimensional passes.
+
+Box sums and extremes take two passes whose cost does not depend on the window: each line is cut into blocks as long as
+the window, and a window is the end of one block and the beginning of the next. Medians run a histogram along each row.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import DATA, C, H, W, at, border, channels_must_be, grid, let, need_int, need_number, put, to_byte
+from ..functions.medians import by_shape, running_medians
+from ..functions.planes import DATA, C, H, W, at, border, channels_must_be, div, grey_or_colour, grid, let, need_int, need_number, over_data, put, to_byte, whole
 
 
 def pad_image(df: DataFrame, pad_h: int, pad_w: int, mode: str = "zero") -> DataFrame:
@@ -73,13 +79,53 @@ def convolve2d(df: DataFrame, kernel, pad_mode: str = "zero") -> DataFrame:
 
 
 def spatial_filter(df: DataFrame, kernel, pad_mode: str = "zero") -> DataFrame:
-    """The same for each channel by itself."""
-    return _correlate(df, [r[::-1] for r in checked_kernel(kernel)[::-1]], pad_mode)
+    """The same for each channel of grey or colour images by itself."""
+    return _correlate(grey_or_colour(df, "spatial_filter"), [r[::-1] for r in checked_kernel(kernel)[::-1]], pad_mode)
+
+
+def _scan(block: Column, f: Callable) -> Column:
+    """``f`` over the values from the first up to each."""
+    return F.aggregate(F.slice(block, F.lit(2), F.greatest(F.lit(1), F.size(block))), F.slice(block, 1, 1), lambda a, v: F.array_append(a, f(F.element_at(a, -1), v)))
+
+
+def _along(data: Column, lines: Column, length: Column, base: Callable, step: Column, k: int, edge: Callable, f: Callable, twice: bool) -> Column:
+    """Line after line, ``f`` over the windows of ``k`` values around each; line l is the values at ``base(l) + i * step``.
+
+    ``twice``: a value may count twice (least, greatest); else windows that are one whole block are taken by themselves."""
+    r = k // 2
+    source = F.transform(F.sequence(F.lit(-r), whole(length) - 1 + r), lambda e: whole(edge(e, length)))
+    starts = F.sequence(F.lit(1), whole(length) + 2 * r, F.lit(k))
+
+    def windows(parts: Column) -> Column:
+        inside = lambda i: f(F.get(parts["after"], i), F.get(parts["upto"], i + k - 1))
+        value = inside if twice else lambda i: F.when(i % k == 0, F.get(parts["after"], i)).otherwise(inside(i))
+        return F.transform(F.sequence(F.lit(0), whole(length) - 1), value)
+
+    def line(places: Column, n: Column) -> Column:
+        values = F.transform(places, lambda s: F.coalesce(F.get(data, whole(base(n) + s * step)), F.lit(0.0)))
+        blocks = let(values, lambda v: F.transform(starts, lambda i: F.slice(v, i, F.lit(k))))
+        scans = let(blocks, lambda b: F.struct(F.flatten(F.transform(b, lambda x: _scan(x, f))).alias("upto"), F.flatten(F.transform(b, lambda x: F.reverse(_scan(F.reverse(x), f)))).alias("after")))
+        return let(scans, windows)
+
+    return let(source, lambda places: F.flatten(F.transform(F.sequence(F.lit(0), whole(lines) - 1), lambda n: line(places, n))))
+
+
+def _windowed(df: DataFrame, kh: int, kw: int, mode: str, f: Callable, twice: bool) -> DataFrame:
+    """``f`` over the rectangle of ``kh`` x ``kw`` values around each: columns first, then rows."""
+    edge = border(mode)
+    full = H() * W() * C() > 0
+    down = over_data(lambda: _along(DATA(), W() * C(), H(), lambda n: n, W() * C(), kh, edge, f, twice))
+    df = put(df, data=F.when(full, down).otherwise(DATA()))
+    across = over_data(lambda: _along(DATA(), H() * C(), W(), lambda n: (n % C()) * H() + div(n, C()), C() * H(), kw, edge, f, twice))
+    df = put(df, data=F.when(full, across).otherwise(DATA()))
+    ordered = grid(H(), W(), C(), lambda y, x, c: F.get(DATA(), whole((y * C() + c) * W() + x)))
+    return put(df, data=F.when(C() == 1, DATA()).otherwise(ordered))
 
 
 def mean_filter(df: DataFrame, ksize: int = 3, pad_mode: str = "reflect") -> DataFrame:
     _odd("ksize", ksize)
-    return spatial_filter(df, [[1.0 / (ksize * ksize)] * ksize] * ksize, pad_mode)
+    sums = _windowed(grey_or_colour(df, "mean_filter"), ksize, ksize, pad_mode, lambda a, b: a + b, False)
+    return put(sums, data=F.transform("data", lambda v: v / float(ksize * ksize)))
 
 
 def gaussian_kernel(ksize: int, sigma: float) -> list[list[float]]:
@@ -96,22 +142,24 @@ def gaussian_filter(df: DataFrame, ksize: int = 5, sigma: float = 1.0, pad_mode:
 
 
 def median_filter(df: DataFrame, ksize: int = 3) -> DataFrame:
-    """Middle of the sorted neighbourhood, borders repeated."""
+    """Middle of the neighbourhood, borders repeated."""
     _odd("ksize", ksize)
-    edge, r = border("replicate"), ksize // 2
-    around = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    return put(df, data=grid(H(), W(), C(), lambda y, x, c: F.get(F.sort_array(F.array(*[at(edge(y + dy, H()), edge(x + dx, W()), c) for dy, dx in around])), len(around) // 2)))
+    return by_shape(grey_or_colour(df, "median_filter"), lambda images: running_medians(images, ksize))
 
 
-def threshold_adaptive(df: DataFrame, block_size: int = 11, method: str = "mean", C: float = 2.0) -> DataFrame:  # noqa: N803
-    """255 where a value exceeds its neighbourhood's mean (or Gaussian mean) less ``C``, else 0."""
+def above_local(df: DataFrame, block_size: int, method: str, C: float) -> DataFrame:  # noqa: N803
+    """``threshold_adaptive`` of grey images that are on the scale of bytes."""
     _odd("block_size", block_size)
     if method not in ("mean", "gaussian"):
         raise ValueError(f"unknown method {method!r}; mean or gaussian")
-    df = put(to_byte(channels_must_be(df, 1, "threshold_adaptive")))
     df = put(df, _own=DATA())
     local = mean_filter(df, block_size) if method == "mean" else gaussian_filter(df, block_size, block_size / 6.0)
-    return put(local, data=F.zip_with("_own", "data", lambda v, m: F.when(v > F.round(m, 9) - float(C), 255.0).otherwise(0.0))).drop("_own")
+    return put(local, data=F.zip_with("_own", "data", lambda v, m: F.when(v > m - float(C), 255.0).otherwise(0.0))).drop("_own")
+
+
+def threshold_adaptive(df: DataFrame, block_size: int = 11, method: str = "mean", C: float = 2.0) -> DataFrame:  # noqa: N803
+    """255 where a value exceeds its neighbourhood's mean (or Gaussian mean) less ``C``, else 0."""
+    return above_local(to_byte(channels_must_be(df, 1, "threshold_adaptive")), block_size, method, C)
 
 
 def sobel_gradients(df: DataFrame, pad_mode: str = "reflect") -> DataFrame:
@@ -125,13 +173,17 @@ def sobel_gradients(df: DataFrame, pad_mode: str = "reflect") -> DataFrame:
     return put(df, magnitude=F.zip_with("gx", "gy", lambda a, b: F.sqrt(a * a + b * b)), angle=F.zip_with("gx", "gy", lambda a, b: F.degrees(F.atan2(F.abs(b), F.abs(a)))))
 
 
-def unsharp_mask(df: DataFrame, ksize: int = 5, sigma: float = 1, amount: float = 1.5, pad_mode: str = "reflect") -> DataFrame:
+def sharpened(df: DataFrame, ksize: int, sigma: float, amount: float, pad_mode: str) -> DataFrame:
+    """Values plus ``amount`` times what the Gaussian takes away, not yet clipped."""
     if amount < 0:
         raise ValueError("amount must not be negative")
-    soft = gaussian_filter(put(df, _own=DATA()), ksize, sigma, pad_mode)
-    bounds = F.struct(F.array_min("_own").alias("low"), F.array_max("_own").alias("high"))
-    sharp = let(bounds, lambda s: F.zip_with("_own", "data", lambda v, b: F.least(s["high"], F.greatest(s["low"], v + float(amount) * (v - b)))))
-    return put(soft, data=sharp).drop("_own")
+    soft = gaussian_filter(put(df, _raw=DATA()), ksize, sigma, pad_mode)
+    return put(soft, data=F.zip_with("_raw", "data", lambda v, b: v + float(amount) * (v - b))).drop("_raw")
+
+
+def unsharp_mask(df: DataFrame, ksize: int = 5, sigma: float = 1, amount: float = 1.5, pad_mode: str = "reflect") -> DataFrame:
+    sharp = sharpened(put(df, _low=F.array_min(DATA()), _high=F.array_max(DATA())), ksize, sigma, amount, pad_mode)
+    return put(sharp, data=F.transform("data", lambda v: F.least(F.col("_high"), F.greatest(F.col("_low"), v)))).drop("_low", "_high")
 
 
 def morphological_op(df: DataFrame, kernel=None, op: str = "erode") -> DataFrame:
@@ -142,7 +194,4 @@ def morphological_op(df: DataFrame, kernel=None, op: str = "erode") -> DataFrame
     kh, kw = len(kernel), len(kernel[0]) if len(kernel) else 0
     if not kh * kw or kh % 2 == 0 or kw % 2 == 0:
         raise ValueError("kernel sides must be odd")
-    pick, edge = (F.array_min if op == "erode" else F.array_max), border("replicate")
-    df = channels_must_be(df, 1, "morphological_op")
-    df = put(df, data=grid(H(), W(), C(), lambda y, x, c: pick(F.array(*[at(edge(y + d, H()), x, c) for d in range(-(kh // 2), kh // 2 + 1)]))))
-    return put(df, data=grid(H(), W(), C(), lambda y, x, c: pick(F.array(*[at(y, edge(x + d, W()), c) for d in range(-(kw // 2), kw // 2 + 1)]))))
+    return _windowed(channels_must_be(df, 1, "morphological_op"), kh, kw, "replicate", F.least if op == "erode" else F.greatest, True)
