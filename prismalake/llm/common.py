@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -41,19 +42,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "prismalake", f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet to the shared folder and read them back.
+
+    Inside ``scratch`` the table is deleted at the end of the block, unless it is to be kept (until an outer block ends)."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more."""
-    spark = table.sparkSession
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are written inside: nothing that leaves the block may read them any more. What finished
+    jobs have left on the executors' disks is given up, too."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        spark._jvm.System.gc()  # Spark deletes shuffle files when their jobs' objects are collected
 
 
 def crc_share(col: str, modulo: int):

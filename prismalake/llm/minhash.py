@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, free_name, given_back, lower_ascii, mix64, pieces, spread, utf8, word_bounds, written
+from .common import U64, Powers, flat, free_name, given_back, lower_ascii, mix64, pieces, scratch, spread, utf8, word_bounds, written
 from .components import components
 from .tokens import gathered
 
@@ -416,12 +416,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (five words, 0.8) the row with the smallest id stays, one of equal
     rows. Columns stay as they are; texts without words stay, one of equal rows."""
-    judged = groups(docs, words=5, percent=80)
-    group = F.struct(F.coalesce("component", "rid").alias("g"), F.col("component").isNull().alias("alone"))
-    stays = judged.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select("x.rid")
-    times = judged.groupBy("rid").agg(F.count("*").alias("times"))
     rid, times_ = free_name("rid", docs.columns), free_name("times", docs.columns)
-    stays = written(stays.join(times, "rid"), "stays").toDF(rid, times_)
+    with scratch(spark):
+        judged = groups(docs, words=5, percent=80)
+        group = F.struct(F.coalesce("component", "rid").alias("g"), F.col("component").isNull().alias("alone"))
+        stays = judged.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select("x.rid")
+        times = judged.groupBy("rid").agg(F.count("*").alias("times"))
+        stays = written(stays.join(times, "rid"), "stays", keep=True).toDF(rid, times_)
     met = docs.withColumn(rid, row_hash("doc_id", "text")).join(stays, rid)
     out = met.where(F.col(times_) == 1).unionByName(met.where(F.col(times_) > 1).dropDuplicates([rid]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, flat, free_name, mix64, pieces, spread, utf8, word_bounds, written
+from .common import U64, Powers, flat, free_name, mix64, pieces, scratch, spread, utf8, word_bounds, written
 
 GRAM, SHALLOW, HOT, HELD = 128, 4, 20_000, 30_000
 PASSAGE, WORD_GRAM = 51, 16  # words of the shortest passage that the pipeline's stage takes out, and of an anchor's string
@@ -382,9 +382,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, whole_cha
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows, length, hot).withColumn("words", F.lit(False))
-    if words:
-        spans = spans.unionByName(repeated_spans(rows, words, hot, words=True).withColumn("words", F.lit(True)))
+    if words:  # one search after the other, so that the tables of only one are on disk
+        both = []
+        for in_words, n in ((False, length), (True, words)):
+            with scratch(docs.sparkSession):
+                both.append(written(repeated_spans(rows, n, hot, words=in_words).withColumn("words", F.lit(in_words)), "spans", keep=True))
+        spans = both[0].unionByName(both[1])
+    else:
+        spans = repeated_spans(rows, length, hot).withColumn("words", F.lit(False))
     spans = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "stop", "words")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
