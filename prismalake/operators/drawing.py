@@ -1,7 +1,7 @@
 """Drawing: a shape is a condition on pixel places, overlaid on the canvas; parts beyond the canvas are cut off.
 
-Shapes are drawn in the order of the calls, the last one wins. ``compat=True`` in ``draw_rectangle`` moves corners onto
-the canvas before drawing, so that outlines partly beyond it run along its border; by default they are cut off.
+Shapes are drawn in the order of the calls, the last one wins. ``draw_rectangle`` moves corners onto the canvas before it
+draws, so that outlines partly beyond it run along its border; with ``clamp=False`` they are cut off.
 """
 
 from __future__ import annotations
@@ -122,18 +122,18 @@ def _any(tests: list) -> Callable[[Column, Column], Column]:
     return test
 
 
-def draw_rectangle(df: DataFrame, x0: int, y0: int, x1: int, y1: int, color=255, thickness: int = 1, filled: bool = False, compat: bool = False) -> DataFrame:
+def draw_rectangle(df: DataFrame, x0: int, y0: int, x1: int, y1: int, color=255, thickness: int = 1, filled: bool = False, clamp: bool = True) -> DataFrame:
     _thick(thickness)
     left, right, top, bottom = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
     if filled:
         return overlay(df, lambda y, x: (x >= left) & (x <= right) & (y >= top) & (y <= bottom), color)
-    if compat:
+    if clamp:
         half = thickness // 2
         inner = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, F.lit(v)))
 
         def edge(y, x):
             a, b, c, d = inner(left, W()), inner(right, W()), inner(top, H()), inner(bottom, H())
-            across, down = (x >= a) & (x <= b), (y >= c) & (y <= d)
+            across, down = (x >= a) & (x <= b), (y >= c) & (y <= d) & (d > c)
             return across & ((F.abs(y - c) <= half) | (F.abs(y - d) <= half)) | down & ((F.abs(x - a) <= half) | (F.abs(x - b) <= half))
 
         return overlay(df, edge, color)

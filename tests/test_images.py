@@ -106,7 +106,8 @@ def test_lines_equal_stepping(spark):
 def test_drawing_off_canvas_and_colours(spark):
     df = planes(spark, np.zeros((20, 20)))
     assert arrays(dr.draw_rectangle(df, -50, -50, -40, -40, 9, filled=True))[0].max() == 0
-    assert arrays(dr.draw_rectangle(df, -5, 3, 4, 8, 9, compat=True))[0][:, 0].max() == 9
+    assert arrays(dr.draw_rectangle(df, -5, 3, 4, 8, 9))[0][:, 0].max() == 9
+    assert arrays(dr.draw_rectangle(df, -5, 3, 4, 8, 9, clamp=False))[0][4:8, 0].max() == 0
     assert arrays(dr.draw_polygon(df, [(-30, 0), (-20, 0), (-25, 9)], 9, filled=True))[0].max() == 0
     assert arrays(dr.put_text(df, "A", 50, 50))[0].max() == 0
     rgb = planes(spark, np.zeros((6, 6, 3)))
