@@ -116,11 +116,11 @@ def place(plan: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     return sequence + inner // times, offset + inner % times * length
 
 
-def token_pieces(docs: DataFrame, path: str, end: int, capacity: int, style: str = "leading", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end: int, capacity: int, style: str = "leading", with_ids: bool = False, held: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids if asked for, part, rank): rank counts within part and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = tokens.coder(path, style), TaskContext.get().partitionId()
+        coder, part = tokens.coder(path, style, held), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in pieces(batches, "text", 8 << 20):
             ids, n = tokens.with_end(*coder.encode(batch.column("text")), end)
@@ -176,9 +176,9 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.join(before, ["part", "length"]).select(*names, "rank", "before").mapInArrow(assign, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of ``docs(doc_id, text)`` with its place."""
-    return pack(written(token_pieces(docs, tokenizer, end, capacity, with_ids=with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, with_ids: bool = False, held: int | None = None) -> DataFrame:
+    """One row for each piece of ``docs(doc_id, text)`` with its place. ``held``: words whose ids a worker keeps."""
+    return pack(written(token_pieces(docs, tokenizer, end, capacity, with_ids=with_ids, held=held), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -191,5 +191,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: the pieces of all kept documents with their sequences."""
-    return pack_documents(docs, tokens.tokenizer_path("byte_bpe_50k.json"), end=0)
+    """Pipeline stage: the pieces of all kept documents with their sequences. Workers that serve other stages too keep
+    fewer words."""
+    return pack_documents(docs, tokens.tokenizer_path("byte_bpe_50k.json"), end=0, held=200_000)

@@ -156,10 +156,12 @@ def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndar
     return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
-def coder(path: str, style: str) -> WordCoder:
-    """The worker's coder for a tokenizer file."""
+def coder(path: str, style: str, held: int | None = None) -> WordCoder:
+    """The worker's coder for a tokenizer file; ``held``: the ids of so many words are kept from now on."""
     if path not in _loaded:
         _loaded[path] = WordCoder(path, style)
+    if held is not None:
+        _loaded[path].held = held
     return _loaded[path]
 
 
