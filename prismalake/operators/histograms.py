@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.planes import DATA, C, channels_must_be, div, let, over_data, to_byte
@@ -57,8 +57,6 @@ def histogram(df: DataFrame, bins: int = 256, range_: tuple[float, float] = (0,
 
 def histogram_dataframe(df: DataFrame, bins: int = 256) -> DataFrame:
     """(image_id, bin, intensity, count, probability, cdf): the bin's centre, its share and the running share."""
-    from pyspark.sql import Window
-
     rows = histogram(df, bins)
     image = Window.partitionBy("image_id")
     total = F.sum("count").over(image)
@@ -67,32 +65,44 @@ def histogram_dataframe(df: DataFrame, bins: int = 256) -> DataFrame:
     return rows.select("image_id", "bin", ((F.col("lo") + F.col("hi")) / 2).alias("intensity"), "count", share(F.col("count")).alias("probability"), share(upto).alias("cdf"))
 
 
+def _levels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(planes on the scale of bytes, levels): ``levels(image_id, level, n, upto, weight)`` of the levels that occur, with the
+    pixels and the sum of levels up to each. Planes are dealt out by image once; counts, running sums and the join of what
+    follows from them back to the planes all use that partitioning, and pixels never leave their task."""
+    df = df.repartition("image_id")
+    level = F.least(F.greatest(F.floor("v"), F.lit(0)), F.lit(255)).cast("int")
+    found = df.select("image_id", F.explode("data").alias("v")).select("image_id", level.alias("level")).groupBy("image_id", "level").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("image_id").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df, found.select("image_id", "level", "n", F.sum("n").over(upto).cast("double").alias("upto"), F.sum(F.col("n") * F.col("level")).over(upto).cast("double").alias("weight"))
+
+
 def histogram_equalization(df: DataFrame) -> DataFrame:
     """Grey bytes spread over 0..255 by their running counts; a constant image becomes 0."""
     names = df.columns
-    df = once(to_byte(channels_must_be(df, 1, "histogram_equalization")), data=DATA())
-    df = once(df, _cdf=F.transform(ends(F.transform(DATA(), lambda v: F.floor(v).cast("double")), 0.0, 256.0, 256), lambda n: n.cast("double")))
-    df = once(df, _first=F.array_min(F.filter("_cdf", lambda n: n > 0)))
-    span = F.nullif(F.size(DATA()) - F.col("_first"), F.lit(0.0))
-    df = once(df, _levels=F.transform("_cdf", lambda n: F.coalesce(F.rint(F.greatest(n - F.col("_first"), F.lit(0.0)) / span * 255), F.lit(0.0))))
-    return df.withColumn("data", F.transform("data", lambda v: F.get(F.col("_levels"), F.floor(v).cast("int")))).select(*names)
+    df, levels = _levels(to_byte(channels_must_be(df, 1, "histogram_equalization")))
+    image = Window.partitionBy("image_id")
+    first, size = F.min("upto").over(image), F.max("upto").over(image)
+    new = F.coalesce(F.rint((F.col("upto") - first) / F.nullif(size - first, F.lit(0.0)) * 255), F.lit(0.0))
+    table = levels.select("image_id", "level", new.alias("new")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("level", "new"))).alias("_t"))  # 256 at most
+    # a value for each level up to the greatest one: those that do not occur are never looked up
+    filled = F.flatten(F.transform("_t", lambda e, i: F.array_repeat(e["new"], e["level"] - F.coalesce(F.get(F.col("_t"), i - 1)["level"], F.lit(-1)))))
+    met = df.join(table.select("image_id", filled.alias("_new")), "image_id", "left")
+    place = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)).cast("int")
+    return met.withColumn("data", F.transform("data", lambda v: F.get(F.col("_new"), place(v)))).select(*names)
 
 
 def threshold_otsu(df: DataFrame) -> DataFrame:
     """Adds ``threshold``, the first level with the greatest variance between classes; data becomes 255 above it, else 0."""
     names = df.columns
-    df = once(to_byte(channels_must_be(df, 1, "threshold_otsu")), data=DATA())
-    # Running counts and running sums of the levels; the sum up to a level is its count times the level, less the counts before.
-    df = once(df, _c=F.transform(ends(F.transform(DATA(), lambda v: F.floor(v).cast("double")), 0.0, 256.0, 256), lambda n: n.cast("double")))
-    start = F.struct(F.lit(0.0).alias("before"), F.array().cast("array<double>").alias("a"))
-    df = once(df, _s=F.aggregate("_c", start, lambda a, n: F.struct((a["before"] + n).alias("before"), F.array_append(a["a"], a["before"]).alias("a")))["a"])
-    df = once(df, _q=F.transform("_s", lambda b, i: i * F.get(F.col("_c"), i) - b))
-    df = once(df, _n=F.get("_c", F.lit(255)), _t=F.get("_q", F.lit(255)))
-    n, t = F.col("_n"), F.col("_t")
-    split = lambda c, q: F.when((c > 0) & (c < n), F.pow(q * n - t * c, 2) / (F.nullif(c, F.lit(0.0)) * F.nullif(n - c, F.lit(0.0)))).otherwise(0.0)
-    df = once(df, _b=F.zip_with("_c", "_q", split))
-    df = once(df, threshold=F.when(F.array_max("_b") > 0, F.array_position("_b", F.array_max("_b")) - 1).otherwise(0).cast("double"))
-    return df.withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), 255.0).otherwise(0.0))).select(*names, "threshold")
+    df, levels = _levels(to_byte(channels_must_be(df, 1, "threshold_otsu")))
+    image = Window.partitionBy("image_id")
+    n, total = F.max("upto").over(image), F.max("weight").over(image)
+    c, q = F.col("upto"), F.col("weight")
+    between = F.when(c < n, F.pow(q * n - total * c, 2) / (c * F.nullif(n - c, F.lit(0.0)))).otherwise(0.0)
+    best = levels.select("image_id", "level", between.alias("b")).groupBy("image_id").agg(F.max(F.struct("b", (-F.col("level")).alias("low"))).alias("x"))
+    best = best.select("image_id", F.when(F.col("x.b") > 0, -F.col("x.low")).otherwise(0).cast("double").alias("threshold"))
+    met = df.join(best, "image_id", "left")
+    return met.withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), 255.0).otherwise(0.0))).select(*names, F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
 
 def color_histogram(df: DataFrame, bins: int = 32, normalize: bool = True) -> DataFrame:

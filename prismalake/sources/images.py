@@ -37,10 +37,27 @@ def from_image_rows(rows: DataFrame) -> DataFrame:
     return raw.select(F.xxhash64("origin").alias("image_id"), "height", "width", channels.alias("channels"), data.alias("data"), "origin")
 
 
-def read_image(spark: SparkSession, path: str, as_gray: bool = False) -> DataFrame:
-    """Plane rows of the PNG, JPEG and other files at a path or glob (read by Spark, so any of its stores will do)."""
-    df = from_image_rows(spark.read.format("image").option("dropInvalid", True).load(checked_path(path)))
-    return gray_of(df) if as_gray else df
+def read_image(spark: SparkSession, path: str, as_gray: bool = False, broken: str = "raise") -> DataFrame:
+    """Plane rows of the PNG, JPEG and other files at a path or glob (read by Spark, so any of its stores will do).
+
+    A path without files raises FileNotFoundError at once. A file that cannot be decoded raises when it is read; with
+    ``broken="report"`` it is a row with its ``origin``, an ``error`` and null for all that is not known."""
+    if broken not in ("raise", "report"):
+        raise ValueError(f"unknown handling of broken files {broken!r}; raise or report")
+    at = spark._jvm.org.apache.hadoop.fs.Path(checked_path(path))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        raise FileNotFoundError(path)
+    rows = spark.read.format("image").load(path)
+    bad = F.col("image.height") <= 0
+    if broken == "raise":
+        error = F.raise_error(F.concat(F.lit("cannot decode "), F.col("image.origin"))).cast(rows.schema["image"].dataType)
+        df = from_image_rows(rows.withColumn("image", F.when(bad, error).otherwise(F.col("image"))))
+        return gray_of(df) if as_gray else df
+    good = from_image_rows(rows.where(~bad))
+    good = (gray_of(good) if as_gray else good).withColumn("error", F.lit(None).cast("string"))
+    lost = rows.where(bad).select(F.col("image.origin").alias("origin"), F.lit("cannot be decoded").alias("error"))
+    lost = lost.select(*[F.xxhash64("origin").alias(c) if c == "image_id" else F.col(c) if c in ("origin", "error") else F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns])
+    return good.unionByName(lost)
 
 
 def png(height: int, width: int, channels: int, data: bytes) -> bytes:
