@@ -7,14 +7,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import pixels
 from ..operators import descriptors as D
 from ..operators import drawing as dr
 from ..operators import geometry as g
 from ..operators import histograms as hi
+from ..operators import kernels as kn
 from ..operators import pointwise as pw
+from ..operators import shapes as sh
 from ..operators import stencils as st
-from ..sources.tables import gray8, rgb8, text32
+from ..operators import tiles as ti
+from ..sources.tables import gray8, mosaic, mosaic_pixels, rgb8, text32
 
 R = 4  # decimals that are compared
 BINOMIAL = [[1, 2, 1], [2, 4, 2], [1, 2, 1]]
@@ -23,17 +25,33 @@ TRIANGLE = [(1, 0), (6, 2), (3, 7)]
 
 LEVEL = "least(255, greatest(0, floor(e::double * 256 + 128)))::double"
 GRAY = f"img AS (SELECT vec_id AS image_id, 0 AS c, (p // 8)::int AS y, (p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"
-RGB = f"img AS (SELECT vec_id // 3 AS image_id, (vec_id % 3)::int AS c, (p // 8)::int AS y, (p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) WHERE vec_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(*) = 3))"
+RGB = f"have AS (SELECT vec_id // 3 AS image_id, (vec_id % 3)::int AS c, (p // 8)::int AS y, (p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)), img AS (SELECT g.image_id, g.c, g.y, g.x, coalesce(v, 0)::double AS v FROM (SELECT image_id, k.c, y.y, x.x FROM (SELECT DISTINCT image_id FROM have), (SELECT unnest(range(3))::int AS c) k, (SELECT unnest(range(8))::int AS y) y, (SELECT unnest(range(8))::int AS x) x) g LEFT JOIN have USING (image_id, c, y, x))"
 TEXT = "img AS (SELECT doc_id AS image_id, 0 AS c, (p // 32)::int AS y, (p % 32)::int AS x, (CASE WHEN p < length(text) THEN unicode(text[p + 1]) % 256 ELSE 0 END)::double AS v FROM (SELECT doc_id, text, unnest(range(((length(text) + 31) // 32) * 32)) AS p FROM documents WHERE text <> ''))"
 
 
+def mosaic_sql(down: int, across: int) -> str:
+    """Images of ``down`` x ``across`` vectors; places without one are 0."""
+    n = down * across
+    have = f"have AS (SELECT vec_id // {n} AS image_id, ((vec_id % {n}) // {across} * 8 + p // 8)::int AS y, ((vec_id % {n}) % {across} * 8 + p % 8)::int AS x, {LEVEL} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"
+    return f"{have}, img AS (SELECT image_id, 0 AS c, y, x, coalesce(v, 0)::double AS v FROM (SELECT image_id, y.y, x.x FROM (SELECT DISTINCT image_id FROM have), (SELECT unnest(range({8 * down}))::int AS y) y, (SELECT unnest(range({8 * across}))::int AS x) x) LEFT JOIN have USING (image_id, y, x))"
+
+
+SMALL, LARGE, SIDE = (3, 5), (16, 32), 40  # mosaics of 24 x 40 and, cut into tiles that do not divide them, 128 x 256 pixels
+
+
 def out(value: str = "v") -> str:
     return f"image_id::bigint AS image_id, c::int AS c, y::int AS y, x::int AS x, round(({value})::double, {R}) + 0.0 AS v"
 
 
 def shown(df: DataFrame, *more: str) -> DataFrame:
-    rows = pixels(df) if not more else pixels(df).join(df.select("image_id", *more), "image_id")
-    return rows.select(F.col("image_id").cast("long").alias("image_id"), "c", "y", "x", (F.round("v", R) + 0.0).alias("v"), *more)
+    rows = df.select("image_id", "width", "channels", *more, F.posexplode("data").alias("p", "v"))
+    p, w, c = F.col("p"), F.col("width"), F.col("channels")
+    place = {"c": p % c, "y": F.floor(p / (w * c)), "x": F.floor(p / c) % w}
+    return rows.select(F.col("image_id").cast("long").alias("image_id"), *[e.cast("int").alias(n) for n, e in place.items()], (F.round("v", R) + 0.0).alias("v"), *more)
+
+
+def shown_pixels(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("image_id").cast("long").alias("image_id"), "c", "y", "x", (F.round("v", R) + 0.0).alias("v"))
 
 
 def vector(df: DataFrame) -> DataFrame:
@@ -66,13 +84,13 @@ def turned(kernel):
     return [r[::-1] for r in kernel[::-1]]
 
 
-def near_sql(mode: str, n: int = 8) -> str:
-    """Every pixel with its neighbours ``q`` under the taps."""
-    return f"near AS (SELECT p.image_id, p.c, p.y, p.x, p.v, t.dy, t.dx, t.w, coalesce(q.v, 0) AS q FROM img p CROSS JOIN taps t LEFT JOIN img q ON q.image_id = p.image_id AND q.c = p.c AND q.y = {edge_sql(mode, 'p.y + t.dy', n)} AND q.x = {edge_sql(mode, 'p.x + t.dx', n)})"
+def near_sql(mode: str, n: int = 8, wide: int | None = None) -> str:
+    """Every pixel with its neighbours ``q`` under the taps; images are ``n`` high and ``wide`` across (else ``n``)."""
+    return f"near AS (SELECT p.image_id, p.c, p.y, p.x, p.v, t.dy, t.dx, t.w, coalesce(q.v, 0) AS q FROM img p CROSS JOIN taps t LEFT JOIN img q ON q.image_id = p.image_id AND q.c = p.c AND q.y = {edge_sql(mode, 'p.y + t.dy', n)} AND q.x = {edge_sql(mode, 'p.x + t.dx', wide or n)})"
 
 
-def stencil_sql(kernel, mode: str, agg: str = "sum(q * w)", source: str = GRAY, value: str = "s", n: int = 8) -> str:
-    return f"WITH {source}, {taps(kernel)}, {near_sql(mode, n)}, s AS (SELECT image_id, c, y, x, any_value(v) AS v, {agg} AS s FROM near GROUP BY ALL), z AS (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM s) SELECT {out(value)} FROM z".replace("GROUP BY ALL)", "GROUP BY image_id, c, y, x)")
+def stencil_sql(kernel, mode: str, agg: str = "sum(q * w)", source: str = GRAY, value: str = "s", n: int = 8, wide: int | None = None) -> str:
+    return f"WITH {source}, {taps(kernel)}, {near_sql(mode, n, wide)}, s AS (SELECT image_id, c, y, x, any_value(v) AS v, {agg} AS s FROM near GROUP BY ALL), z AS (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM s) SELECT {out(value)} FROM z".replace("GROUP BY ALL)", "GROUP BY image_id, c, y, x)")
 
 
 def ones(k: int):
@@ -104,29 +122,31 @@ def rotate_sql(angle: float, method: str, fill: float) -> str:
     return gather_sql(8, 8, sy, sx, method, "sx >= 0 AND sx <= 7 AND sy >= 0 AND sy <= 7", fill)
 
 
-def line_pixels(x0, y0, x1, y1, thickness=1) -> set:
-    """Pixels of a line by stepping with an error term."""
-    dx, dy, sx, sy = abs(x1 - x0), abs(y1 - y0), (1 if x1 >= x0 else -1), (1 if y1 >= y0 else -1)
-    x, y, err, found = x0, y0, dx - dy, set()
-    half = thickness // 2
-    while True:
-        for k in range(-half, half + 1):
-            found.add((y + k, x) if dx >= dy else (y, x + k))
-        if (x, y) == (x1, y1):
-            return found
-        twice = 2 * err
-        if twice > -dy:
-            err -= dy
-            x += sx
-        if twice < dx:
-            err += dx
-            y += sy
+def line_sql(x0: int, y0: int, x1: int, y1: int, thickness: int = 1) -> str:
+    """(py, px) of a line: for each place on the longer axis the nearest one on the other, of two the one nearer to the
+    start (a quotient less a half, rounded up), and the places beside it along that axis."""
+    across, down = abs(x1 - x0), abs(y1 - y0)
+    to_x, to_y = (1 if x1 >= x0 else -1), (1 if y1 >= y0 else -1)
+    long, short = max(across, down), min(across, down)
+    aside = f"-((({long} - 2 * i * {short}) - (({long} - 2 * i * {short}) % {2 * long} + {2 * long}) % {2 * long}) // {2 * long})" if long else "0"
+    flat = (f"{y0} + {to_y} * ({aside}) + k", f"{x0} + {to_x} * i")
+    steep = (f"{y0} + {to_y} * i", f"{x0} + {to_x} * ({aside}) + k")
+    py, px = flat if across >= down else steep
+    return f"SELECT ({py})::int AS py, ({px})::int AS px FROM (SELECT unnest(range({long + 1})) AS i), (SELECT unnest(range({-(thickness // 2)}, {thickness // 2 + 1})) AS k)"
+
+
+def lines_sql(corners: list, color) -> str:
+    """The overlay of lines between consecutive corners."""
+    return overlay_sql(" UNION ".join(line_sql(*a, *b) for a, b in zip(corners, corners[1:])), color)
 
 
 def overlay_sql(places, color) -> str:
+    """``places``: pairs (y, x), or SQL of (py, px)."""
     source, value = (RGB, f"CASE c WHEN 0 THEN {color[0]} WHEN 1 THEN {color[1]} ELSE {color[2]} END") if isinstance(color, tuple) else (GRAY, str(color))
-    listed = ", ".join(f"({y}, {x})" for y, x in sorted(places)) or "(-1, -1)"
-    return f"WITH {source}, places(py, px) AS (VALUES {listed}) SELECT {out(f'CASE WHEN places.py IS NULL THEN v ELSE {value} END')} FROM img LEFT JOIN places ON y = places.py AND x = places.px"
+    if not isinstance(places, str):
+        listed = ", ".join(f"({y}, {x})" for y, x in sorted(places)) or "(-1, -1)"
+        places = f"SELECT * FROM (VALUES {listed}) AS l(py, px)"
+    return f"WITH {source}, places AS (SELECT DISTINCT py, px FROM ({places})) SELECT {out(f'CASE WHEN places.py IS NULL THEN v ELSE {value} END')} FROM img LEFT JOIN places ON y = places.py AND x = places.px"
 
 
 def polygon_sql(vertices, color) -> str:
@@ -255,12 +275,127 @@ def _translate_sql(tx: int, ty: int, fill: float) -> str:
     return f"WITH {GRAY} SELECT p.image_id::bigint AS image_id, p.c::int AS c, p.y::int AS y, p.x::int AS x, coalesce(q.v, {float(fill)}::double) AS v FROM img p LEFT JOIN img q ON q.image_id = p.image_id AND q.y = p.y - ({ty}) AND q.x = p.x - ({tx})"
 
 
+def _tiled(op, show=shown_pixels):
+    """A query over large mosaics that are only ever held as tiles."""
+
+    def run(spark, sf_dir) -> DataFrame:
+        rows = mosaic_pixels(spark, sf_dir, *LARGE)
+        return show(ti.pixels_of_tiles(op(ti.tiles_of_pixels(rows, 8 * LARGE[0], 8 * LARGE[1], 1, SIDE))))
+
+    return run
+
+
+def _tiled_sobel(spark, sf_dir) -> DataFrame:
+    tiles = ti.sobel_gradients(ti.tiles_of_pixels(mosaic_pixels(spark, sf_dir, *LARGE), 8 * LARGE[0], 8 * LARGE[1], 1, SIDE))
+    r = lambda c: (F.round(c, R) + 0.0).alias(c)
+    return ti.pixels_of_tiles(tiles, "gx", "gy", "magnitude", "angle").select(F.col("image_id").cast("long").alias("image_id"), "y", "x", r("gx"), r("gy"), r("magnitude"), r("angle"))
+
+
+PLACE = "greatest(-8, least(50, floor((e[{k}] + 0.5) * 40)))"  # vertices on and around a mosaic
+
+
+def _polygons(spark, sf_dir) -> DataFrame:
+    """A polygon of five corners for each vector, on the mosaic that holds the vector; later ones cover earlier ones."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("e", F.col("embedding").cast("array<double>"))
+    corner = [F.struct(F.expr(PLACE.format(k=2 * k)).cast("int").alias("x"), F.expr(PLACE.format(k=2 * k + 1)).cast("int").alias("y")) for k in range(5)]
+    return rows.select(F.floor(F.col("vec_id") / (SMALL[0] * SMALL[1])).cast("long").alias("image_id"), F.col("vec_id").alias("ord"), F.array(*corner).alias("vertices"), F.array((F.col("vec_id") % 256).cast("double")).alias("color"))
+
+
+def _drawn_polygons(filled: bool):
+    def run(spark, sf_dir) -> DataFrame:
+        df = mosaic(spark, sf_dir, *SMALL)
+        marks = (sh.filled_polygons if filled else sh.polygon_outlines)(_polygons(spark, sf_dir), sh.canvases(df))
+        return shown_pixels(sh.drawn(df, marks))
+
+    return run
+
+
+def _polygons_sql(filled: bool) -> str:
+    corner = ", ".join(f"{{'x': {PLACE.format(k=2 * k + 1)}::int, 'y': {PLACE.format(k=2 * k + 2)}::int}}" for k in range(5))
+    edges = f"""{mosaic_sql(*SMALL)}, shapes AS (SELECT vec_id // {SMALL[0] * SMALL[1]} AS image_id, vec_id AS ord, (vec_id % 256)::double AS color, [{corner}] AS v FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings)),
+edges AS (SELECT image_id, ord, color, v[k].x AS ax, v[k].y AS ay, v[k % 5 + 1].x AS bx, v[k % 5 + 1].y AS b_y FROM shapes, (SELECT unnest(range(1, 6)) AS k))"""
+    if filled:
+        marks = f"""rows AS (SELECT unnest(range({8 * SMALL[0]}))::int AS y),
+cross_ AS (SELECT image_id, ord, color, y, ax + (y - ay) * (bx - ax) / (b_y - ay)::double AS xi FROM edges JOIN rows ON ay != b_y AND y >= least(ay, b_y) AND y < greatest(ay, b_y)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ord, y ORDER BY xi) AS k FROM cross_),
+spans AS (SELECT a.image_id, a.ord, a.color, a.y, floor(a.xi) AS x0, ceil(b.xi) AS x1 FROM ranked a JOIN ranked b ON a.ord = b.ord AND a.y = b.y AND b.k = a.k + 1 WHERE a.k % 2 = 1),
+marks AS (SELECT image_id, ord, color, y, x FROM spans, (SELECT unnest(range({8 * SMALL[1]}))::int AS x) WHERE x BETWEEN x0 AND x1)"""
+    else:
+        marks = """steps AS (SELECT *, greatest(abs(bx - ax), abs(b_y - ay)) AS long, least(abs(bx - ax), abs(b_y - ay)) AS short, unnest(range(greatest(abs(bx - ax), abs(b_y - ay)) + 1)) AS i FROM edges),
+sides AS (SELECT *, CASE WHEN long = 0 THEN 0 ELSE ceil((2 * i * short - long) / (2.0::double * greatest(long, 1))) END AS aside, abs(bx - ax) < abs(b_y - ay) AS steep, CASE WHEN bx >= ax THEN 1 ELSE -1 END AS sx, CASE WHEN b_y >= ay THEN 1 ELSE -1 END AS sy FROM steps),
+marks AS (SELECT image_id, ord, color, (ay + sy * CASE WHEN steep THEN i ELSE aside END)::int AS y, (ax + sx * CASE WHEN steep THEN aside ELSE i END)::int AS x FROM sides)"""
+    return f"WITH {edges}, {marks}, last AS (SELECT image_id, y, x, arg_max(color, ord) AS color FROM marks GROUP BY 1, 2, 3) SELECT {out('coalesce(color, v)').replace('image_id::', 'img.image_id::').replace(' y::', ' img.y::').replace(' x::', ' img.x::')} FROM img LEFT JOIN last ON last.image_id = img.image_id AND last.y = img.y AND last.x = img.x"
+
+
+LABEL = "concat_ws(':', cast(label as string), cast(vec_id as string))"
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    """Each vector's label and number, written on the mosaic that holds the vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    number = F.col("vec_id")
+    labels = rows.select(F.floor(number / (SMALL[0] * SMALL[1])).cast("long").alias("image_id"), number.alias("ord"), F.expr(LABEL).alias("text"), (number % 43 - 9).cast("int").alias("x"), (number % 31 - 5).cast("int").alias("y"), (number % 3).cast("double").alias("scale"), F.array((number % 256).cast("double")).alias("color"))
+    df = mosaic(spark, sf_dir, *SMALL)
+    return shown_pixels(sh.drawn(df, sh.texts(labels, sh.canvases(df))))
+
+
+def _labels_sql() -> str:
+    font = ", ".join(f"('{ch}', {row}, {bits})" for ch, rows in dr.FONT.items() for row, bits in enumerate(rows) if bits)
+    return f"""WITH {mosaic_sql(*SMALL)}, font(ch, r, bits) AS (VALUES {font}),
+labels AS (SELECT vec_id // {SMALL[0] * SMALL[1]} AS image_id, vec_id AS ord, {LABEL.replace("string", "varchar")} AS t, vec_id % 43 - 9 AS px, vec_id % 31 - 5 AS py, greatest(1, vec_id % 3) AS s FROM embeddings),
+chars AS (SELECT *, unnest(range(length(t))) AS n FROM labels),
+dots AS (SELECT image_id, ord, py + r * s AS top, px + (6 * n + k) * s AS side, s FROM chars JOIN font ON ch = t[n + 1], (SELECT unnest(range(5)) AS k) WHERE (bits >> (4 - k)) & 1 = 1),
+marks AS (SELECT image_id, ord, top + a AS y, side + b AS x FROM dots, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b) WHERE a < s AND b < s),
+last AS (SELECT image_id, y, x, max(ord) % 256 AS color FROM marks GROUP BY 1, 2, 3)
+SELECT {out('coalesce(color, v)').replace('image_id::', 'img.image_id::').replace(' y::', ' img.y::').replace(' x::', ' img.x::')} FROM img LEFT JOIN last ON last.image_id = img.image_id AND last.y = img.y AND last.x = img.x"""
+
+
+def _kernels_by_row(spark, sf_dir) -> DataFrame:
+    """Each mosaic convolved with the kernel of a label: means over all vectors of the label, places folded to 3 x 3."""
+    values = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("kernel_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "e"))
+    kernels = values.groupBy("kernel_id", (F.floor(F.col("p") / 8) % 3).cast("int").alias("ky"), (F.col("p") % 8 % 3).alias("kx")).agg(F.avg("e").alias("w"))
+    df = mosaic(spark, sf_dir, *SMALL).withColumn("kernel_id", (F.col("image_id") % 10).cast("int"))
+    return shown_pixels(kn.dense(kn.convolve_each(df, kernels, "reflect"), df.select("image_id", "height", "width", "channels")))
+
+
+def _kernels_sql() -> str:
+    high, wide = 8 * SMALL[0], 8 * SMALL[1]
+    return f"""WITH {mosaic_sql(*SMALL)}, taps AS (SELECT label AS kernel_id, 1 - (p // 8) % 3 AS dy, 1 - (p % 8) % 3 AS dx, avg(e::double) AS w FROM (SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) GROUP BY 1, 2, 3)
+SELECT {out('sum(q.v * w)').replace('image_id::', 'p.image_id::').replace(' c::', ' p.c::').replace(' y::', ' p.y::').replace(' x::', ' p.x::')} FROM img p JOIN taps t ON kernel_id = p.image_id % 10 JOIN img q ON q.image_id = p.image_id AND q.y = {edge_sql('reflect', 'p.y + t.dy', high)} AND q.x = {edge_sql('reflect', 'p.x + t.dx', wide)} GROUP BY p.image_id, p.c, p.y, p.x"""
+
+
+def _larger() -> dict:
+    """Images that are not square, images in tiles, and shapes, texts and kernels from tables."""
+    small = lambda op, show=shown: of(lambda s, d: mosaic(s, d, *SMALL), op, show)
+    at_small = {"source": mosaic_sql(*SMALL), "n": 8 * SMALL[0], "wide": 8 * SMALL[1]}
+    at_large = {"source": mosaic_sql(*LARGE), "n": 8 * LARGE[0], "wide": 8 * LARGE[1]}
+    sobel = SOBEL.replace(near_sql("reflect"), near_sql("reflect", 8 * LARGE[0], 8 * LARGE[1]))
+    return {
+        "mosaic_convolve": (small(lambda d: st.convolve2d(d, SLANTED, "reflect")), stencil_sql(turned(SLANTED), "reflect", **at_small)),
+        "mosaic_mean_wide": (small(lambda d: st.mean_filter(d, 9)), stencil_sql(ones(9), "reflect", "sum(q) / 81.0::double", **at_small)),
+        "mosaic_median_wide": (small(lambda d: st.median_filter(d, 7)), stencil_sql(ones(7), "replicate", "median(q)", **at_small)),
+        "mosaic_dilate_wide": (small(lambda d: st.morphological_op(d, [[1] * 11] * 7, "dilate")), stencil_sql([[1] * 11] * 7, "replicate", "max(q)", **at_small)),
+        "mosaic_translate": (small(lambda d: g.translate(d, 7, -3, 9.0)), _translate_sql(7, -3, 9.0).replace(GRAY, mosaic_sql(*SMALL))),
+        "tiled_convolve": (_tiled(lambda t: ti.convolve2d(t, SLANTED, "replicate")), stencil_sql(turned(SLANTED), "replicate", **at_large)),
+        "tiled_gaussian": (_tiled(lambda t: ti.gaussian_filter(t, 5, 1.2)), stencil_sql(_gauss(5, 1.2), "reflect", **at_large)),
+        "tiled_median": (_tiled(lambda t: ti.median_filter(t, 5)), stencil_sql(ones(5), "replicate", "median(q)", **at_large)),
+        "tiled_adaptive": (_tiled(lambda t: ti.threshold_adaptive(t, 5)), stencil_sql(ones(5), "reflect", "sum(q) / 25.0::double", value="CASE WHEN v > s - 2 THEN 255 ELSE 0 END", **at_large)),
+        "tiled_unsharp": (_tiled(lambda t: ti.unsharp_mask(t, 3, 1.0, 1.5)), stencil_sql(_gauss(3, 1.0), "reflect", value="least(hi, greatest(lo, v + 1.5::double * (v - s)))", **at_large)),
+        "tiled_erode": (_tiled(lambda t: ti.morphological_op(t, [[1] * 5] * 3, "erode")), stencil_sql([[1] * 5] * 3, "replicate", "min(q)", **at_large)),
+        "tiled_sobel": (_tiled_sobel, f"WITH {mosaic_sql(*LARGE)}, {sobel} SELECT image_id::bigint AS image_id, y, x, round(gx::double, 4) + 0.0 AS gx, round(gy::double, 4) + 0.0 AS gy, round(sqrt(gx * gx + gy * gy), 4) AS magnitude, round(degrees(atan2(abs(gy), abs(gx))), 4) AS angle FROM sob"),
+        "polygons_filled_by_table": (_drawn_polygons(True), _polygons_sql(True)),
+        "polygons_outlined_by_table": (_drawn_polygons(False), _polygons_sql(False)),
+        "labels_by_table": (_labels, _labels_sql()),
+        "kernels_by_table": (_kernels_by_row, _kernels_sql()),
+    }
+
+
 def _entries() -> dict:
     binomial16 = [[v / 16 for v in r] for r in BINOMIAL]
     sharp = lambda d: st.unsharp_mask(d, 3, 1.0, 1.5)
-    adaptive = "CASE WHEN v > round(s, 9) - 2 THEN 255 ELSE 0 END"
-    rect = {(y, x) for c in ((1, 2, 6, 2), (6, 2, 6, 5), (6, 5, 1, 5), (1, 5, 1, 2)) for y, x in line_pixels(*c)}
-    outline = {p for a, b in zip(TRIANGLE, [*TRIANGLE[1:], TRIANGLE[0]]) for p in line_pixels(*a, *b)}
+    adaptive = "CASE WHEN v > s - 2 THEN 255 ELSE 0 END"
+    rect = [(1, 2), (6, 2), (6, 5), (1, 5), (1, 2)]
+    clamped = [(0, 3), (5, 3), (5, 7), (0, 7), (0, 3)]
     gray = lambda op, sql: (of(gray8, op), sql)
     return {
         "rgb_to_gray": (of(rgb8, pw.rgb_to_gray), f"WITH {RGB.replace('img AS', 'raw AS', 1)}, {LUMA} SELECT {out()} FROM img"),
@@ -303,13 +438,15 @@ def _entries() -> dict:
         "rotate_nearest": gray(lambda d: g.rotate(d, 90, "nearest"), rotate_sql(90, "nearest", 0.0)),
         "translate": gray(lambda d: g.translate(d, 2, -1, 9.0), _translate_sql(2, -1, 9.0)),
         "draw_point": gray(lambda d: dr.draw_point(d, 3, 4, 255, 3), overlay_sql({(y, x) for y in range(8) for x in range(8) if (y - 4) ** 2 + (x - 3) ** 2 < 9}, 255)),
-        "draw_line": gray(lambda d: dr.draw_line(d, -2, 1, 7, 5, 200), overlay_sql(line_pixels(-2, 1, 7, 5), 200)),
-        "draw_line_thick": (of(rgb8, lambda d: dr.draw_line(d, 6, 7, 3, 0, (10, 20, 30), 2)), overlay_sql(line_pixels(6, 7, 3, 0, 2), (10, 20, 30))),
-        "rectangle_outline": gray(lambda d: dr.draw_rectangle(d, 6, 5, 1, 2, 1), overlay_sql(rect, 1)),
+        "draw_line": gray(lambda d: dr.draw_line(d, -2, 1, 7, 5, 200), overlay_sql(line_sql(-2, 1, 7, 5), 200)),
+        "draw_line_thick": (of(rgb8, lambda d: dr.draw_line(d, 6, 7, 3, 0, (10, 20, 30), 2)), overlay_sql(line_sql(6, 7, 3, 0, 2), (10, 20, 30))),
+        "rectangle_outline": gray(lambda d: dr.draw_rectangle(d, 6, 5, 1, 2, 1), lines_sql(rect, 1)),
+        "rectangle_clamped": gray(lambda d: dr.draw_rectangle(d, -4, 3, 5, 30, 1), lines_sql(clamped, 1)),
         "rectangle_filled": gray(lambda d: dr.draw_rectangle(d, 1, 2, 9, 5, 1, filled=True), overlay_sql({(y, x) for y in range(2, 6) for x in range(1, 8)}, 1)),
-        "polygon_outline": gray(lambda d: dr.draw_polygon(d, TRIANGLE, 99), overlay_sql(outline, 99)),
+        "polygon_outline": gray(lambda d: dr.draw_polygon(d, TRIANGLE, 99), lines_sql([*TRIANGLE, TRIANGLE[0]], 99)),
         "polygon_filled": gray(lambda d: dr.draw_polygon(d, TRIANGLE, 99, filled=True), polygon_sql(TRIANGLE, 99)),
         "put_text": (of(text32, lambda d: dr.put_text(d, "Ab1?~:", 1, 3, 1.0, 255)), overlay_sql(text_pixels("Ab1?~:", 1, 3, 1), 255).replace(GRAY, TEXT)),
+        **_larger(),
         "put_text_scaled": (of(text32, lambda d: dr.put_text(d, "K8", -3, 20, 2.4, 254)), overlay_sql(text_pixels("K8", -3, 20, 2), 254).replace(GRAY, TEXT)),
     }
 

@@ -15,13 +15,29 @@ def gray8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour 8 x 8 images: three consecutive vectors are the channels; incomplete ones are left out."""
+    """Colour 8 x 8 images: three consecutive vectors are the channels; a channel without a vector is 0."""
     rows = gray8(spark, sf_dir).select(F.floor(F.col("image_id") / 3).cast("long").alias("id"), (F.col("image_id") % 3).alias("c"), "data")
-    by = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "data"))).alias("s")).where(F.size("s") == 3)  # three rows at most
-    data = F.expr("transform(sequence(0, 191), i -> get(get(s, i % 3).data, cast(i div 3 as int)))")
+    by = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "data"))).alias("s"))  # three rows at most
+    data = F.expr("transform(sequence(0, 191), i -> coalesce(get(try_element_at(s, cast(i % 3 as bigint)), cast(i div 3 as int)), 0D))")
     return by.select(F.col("id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
 
 
+def mosaic_pixels(spark: SparkSession, sf_dir: str, down: int, across: int) -> DataFrame:
+    """Pixel rows of grey images of ``down`` x ``across`` consecutive 8 x 8 images; only pixels that there are."""
+    rows = gray8(spark, sf_dir).select("image_id", F.posexplode("data").alias("p", "v"))
+    t = F.col("image_id") % (down * across)
+    place = {"y": F.floor(t / across) * 8 + F.floor(F.col("p") / 8), "x": t % across * 8 + F.col("p") % 8}
+    return rows.select(F.floor(F.col("image_id") / (down * across)).cast("long").alias("image_id"), F.lit(0).alias("c"), *[e.cast("int").alias(n) for n, e in place.items()], "v")
+
+
+def mosaic(spark: SparkSession, sf_dir: str, down: int = 3, across: int = 5) -> DataFrame:
+    """The same as plane rows; places without an image are 0."""
+    rows = mosaic_pixels(spark, sf_dir, down, across)
+    by = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * (8 * across) + F.col("x")).alias("p"), "v"))).alias("s"))  # an image's pixels
+    data = F.transform(F.sequence(F.lit(0), F.lit(64 * down * across - 1)), lambda p: F.coalesce(F.try_element_at(F.col("s"), p), F.lit(0.0)))
+    return by.select("image_id", F.lit(8 * down).alias("height"), F.lit(8 * across).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+
+
 def text32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey images 32 wide: the characters of each whole text row by row, code points modulo 256, the last row filled up
     with 0. Null and empty texts are no images."""

@@ -95,12 +95,19 @@ def test_morphology_order(spark, gray):
     assert (low <= gray).all() and (gray <= high).all()
 
 
-def test_lines_equal_stepping(spark):
-    from prismalake.plans.catalog import line_pixels
+def test_lines_take_the_nearest_places(spark):
+    import duckdb
 
-    for end in [(9, 4), (3, 9), (0, 0), (-3, 12), (9, 9), (5, 0)]:
+    from prismalake.plans.catalog import line_sql
+
+    for end in [(9, 4), (3, 9), (0, 0), (-3, 12), (9, 9), (5, 0), (2, 5), (4, 1)]:
         a = arrays(dr.draw_line(planes(spark, np.zeros((10, 10))), 2, 5, *end, 1))[0]
-        assert {(y, x) for y, x in np.argwhere(a)} == {(y, x) for y, x in line_pixels(2, 5, *end) if 0 <= y < 10 and 0 <= x < 10}
+        got = {(int(y), int(x)) for y, x in np.argwhere(a)}
+        assert got == {p for p in duckdb.sql(line_sql(2, 5, *end)).fetchall() if 0 <= p[0] < 10 and 0 <= p[1] < 10}
+        long = max(abs(end[0] - 2), abs(end[1] - 5))
+        for i in range(long + 1):  # each place lies within half a step of the line
+            x, y = 2 + (end[0] - 2) * i / max(1, long), 5 + (end[1] - 5) * i / max(1, long)
+            assert not (0 <= x <= 9 and 0 <= y <= 9) or any(abs(px - x) <= 0.5 and abs(py - y) <= 0.5 for py, px in got)
 
 
 def test_drawing_off_canvas_and_colours(spark):
@@ -136,6 +143,20 @@ def test_png_round_trip(spark, gray, tmp_path):
     assert back["0.png"].data == gray.ravel().tolist() and back["1.png"].data == rgb.ravel().tolist()
 
 
+def test_missing_and_broken_files(spark, gray, tmp_path):
+    im.export_image(planes(spark, gray), str(tmp_path / "in")).collect()
+    (tmp_path / "in" / "9.png").write_bytes(b"no image at all")
+    with pytest.raises(FileNotFoundError):
+        im.read_image(spark, str(tmp_path / "none" / "*.png"))
+    with pytest.raises(Exception, match="cannot decode"):
+        im.read_image(spark, str(tmp_path / "in" / "*.png")).collect()
+    for as_gray in (False, True):
+        rows = im.read_image(spark, str(tmp_path / "in" / "*.png"), as_gray, broken="report").collect()
+        assert sorted((r.origin.rsplit("/", 1)[1], r.error, r.data is None) for r in rows) == [("0.png", None, False), ("9.png", "cannot be decoded", True)]
+    with pytest.raises(ValueError):
+        im.read_image(spark, str(tmp_path / "in" / "*.png"), broken="skip")
+
+
 def test_layouts_and_stream(spark, gray, tmp_path):
     df = planes(spark, gray)
     assert (arrays(from_pixels(pixels(df)))[0] == gray).all()
