@@ -58,7 +58,7 @@ def lbp(df: DataFrame, radius: int = 1, n_points: int = 8, bins: int = 64) -> Da
         at_ = lambda s: let(F.floor(s), lambda low: F.struct(inside(low).alias("a"), inside(low + 1).alias("b"), (s - low).alias("f")))
         return F.transform(upto(n), lambda i: let(i + F.lit(offset), at_))
 
-    tables = F.transform(upto(F.lit(n_points)), lambda p: F.struct(F.get(F.array(*[axis(radius * math.sin(a), H(), W()) for a in angles]), p).alias("y"), F.get(F.array(*[axis(radius * math.cos(a), W(), F.lit(1)) for a in angles]), p).alias("x")))
+    tables = F.array(*[F.struct(axis(radius * math.sin(a), H(), W()).alias("y"), axis(radius * math.cos(a), W(), F.lit(1)).alias("x")) for a in angles])
 
     def near(data: Column, r: Column, c: Column) -> Column:
         v = lambda i, j: F.get(data, whole(r[i] + c[j]))
