@@ -1,7 +1,7 @@
 """Chat formatting with tool calls: link, order, validate and serialise, in DataFrame operations only.
 
 Calls and results meet in a hash join on conversation and identifier, calls that name other calls are put in topological
-order by pointer doubling (a chain of n calls takes log n rounds), arguments are checked field by field against a table of schemas, and every message becomes one line of
+order by pointer doubling (a chain of n calls takes log n rounds, see ``depths``), arguments are checked field by field against a table of schemas, and every message becomes one line of
 canonical JSON (keys sorted at every depth, no blanks). Nothing is gathered by conversation: a message is a row, and
 ``(depth, turn)`` is its place, so one conversation may hold any share of all rows.
 
@@ -22,7 +22,7 @@ rows with a null call_id are plain messages; an empty input gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -53,26 +53,34 @@ def _kind(value) -> F.Column:
     )
 
 
-def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
+def depths(calls: DataFrame, edges: DataFrame, widest: int = 128) -> DataFrame:
     """(id, depth) of ``calls(id)``: 0 without predecessors, else one more than the deepest; -1 in or behind a cycle.
 
     ``edges(id, before)`` name calls only. A row ``(id, before, w, base)`` says: the depth is at least ``base`` and at least
     that of ``before`` plus ``w``. In a round, an edge to a call of known depth becomes a bound, and one to a call with a
-    single edge left jumps over it, so a chain of n calls takes log n rounds; other calls wait for their last edge.
-    Each round is written, so no plan holds more than one. No edge gone in a round: what is left depends on a cycle.
+    single edge left jumps over it, so a chain of n calls takes log n rounds. A call whose predecessors have ``widest``
+    edges in all, or fewer, jumps over all of them at once (no call ever gets more edges than that, or than it began
+    with); the others wait for their last edge. Each round is written, so no plan holds more than one. In every round at
+    least one open call becomes known, but for those that depend on a cycle.
     """
     far = F.lit(1 << 40)  # bounds of a cycle do not overflow
     state = calls.distinct().join(edges.distinct(), "id", "left").select("id", "before", F.when(F.col("before").isNotNull(), 1).cast("long").alias("w"), F.lit(0).cast("long").alias("base"))
     state, left = written(state, "order"), None
     while True:
-        now = state.where("before is not null").count()
-        info = state.groupBy("id").agg(F.count("before").alias("n"), F.max("base").alias("least"), F.max("before").alias("next"), F.max(F.when(F.col("before").isNotNull(), F.col("w"))).alias("step"))
+        edge = F.when(F.col("before").isNotNull(), F.struct("before", "w"))
+        info = state.groupBy("id").agg(F.count("before").alias("n"), F.max("base").alias("least"), F.collect_list(edge).alias("next"))
+        now = info.where("n > 0").count()
         if now == 0 or now == left:
             return info.select("id", F.when(F.col("n") == 0, F.col("least")).otherwise(-1).cast("int").alias("depth"))
         left = now
-        met = state.where("before is not null").join(info.withColumnRenamed("id", "before"), "before")
-        many, bound = F.col("n") > 1, F.least(F.greatest("base", F.col("least") + F.col("w")), far)
-        met = met.select("id", F.when(many, F.col("before")).otherwise(F.col("next")).alias("before"), F.when(many, F.col("w")).otherwise(F.least(F.col("w") + F.col("step"), far)).alias("w"), F.when(many, F.col("base")).otherwise(bound).alias("base"))
+        known = info.select(F.col("id").alias("before"), "n", "least", F.when(F.col("n") <= widest, F.col("next")).alias("next"))
+        met = state.where("before is not null").join(known, "before")
+        met = met.withColumn("fan", F.sum(F.greatest("n", F.lit(1))).over(Window.partitionBy("id")))
+        jumps = (F.col("n") <= 1) | (F.col("fan") <= widest)
+        over = F.transform("next", lambda e: F.struct(e["before"].alias("before"), F.least(F.col("w") + e["w"], far).alias("w")))
+        to = F.when(~jumps, F.array(F.struct("before", "w"))).otherwise(over)
+        bound = F.when(jumps, F.least(F.greatest("base", F.col("least") + F.col("w")), far)).otherwise(F.col("base"))
+        met = met.select("id", F.explode_outer(to).alias("e"), bound.alias("base")).select("id", "e.before", "e.w", "base")
         rows = met.unionByName(state.where("before is null"))
         state = written(rows.groupBy("id", "before").agg(F.max("w").alias("w"), F.max("base").alias("base")), "order")
 

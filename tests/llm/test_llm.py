@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from prismalake.llm import chat, embeddings, langid, media, minhash, packing, pieces_sa, ppm, rans, suffix, tokens
+from prismalake.llm.common import written
 from prismalake.llm.tokens import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -504,3 +505,19 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 def test_crc_of_ids_is_unsigned():
     assert pieces_sa.checksum(np.array([1, 2], "<u4")) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_depths_take_few_rounds(spark, monkeypatch):
+    """A chain of one predecessor each, one of two, and one where every call names all before it, with a cycle behind."""
+    rounds = []
+    monkeypatch.setattr(chat, "written", lambda df, name: rounds.append(name) or written(df, name))
+    ids = lambda n: spark.createDataFrame([(i,) for i in range(n)], "id long")
+    for back, n, most in ((1, 64, 9), (2, 64, 10), (64, 24, 10)):
+        edges = [(i, j) for i in range(n) for j in range(max(0, i - back), i)]
+        want = {i: i for i in range(n)}
+        edges += [(n, n - 1), (n, n + 1), (n + 1, n), (n + 2, n + 1)]
+        want |= {n + i: -1 for i in range(3)}
+        rounds.clear()
+        got = {r.id: r.depth for r in chat.depths(ids(n + 3), spark.createDataFrame(edges, "id long, before long")).collect()}
+        assert got == want
+        assert len(rounds) <= most, (back, len(rounds))
