@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import struct
 import uuid
-import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.planes import DATA, C
 from ..operators.pointwise import as_gray as gray_of
 from ..operators.pointwise import to_u8
+from .image_writer import EXPORTED, MADE, ImageFiles, checked_extension, opened
 
 
 def checked_path(path: str) -> str:
@@ -60,41 +55,28 @@ def read_image(spark: SparkSession, path: str, as_gray: bool = False, broken: st
     return good.unionByName(lost)
 
 
-def png(height: int, width: int, channels: int, data: bytes) -> bytes:
-    """A PNG file of 8-bit grey, colour or colour with alpha."""
-    kind = {1: 0, 3: 2, 4: 6}[channels]
-    lines = b"".join(b"\0" + data[i : i + width * channels] for i in range(0, len(data), width * channels))
-    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+def export_image(df: DataFrame, path: str, floating: bool = False, extension: str = "png", quality: int = 90) -> DataFrame:
+    """Write each row as ``<image_id>.<extension>`` (png, jpg or jpeg) in the folder ``path``; returns (image_id, file, bytes).
 
-
-def export_image(df: DataFrame, path: str, floating: bool = False) -> DataFrame:
-    """Write each row as ``<image_id>.png`` in the folder ``path``, in parallel; returns (image_id, file, bytes).
-
-    Files are written under another name first and then moved, so a repeated task leaves whole files.
+    The files appear when all tasks are done; a job that fails leaves none. Images of 1, 3 or 4 channels are written, as
+    JPEG (baseline, ``quality`` from 1 to 100) of 1 or 3. Of rows with one id one file stays; a null id or image raises.
     """
-    checked_path(path)
-    bad = F.raise_error(F.concat(F.lit("export needs 1, 3 or 4 channels, got "), C().cast("string"))).cast("array<double>")
-    raw = F.when(C().isin(1, 3, 4), F.transform(DATA(), lambda v: to_u8(v, floating).cast("double"))).otherwise(bad)
-    rows = df.select("image_id", "height", "width", "channels", F.transform(raw, lambda v: v.cast("int")).alias("data"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
-        store.create_dir(folder, recursive=True)
-        for batch in batches:
-            names, sizes = [], []
-            for r in batch.to_pylist():
-                body = png(r["height"], r["width"], r["channels"], bytes(r["data"]))
-                name = f"{folder}/{r['image_id']}.png"
-                part = f"{folder}/.{r['image_id']}-{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
-                    f.write(body)
-                store.move(part, name)
-                names.append(name)
-                sizes.append(len(body))
-            yield pa.record_batch([batch.column("image_id"), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["image_id", "file", "bytes"])
-
-    return rows.mapInArrow(write, "image_id long, file string, bytes long")
+    kind = checked_extension(extension)
+    if not isinstance(quality, int) or not 1 <= quality <= 100:
+        raise ValueError(f"quality lies between 1 and 100, got {quality!r}")
+    job, spark = uuid.uuid4().hex, df.sparkSession
+    store, folder = opened(checked_path(path))
+    allowed = (1, 3, 4) if kind == "png" else (1, 3)
+    bad = lambda what: F.raise_error(F.concat(*what))
+    whole = F.col("image_id").isNotNull() & DATA().isNotNull() & (F.size(DATA()) == F.col("height") * F.col("width") * C()) & (F.size(DATA()) > 0)
+    raw = F.transform(DATA(), lambda v: to_u8(v, floating).cast("int"))
+    raw = F.when(~C().isin(*allowed), bad([F.lit(f"{kind} has {' or '.join(map(str, allowed))} channels, got "), C().cast("string")]).cast("array<int>")).otherwise(raw)
+    raw = F.when(~F.coalesce(whole, F.lit(False)), bad([F.lit("no image to export in the row of id "), F.coalesce(F.col("image_id").cast("string"), F.lit("null"))]).cast("array<int>")).otherwise(raw)
+    rows = df.select("image_id", "height", "width", "channels", raw.alias("data"))
+    spark.dataSource.register(ImageFiles)
+    rows.write.format(ImageFiles.name()).mode("append").options(path=path, extension=extension, kind=kind, quality=quality, job=job).save()
+    made = f"{MADE}/{job}"
+    return spark.read.schema(EXPORTED).parquet(f"{path.rstrip('/')}/{made}" if "://" in path or path.startswith("file:") else f"file://{folder}/{made}")
 
 
 def write_planes(df: DataFrame, path: str) -> None:

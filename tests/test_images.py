@@ -1,9 +1,11 @@
 """Values on small images, degenerate images and argument errors."""
 
 import math
+import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismalake.functions.planes import from_pixels, pixels
 from prismalake.operators import descriptors as D
@@ -171,3 +173,41 @@ def test_bytes_wrap_and_clip(spark):
     assert arrays(pw.gray_to_rgb(df))[0][0, :, 0].tolist() == [44, 255, 255]
     assert arrays(pw.gray_to_rgb(planes(spark, [[0.5, 2.0, -1.0]]), floating=True))[0][0, :, 0].tolist() == [127, 255, 0]
     assert math.isclose(arrays(pw.rgb_to_gray(planes(spark, np.full((1, 1, 3), 255))))[0][0, 0], 0.9999)
+
+
+def test_jpeg_export(spark, tmp_path):
+    """Written by NumPy, read by Spark's decoder: smooth images come back within a few levels, at odd sizes, too."""
+    y, x = np.mgrid[:37, :50]
+    grey = np.rint(128 + 60 * np.sin(x / 9) + 50 * np.cos(y / 7)).astype(np.uint8)
+    rgb = np.stack([grey, grey[::-1], 255 - grey], 2)
+    flat, noise = np.full((1, 1), 77, np.uint8), np.random.default_rng(1).integers(0, 256, (24, 40), np.uint8)
+    files = im.export_image(planes(spark, grey, rgb, flat, noise), str(tmp_path / "out"), extension="jpg", quality=95).collect()
+    assert sorted(r.image_id for r in files) == [0, 1, 2, 3] and all(r.bytes == os.path.getsize(r.file) for r in files)
+    back = {r.origin.rsplit("/", 1)[1]: r for r in im.read_image(spark, str(tmp_path / "out" / "*.jpg")).collect()}
+    for name, want, most in (("0.jpg", grey, 6), ("1.jpg", rgb, 12), ("2.jpg", flat, 1), ("3.jpg", noise, 40)):
+        got = np.array(back[name].data).reshape(want.shape)
+        assert (back[name].height, back[name].width) == want.shape[:2] and np.abs(got - want).max() <= most, name
+    im.export_image(planes(spark, rgb), str(tmp_path / "best"), extension="jpeg", quality=100).collect()
+    got = np.array(im.read_image(spark, str(tmp_path / "best" / "*.jpeg")).collect()[0].data).reshape(rgb.shape)
+    assert np.abs(got - rgb).max() <= 3
+
+
+def test_export_all_or_none(spark, gray, tmp_path):
+    out = tmp_path / "out"
+    two = np.zeros((4, 4, 2))
+    with pytest.raises(Exception, match="channels, got 2"):
+        im.export_image(planes(spark, gray, gray, two).repartition(3), str(out))
+    assert not out.exists() or not [p for p in out.rglob("*") if p.is_file()]
+    with pytest.raises(Exception, match="jpeg has 1 or 3 channels"):
+        im.export_image(planes(spark, np.zeros((4, 4, 4))), str(out), extension="jpeg")
+    with pytest.raises(Exception, match="no image to export in the row of id 0"):
+        im.export_image(planes(spark, gray).withColumn("data", F.lit(None).cast("array<double>")), str(out))
+    for bad, error in (("gif", ValueError), (7, TypeError)):
+        with pytest.raises(error):
+            im.export_image(planes(spark, gray), str(out), extension=bad)
+    with pytest.raises(ValueError):
+        im.export_image(planes(spark, gray), str(out), quality=0)
+    assert im.export_image(planes(spark, gray).where("image_id < 0"), str(out)).count() == 0
+    assert im.export_image(planes(spark, gray), str(out), extension="PNG").count() == 1
+    assert im.export_image(planes(spark, gray), str(out), extension="jpg").collect()[0].file.endswith("/0.jpg")
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith("_")) == ["0.PNG", "0.jpg"]
