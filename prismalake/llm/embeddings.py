@@ -2,7 +2,8 @@
 
 Vectors are normalised, projected on their leading principal dimensions and cut into grid cells as wide as the
 distance that the similarity allows. Spark sorts the vectors by cell (range partitions, then within each), consecutive
-ones form blocks, and blocks that hold equal or neighbouring cells meet in a join. Each pair of blocks is joined
+ones form blocks, and blocks that hold equal or neighbouring cells meet in a join; those whose bounding boxes on all
+leading dimensions are provably farther apart are skipped before any vector moves. Each pair of blocks is joined
 recursively: the longer interval is halved, halves whose bounding boxes are provably farther apart are skipped, and
 leaves are compared in double precision.
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +84,10 @@ def principal(reps: DataFrame, leading: int) -> dict[int, np.ndarray]:
     return out
 
 
-def ordered_blocks(reps: DataFrame, eps: float, leading: int = LEADING, size: int = BLOCK) -> DataFrame:
-    """(block, label, dim, ids, copies, vecs, cells): consecutive vectors in grid order, ``cells`` the first cells they hold."""
+def ordered_blocks(reps: DataFrame, eps: float, axes: Broadcast, size: int = BLOCK) -> DataFrame:
+    """(block, label, dim, ids, copies, vecs, cells, low, high): consecutive vectors in grid order, ``cells`` the first
+    cells they hold, ``low`` and ``high`` their bounds on all leading dimensions. ``axes``: see ``principal``."""
     spark = reps.sparkSession
-    axes = spark.sparkContext.broadcast(principal(reps, leading))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +108,9 @@ def ordered_blocks(reps: DataFrame, eps: float, leading: int = LEADING, size: in
             cells = np.unique(np.stack([table.column(f"c{i}").to_numpy() for i in range(CELL_DIMS)], 1), axis=0)
             cells = pa.array(cells.tolist(), pa.list_(pa.int32()))
             count += 1
-            return pa.record_batch([pa.array([(part << 33) + count]), table.column("label").slice(0, 1).combine_chunks(), table.column("dim").slice(0, 1).combine_chunks(), pa.array([table.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([table.column("copies").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(table.column("vec").to_pylist())], pa.binary()), pa.array([cells.to_pylist()], pa.list_(pa.list_(pa.int32())))], ["block", "label", "dim", "ids", "copies", "vecs", "cells"])
+            p = _unit(table.column("vec").combine_chunks()) @ axes.value[table.column("dim")[0].as_py()]
+            low, high = (pa.array([x.tolist()], pa.list_(pa.float64())) for x in (p.min(0), p.max(0)))
+            return pa.record_batch([pa.array([(part << 33) + count]), table.column("label").slice(0, 1).combine_chunks(), table.column("dim").slice(0, 1).combine_chunks(), pa.array([table.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([table.column("copies").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(table.column("vec").to_pylist())], pa.binary()), pa.array([cells.to_pylist()], pa.list_(pa.list_(pa.int32()))), low, high], ["block", "label", "dim", "ids", "copies", "vecs", "cells", "low", "high"])
 
         def cut(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             key = pc.binary_join_element_wise(table.column("label"), table.column("dim").cast(pa.string()), "\x00")
@@ -134,7 +137,7 @@ def ordered_blocks(reps: DataFrame, eps: float, leading: int = LEADING, size: in
     placed = reps.select("id", "label", "vec", "copies").mapInArrow(place, "id long, label string, vec binary, copies long, dim long, " + ", ".join(f"c{i} int" for i in range(CELL_DIMS)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return rows.mapInArrow(block, "block long, label string, dim long, ids binary, copies binary, vecs binary, cells array<array<int>>")
+    return rows.mapInArrow(block, "block long, label string, dim long, ids binary, copies binary, vecs binary, cells array<array<int>>, low array<double>, high array<double>")
 
 
 def joined(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +169,8 @@ def near_links(reps: DataFrame, least: float) -> DataFrame:
     """(id, n, near): for ``reps(id, label, vec, copies)`` the copies linked with each and a spanning forest of links."""
     spark = reps.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
-    blocks = written(ordered_blocks(reps, eps), "blocks")
+    axes = spark.sparkContext.broadcast(principal(reps, LEADING))
+    blocks = written(ordered_blocks(reps, eps, axes), "blocks")
     cell = blocks.select("label", "dim", "block", F.explode("cells").alias("c"))
     cell = cell.select("label", "dim", "block", *[F.col("c")[i].alias(f"c{i}") for i in range(CELL_DIMS)])
     around = cell
@@ -174,8 +178,11 @@ def near_links(reps: DataFrame, least: float) -> DataFrame:
         around = around.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + k for k in (-1, 0, 1)])))
     around = around.distinct()
     pairs = cell.join(around.withColumnRenamed("block", "other"), ["label", "dim", *(f"c{i}" for i in range(CELL_DIMS))]).where("other <= block").select("block", "other").distinct()
-    pairs = written(pairs, "block-pairs")
-    axes = spark.sparkContext.broadcast(principal(reps, LEADING))
+    # Blocks whose boxes are provably farther apart are skipped before any vector moves.
+    box = blocks.select("block", "low", "high")
+    pairs = pairs.join(box, "block").join(box.select(F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2")), "other")
+    gap = "aggregate(zip_with(zip_with(low, high2, (a, b) -> a - b), zip_with(low2, high, (a, b) -> a - b), (a, b) -> greatest(0D, a, b)), 0D, (s, g) -> s + g * g)"
+    pairs = written(pairs.where(F.expr(gap) <= eps * eps).select("block", "other"), "block-pairs")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
