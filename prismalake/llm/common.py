@@ -43,6 +43,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 _scopes: list[list[str]] = []
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # with the query that made them
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -58,13 +59,17 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that are written inside: nothing that leaves the block may read them any more. What finished
-    jobs have left on the executors' disks is given up, too."""
+    """Deletes the tables that are written inside: nothing that leaves the block may read them any more. Inside, a query's
+    shuffle files go when it ends, as its rows are then in a table; a lost executor's part is made again. What else
+    finished jobs have left on the executors' disks is given up at the end."""
     own: list[str] = []
     _scopes.append(own)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
     try:
         yield
     finally:
+        spark.conf.set(SHUFFLES_GO, before)
         _scopes.remove(own)
         for path in own:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
