@@ -1,11 +1,15 @@
 """The pipeline's stages over odd tables, and shingles of every small size."""
 
+import os
 import random
+from urllib.parse import urlparse
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prismalake.llm import minhash, packing, suffix
+from prismalake.llm.common import SHUFFLES_GO, scratch, written
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, __id long, __kept string, __row long, __rid long, rid long, times long, cut_id long, CUT_KEPT string"
 
@@ -67,3 +71,20 @@ def test_passage_stage_of_odd_tables(spark, odd):
 def test_packing_stage_of_odd_tables(spark, odd):
     rows = packing.pack_stage(spark, odd)
     assert rows.count() >= odd.count() and packing.pack_stage(spark, odd.limit(0)).count() == 0
+
+
+def test_scratch_deletes_its_tables_and_restores_the_setting(spark):
+    before = spark.conf.get(SHUFFLES_GO)
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        with scratch(spark):
+            inner = written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "inner")
+            kept = written(inner.join(inner.select("k"), "k"), "kept", keep=True)
+            gone = inner.inputFiles()
+        assert spark.conf.get(SHUFFLES_GO) == "true"
+        assert kept.count() == kept.groupBy("k").count().count() == 7
+        left = kept.inputFiles()
+        assert left and not any(os.path.exists(urlparse(x).path) for x in gone)
+        assert all(os.path.exists(urlparse(x).path) for x in left)
+        1 / 0
+    assert gone and not any(os.path.exists(urlparse(x).path) for x in left)
+    assert spark.conf.get(SHUFFLES_GO) == before
