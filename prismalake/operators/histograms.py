@@ -120,7 +120,7 @@ def color_histogram(df: DataFrame, bins: int = 32, normalize: bool = True) -> Da
 
 
 def gradient_hist(df: DataFrame, bins: int = 64) -> DataFrame:
-    """(image_id, vec): shares of the gradient magnitudes by bin over (0, largest)."""
+    """(image_id, vec): shares of the gradient magnitudes by bin over (0, largest); gradients are summed row by row."""
     _positive(bins)
     df = sobel_gradients(as_gray(df))
 
