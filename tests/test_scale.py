@@ -4,8 +4,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from prismalake.operators import drawing as dr
+from prismalake.operators import histograms as hi
+from prismalake.operators import shapes as sh
+from prismalake.operators import tiles as ti
 from prismalake.plans import catalog
+from prismalake.sources.tables import mosaic, mosaic_pixels
 
 
 def vectors(path, n: int, first: int = 0) -> str:
@@ -29,3 +35,46 @@ def same_as_sql(spark, name: str, sf: str, tables=("embeddings",)) -> None:
 
 def test_gradient_bins_do_not_depend_on_the_order_of_a_sum(spark, tmp_path):
     same_as_sql(spark, "gradient_hist", vectors(tmp_path, 6000))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_lines_of_a_shape_are_computed(spark):
+    df = spark.createDataFrame([(1, 5, 2, 1, [float(i) for i in range(10)])], "image_id long, height int, width int, channels int, data array<double>")
+    low = lambda y, x: F.when(y > 1, F.raise_error(F.lit("beyond the lines")).cast("boolean")).otherwise(x == 1)
+    assert dr.overlay(df, low, 9, (-3, 1)).first()["data"] == [0, 9, 2, 9, 4, 5, 6, 7, 8, 9]
+    assert dr.overlay(df, low, 9, (-3, -1)).first()["data"] == df.first()["data"]
+    assert dr.overlay(df, lambda y, x: x == 0, 9, (4, 70)).first()["data"] == [0, 1, 2, 3, 4, 5, 6, 7, 9, 9]
+    assert dr.put_text(df, "I", 0, 3).first()["data"] == [0, 1, 2, 3, 4, 5, 6, 255, 8, 9]
+
+
+def test_images_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, 4, 1, [0.0, 2.0, None, 255.0]), (2, 1, 0, 1, []), (3, 1, 1, 1, [7.0])], "image_id long, height int, width int, channels int, data array<double>")
+    for made in (hi.histogram(df), hi.histogram_equalization(df), hi.threshold_otsu(df)):
+        assert "Exchange" not in plan(made)
+    counted = {(r["image_id"], r["bin"]): r["count"] for r in hi.histogram(df).where("count > 0").collect()}
+    assert counted == {(1, 0): 1, (1, 2): 1, (1, 255): 1, (3, 7): 1}
+    assert [r["data"] for r in hi.histogram_equalization(df).orderBy("image_id").collect()] == [[0, 128, 0, 255], [], [0]]
+
+
+def test_a_mosaic_moves_vectors_and_not_pixels(spark, tmp_path):
+    sf = vectors(tmp_path, 20, 3)
+    made = mosaic(spark, sf, 3, 5)
+    assert "explode(data" not in plan(made)
+    pixels = {(r["image_id"], r["y"] * 40 + r["x"]): r["v"] for r in mosaic_pixels(spark, sf, 3, 5).collect()}
+    for r in made.collect():
+        assert r["data"] == [pixels.get((r["image_id"], p), 0.0) for p in range(24 * 40)]
+
+
+def test_a_tile_is_computed_once_and_not_for_each_line(spark):
+    df = spark.createDataFrame([(1, 4, 4, 1, [float(i) for i in range(16)])], "image_id long, height int, width int, channels int, data array<double>")
+    one = F.lit(1)
+    cut = df.select(ti.block(F.transform("data", lambda v: v + 1), F.col("width"), F.col("channels"), one, one, one + 1, one + 1).alias("data"))
+    assert cut.first()["data"] == [6, 7, 10, 11]
+    assert "slice(transform" not in plan(cut) and "slice(lambda" in plan(cut)
+
+
+def test_the_font_needs_no_task(spark):
+    assert "LocalTableScan" in plan(sh.font_table(spark)) and sh.font_table(spark).count() == 7 * len(dr.FONT)
