@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.planes import DATA, C, channels_must_be, div, let, over_data, to_byte
+from ..functions.planes import DATA, C, by_image, channels_must_be, div, let, over_data, to_byte
 from .pointwise import as_gray
 from .stencils import sobel_gradients
 
@@ -35,24 +36,21 @@ def counts(values: Column, low, high, bins: int) -> Column:
     return let(ends(values, low, high, bins), lambda upto: F.transform(upto, lambda e, b: e - F.coalesce(F.get(upto, b - 1), F.lit(0).cast("long"))))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns that are computed once a row, however often later expressions name them."""
-    for name, value in columns.items():
-        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
-    return df
-
-
 def histogram(df: DataFrame, bins: int = 256, range_: tuple[float, float] = (0, 256)) -> DataFrame:
-    """(image_id, bin, lo, hi, count) of grey images, empty bins included: a distributed count joined to all bins."""
+    """(image_id, bin, lo, hi, count) of grey images, empty bins included: counted in the row, one row a bin afterwards."""
     _positive(bins)
     low, high = float(range_[0]), float(range_[1])
-    df = once(to_byte(channels_must_be(df, 1, "histogram")), data=DATA())
-    found = df.select("image_id", F.explode("data").alias("v")).select("image_id", bin_of(F.col("v"), low, high, bins).alias("bin"))
-    found = found.where("bin is not null").groupBy("image_id", "bin").agg(F.count("*").alias("count"))
-    every = df.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+
+    def count(v: np.ndarray) -> tuple:
+        v = v[(v >= low) & (v <= high)]
+        return (np.bincount(np.minimum(np.floor((v - low) / (high - low) * bins), bins - 1).astype(np.int64), minlength=bins),)
+
+    df = to_byte(channels_must_be(df, 1, "histogram"))
+    # a null counts nowhere
+    found = by_image(df.select("image_id", F.filter("data", lambda v: v.isNotNull()).alias("data")), count, counts="array<bigint>")
     step = (high - low) / bins
-    out = every.join(found, ["image_id", "bin"], "left")
-    return out.select("image_id", "bin", (low + F.col("bin") * step).alias("lo"), (low + (F.col("bin") + 1) * step).alias("hi"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    out = found.select("image_id", F.posexplode("counts").alias("bin", "count"))
+    return out.select("image_id", "bin", (low + F.col("bin") * step).alias("lo"), (low + (F.col("bin") + 1) * step).alias("hi"), "count")
 
 
 def histogram_dataframe(df: DataFrame, bins: int = 256) -> DataFrame:
@@ -65,44 +63,41 @@ def histogram_dataframe(df: DataFrame, bins: int = 256) -> DataFrame:
     return rows.select("image_id", "bin", ((F.col("lo") + F.col("hi")) / 2).alias("intensity"), "count", share(F.col("count")).alias("probability"), share(upto).alias("cdf"))
 
 
-def _levels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(planes on the scale of bytes, levels): ``levels(image_id, level, n, upto, weight)`` of the levels that occur, with the
-    pixels and the sum of levels up to each. Planes are dealt out by image once; counts, running sums and the join of what
-    follows from them back to the planes all use that partitioning, and pixels never leave their task."""
-    df = df.repartition("image_id")
-    level = F.least(F.greatest(F.floor("v"), F.lit(0)), F.lit(255)).cast("int")
-    found = df.select("image_id", F.explode("data").alias("v")).select("image_id", level.alias("level")).groupBy("image_id", "level").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("image_id").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df, found.select("image_id", "level", "n", F.sum("n").over(upto).cast("double").alias("upto"), F.sum(F.col("n") * F.col("level")).over(upto).cast("double").alias("weight"))
+def _levels(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of an image's values, and the number of its values by level."""
+    level = np.clip(np.floor(np.nan_to_num(v, nan=0.0)), 0, 255).astype(np.int64)
+    return level, np.bincount(level, minlength=256)
+
+
+def _equalised(v: np.ndarray) -> tuple:
+    level, n = _levels(v)
+    upto = np.cumsum(n).astype(np.float64)
+    first, size = upto[level.min()] if len(v) else 0.0, upto[-1]
+    new = np.rint((upto - first) / (size - first) * 255) if size > first else np.zeros(256)
+    return (new[level],)
 
 
 def histogram_equalization(df: DataFrame) -> DataFrame:
-    """Grey bytes spread over 0..255 by their running counts; a constant image becomes 0."""
+    """Grey bytes spread over 0..255 by their running counts; a constant image becomes 0. An image's levels are counted and
+    replaced in its row."""
     names = df.columns
-    df, levels = _levels(to_byte(channels_must_be(df, 1, "histogram_equalization")))
-    image = Window.partitionBy("image_id")
-    first, size = F.min("upto").over(image), F.max("upto").over(image)
-    new = F.coalesce(F.rint((F.col("upto") - first) / F.nullif(size - first, F.lit(0.0)) * 255), F.lit(0.0))
-    table = levels.select("image_id", "level", new.alias("new")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("level", "new"))).alias("_t"))  # 256 at most
-    # a value for each level up to the greatest one: those that do not occur are never looked up
-    filled = F.flatten(F.transform("_t", lambda e, i: F.array_repeat(e["new"], e["level"] - F.coalesce(F.get(F.col("_t"), i - 1)["level"], F.lit(-1)))))
-    met = df.join(table.select("image_id", filled.alias("_new")), "image_id", "left")
-    place = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)).cast("int")
-    return met.withColumn("data", F.transform("data", lambda v: F.get(F.col("_new"), place(v)))).select(*names)
+    return by_image(to_byte(channels_must_be(df, 1, "histogram_equalization")), _equalised, data="array<double>").select(*names)
+
+
+def _best_level(v: np.ndarray) -> tuple:
+    _, n = _levels(v)
+    c, q = np.cumsum(n).astype(np.float64), np.cumsum(n * np.arange(256)).astype(np.float64)
+    inner = (c > 0) & (c < c[-1])
+    between = np.zeros(256)
+    between[inner] = (q * c[-1] - q[-1] * c)[inner] ** 2 / (c * (c[-1] - c))[inner]
+    threshold = float(np.argmax(between))
+    return np.where(v > threshold, 255.0, 0.0), threshold
 
 
 def threshold_otsu(df: DataFrame) -> DataFrame:
     """Adds ``threshold``, the first level with the greatest variance between classes; data becomes 255 above it, else 0."""
     names = df.columns
-    df, levels = _levels(to_byte(channels_must_be(df, 1, "threshold_otsu")))
-    image = Window.partitionBy("image_id")
-    n, total = F.max("upto").over(image), F.max("weight").over(image)
-    c, q = F.col("upto"), F.col("weight")
-    between = F.when(c < n, F.pow(q * n - total * c, 2) / (c * F.nullif(n - c, F.lit(0.0)))).otherwise(0.0)
-    best = levels.select("image_id", "level", between.alias("b")).groupBy("image_id").agg(F.max(F.struct("b", (-F.col("level")).alias("low"))).alias("x"))
-    best = best.select("image_id", F.when(F.col("x.b") > 0, -F.col("x.low")).otherwise(0).cast("double").alias("threshold"))
-    met = df.join(best, "image_id", "left")
-    return met.withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), 255.0).otherwise(0.0))).select(*names, F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+    return by_image(to_byte(channels_must_be(df, 1, "threshold_otsu")), _best_level, data="array<double>", threshold="double").select(*names, "threshold")
 
 
 def color_histogram(df: DataFrame, bins: int = 32, normalize: bool = True) -> DataFrame:
