@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import C, H, W, border, div, need_int, need_number, whole
+from ..functions.planes import C, H, W, border, div, let, need_int, need_number, whole
 from . import stencils as st
 
 SIDE = 256
@@ -39,9 +39,9 @@ def own_width() -> Column:
 
 
 def block(data: Column, width: Column, channels: Column, top: Column, left: Column, high: Column, wide: Column) -> Column:
-    """The values of a rectangle of an array of rows of ``width`` pixels; ``high`` and ``wide`` are above 0."""
-    lines = F.transform(F.sequence(top, top + high - 1), lambda y: F.slice(data, whole((y * width + left) * channels + 1), whole(wide * channels)))
-    return F.flatten(lines)
+    """The values of a rectangle of an array of rows of ``width`` pixels; ``high`` and ``wide`` are above 0. The array is
+    bound once: it would be computed again for each line."""
+    return let(data, lambda d: F.flatten(F.transform(F.sequence(top, top + high - 1), lambda y: F.slice(d, whole((y * width + left) * channels + 1), whole(wide * channels)))))
 
 
 def tiled(df: DataFrame, side: int = SIDE) -> DataFrame:
