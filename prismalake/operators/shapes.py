@@ -12,6 +12,7 @@ Rows whose image, coordinates, text or colour are null draw nothing; shapes of i
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +104,8 @@ def points(table: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def font_table(spark) -> DataFrame:
     """(ch, row, bits): the dimension table of the font, seven rows for each character."""
-    return spark.createDataFrame([(ch, row, bits) for ch, rows in FONT.items() for row, bits in enumerate(rows)], "ch string, row int, bits int")
+    rows = [(ch, row, bits) for ch, rows in FONT.items() for row, bits in enumerate(rows)]
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["ch", "row", "bits"]))
 
 
 def texts(labels: DataFrame, sizes: DataFrame) -> DataFrame:
