@@ -9,8 +9,10 @@ compared; matches vote for a similarity transform, and ``consensus`` of them lin
 classes.
 
 Equal images are one vertex. Lists of keys are first compared with one member each (twice, by different orders), which
-joins a group of near copies by a number of comparisons that grows with its size only. Then members of a list that are
-still in different components are paired; lists within one component are done. No list is cut or left out.
+joins a group of near copies by a number of comparisons that grows with its size only. Lists within one component are
+done. Members of the others that are still in different components are paired: in lists of up to ``LONG`` members all of
+them. Two images that share two keys share a list of those or two longer ones, so longer lists are paired under two keys
+at once, and an image's long lists count as votes on the pairs. No list is cut or left out.
 
 Sizes: an image keeps its ``corners`` strongest corners at each scale; this is what a descriptor set is, not a limit on
 candidates. Intact words are a matter of chance for descriptors far apart: the tests measure which copies meet.
@@ -34,6 +36,7 @@ from .common import U64, mix64, written
 from .components import components
 
 RADIUS = 10
+LONG = 7  # members of a list that are all paired
 FIELD = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", 2)])
 
 
@@ -197,10 +200,10 @@ def _pairs_checked(pairs: DataFrame, reps: DataFrame, consensus: int) -> DataFra
 
 
 def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, c): the lists that still hold members of different components ``c``."""
+    """(key, id, c, members): the lists that still hold members of different components ``c``."""
     found = components(links, "a", "b").select("id", "component")
     rows = lists.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
     return rows.join(mixed, "key")
 
 
@@ -215,6 +218,35 @@ def _voted(pairs: DataFrame, votes: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
 
 
+def _met(lists: DataFrame) -> DataFrame:
+    """(a, b, more), once for each of ``lists(key, id, c, mask)`` that two images of different components share; ``more``:
+    a bit is set in both masks."""
+    other = lists.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("mask").alias("bits"))
+    both = lists.withColumnRenamed("id", "a").join(other, "key").where("a < b and c != d")
+    return both.select("a", "b", (F.col("mask").bitwiseAND(F.col("bits")) != 0).alias("more"))
+
+
+def _sharing(lists: DataFrame, votes: int) -> DataFrame:
+    """The pairs (a, b) of different components that share ``votes`` of ``lists(key, id, c, members)``."""
+    if votes < 2:
+        return _met(lists.select("key", "id", "c", F.lit(0).cast("long").alias("mask"))).select("a", "b").distinct()
+    # of each image its long lists, and a mask in which two images that share one have a bit in common
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(key), 64) as int))")
+    own = lists.where(F.col("members") > LONG).groupBy("id", "c").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.bit_or(bit).alias("mask"))
+    own = written(own, "lists")
+    short = lists.where(F.col("members") <= LONG).select("key", "id", "c").join(own.select("id", "mask"), "id", "left").fillna(0, ["mask"])
+    two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda other: F.xxhash64(k, other))))
+    long = own.select(F.explode(two).alias("key"), "id", "c", "mask")
+    pairs = _met(short).withColumn("n", F.lit(1)).unionByName(_met(long).withColumn("n", F.lit(0)))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.bool_or("more").alias("more"))
+    pairs = written(pairs.where((F.col("n") >= votes) | F.col("more")), "pairs")
+    few = pairs.where(F.col("n") < votes)
+    for at in "ab":
+        few = few.join(own.select(F.col("id").alias(at), F.col("keys").alias(f"k{at}")), at)
+    few = few.where(F.col("n") + F.size(F.array_intersect("ka", "kb")) >= votes)
+    return pairs.where(F.col("n") >= votes).select("a", "b").unionByName(few.select("a", "b"))
+
+
 def copy_links(reps: DataFrame, consensus: int = 6, near: int = 3, votes: int = 2) -> DataFrame:
     """Links (a, b) with the components of all links between candidates among ``reps(id, n, marks)``; not every link."""
     keys = _keys(reps, near)
@@ -224,9 +256,7 @@ def copy_links(reps: DataFrame, consensus: int = 6, near: int = 3, votes: int =
     rest = written(_open_lists(lists, links), "lists")
     links = written(links.unionByName(_pairs_checked(_stars(rest, F.xxhash64("id"), votes), reps, consensus)), "links")
     rest = written(_open_lists(rest, links), "lists")
-    other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = rest.withColumnRenamed("id", "a").join(other, "key").where("a < b and c != d").select("a", "b")
-    return written(links.unionByName(_pairs_checked(_voted(pairs, votes), reps, consensus)), "links")
+    return written(links.unionByName(_pairs_checked(_sharing(rest, votes), reps, consensus)), "links")
 
 
 def detect_copies(images: DataFrame, consensus: int = 6, corners: int = 12, near: int = 3, votes: int = 2) -> DataFrame:

@@ -438,6 +438,23 @@ def test_image_copies_against_all_pairs(spark):
     assert len(planted) > 240 and np.mean([got[i] == got[of[i]] for i in planted]) >= 0.9
 
 
+def test_image_copies_long_lists(spark, monkeypatch):
+    """Unlike images in long lists: all pairs that share enough lists, without the pairs of a long list."""
+    r = np.random.default_rng(4)
+    of = [sorted({*r.choice(6, int(r.integers(0, 3)), replace=False).tolist(), *(10 + r.integers(0, 900, 4)).tolist()}) for _ in range(600)]
+    rows = [(k, i, i // 2) for i, keys in enumerate(of) for k in keys]
+    size = np.bincount([k for k, _, _ in rows])
+    lists = spark.createDataFrame([(*row, int(size[row[0]])) for row in rows], "key long, id long, c long, members long")
+    assert size[:6].min() > 50 > media.LONG > 1
+    made, met = [], media._met
+    monkeypatch.setattr(media, "_met", lambda lists: made.append(met(lists)) or made[-1])
+    for votes in (1, 2, 3):
+        want = {(a, b) for a in range(600) for b in range(a + 1, 600) if a // 2 != b // 2 and len({*of[a]} & {*of[b]}) >= votes}
+        made.clear()
+        assert want and sorted((x.a, x.b) for x in media._sharing(lists, votes).collect()) == sorted(want)
+        assert votes == 1 or sum(x.count() for x in made) < 8000 < int((size[:6] * (size[:6] - 1) // 2).sum())
+
+
 def test_tool_calls(spark):
     rows = [
         (1, 1, "assistant", None, "a", "search", '{"turn": 1, "query": "q"}'),
