@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismalake.operators import drawing as dr
 from prismalake.operators import histograms as hi
+from prismalake.operators import kernels as kn
 from prismalake.operators import shapes as sh
 from prismalake.operators import tiles as ti
 from prismalake.plans import catalog
@@ -78,3 +79,12 @@ def test_a_tile_is_computed_once_and_not_for_each_line(spark):
 
 def test_the_font_needs_no_task(spark):
     assert "LocalTableScan" in plan(sh.font_table(spark)) and sh.font_table(spark).count() == 7 * len(dr.FONT)
+
+
+def test_images_meet_their_kernels_without_a_row_for_each_pixel(spark):
+    taps = spark.createDataFrame([(1, 0, x, float(x)) for x in range(3)] + [(2, 0, 0, 0.0)], "kernel_id int, ky int, kx int, w double")
+    rows = [(i, 1, 3, 1, d, k) for i, (d, k) in enumerate([([1.0, 2.0, None], 1), ([1.0, 2.0, 4.0], 2), ([5.0, 6.0, 7.0], None)])] + [(3, 1, 0, 1, [], 1), (4, 1, 1, 1, None, 1)]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, channels int, data array<double>, kernel_id int")
+    found = kn.convolve_each(df, taps, "zero")
+    assert "explode(data" not in plan(found) and "explode(taps" not in plan(found)
+    assert [r["v"] for r in found.orderBy("image_id", "x").collect()] == [1 * 0 + 1 * 1 + 2 * 0, 1 * 2 + 2 * 1, 2 * 2, 0, 0, 0, 5, 6, 7]
