@@ -236,7 +236,7 @@ def _sharing(lists: DataFrame, votes: int) -> DataFrame:
     own = written(own, "lists")
     short = lists.where(F.col("members") <= LONG).select("key", "id", "c").join(own.select("id", "mask"), "id", "left").fillna(0, ["mask"])
     two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda other: F.xxhash64(k, other))))
-    long = own.select(F.explode(two).alias("key"), "id", "c", "mask")
+    long = written(own.select(F.explode(two).alias("key"), "id", "c", "mask"), "lists")
     pairs = _met(short).withColumn("n", F.lit(1)).unionByName(_met(long).withColumn("n", F.lit(0)))
     pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.bool_or("more").alias("more"))
     pairs = written(pairs.where((F.col("n") >= votes) | F.col("more")), "pairs")
