@@ -10,9 +10,11 @@ classes.
 
 Equal images are one vertex. Lists of keys are first compared with one member each (twice, by different orders), which
 joins a group of near copies by a number of comparisons that grows with its size only. Lists within one component are
-done. Members of the others that are still in different components are paired: in lists of up to ``LONG`` members all of
-them. Two images that share two keys share a list of those or two longer ones, so longer lists are paired under two keys
-at once, and an image's long lists count as votes on the pairs. No list is cut or left out.
+done. In the others the members of different components that share ``votes`` lists have to be found. Lists have one order,
+and an image's row in a list holds its lists further on: two images meet in the first list that they share, where
+``votes - 1`` of the lists that they hold there are equal. A task sorts these, so the pairs of a list are never made, only
+the pairs that are candidates. Lists above ``BLOCK`` members are cut into blocks, every two of which meet. No list is cut
+off or left out.
 
 Sizes: an image keeps its ``corners`` strongest corners at each scale; this is what a descriptor set is, not a limit on
 candidates. Intact words are a matter of chance for descriptors far apart: the tests measure which copies meet.
@@ -25,18 +27,21 @@ component and a class of one; an empty input gives an empty result; other column
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, written
 from .components import components
 
 RADIUS = 10
-LONG = 7  # members of a list that are all paired
+LONG = 7  # lists of more members come last in the order in which lists are gone through
+BLOCK = 4096  # members of a list that a task holds, and as many again of another block
 FIELD = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", 2)])
 
 
@@ -219,32 +224,71 @@ def _voted(pairs: DataFrame, votes: int) -> DataFrame:
 
 
 def _met(lists: DataFrame) -> DataFrame:
-    """(a, b, more), once for each of ``lists(key, id, c, mask)`` that two images of different components share; ``more``:
-    a bit is set in both masks."""
-    other = lists.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("mask").alias("bits"))
-    both = lists.withColumnRenamed("id", "a").join(other, "key").where("a < b and c != d")
-    return both.select("a", "b", (F.col("mask").bitwiseAND(F.col("bits")) != 0).alias("more"))
+    """(a, b), once for each of ``lists(key, id, c)`` that two images of different components share."""
+    other = lists.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
+    return lists.withColumnRenamed("id", "a").join(other, "key").where("a < b and c != d").select("a", "b")
+
+
+def meeting(part: np.ndarray, across: np.ndarray, block: np.ndarray, c: np.ndarray, size: np.ndarray, others: np.ndarray, votes: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one ``part`` and different ``c`` that have ``votes`` of their ``others`` in common, where
+    ``across`` only those of different ``block``. Row k has ``size[k]`` others, each once.
+
+    About ``most`` meetings are held at once, or one row's."""
+    row = np.repeat(np.arange(len(part)), size)
+    order = np.lexsort((others, part[row]))  # stable: rows ascend among equal ones
+    row, value = row[order], others[order]
+    edge = np.flatnonzero((value[1:] != value[:-1]) | (part[row[1:]] != part[row[:-1]])) + 1
+    here = np.arange(len(row))
+    later = np.append(edge, len(row))[np.searchsorted(edge, here, "right")] - here - 1
+    by = np.argsort(row, kind="stable")
+    by = by[later[by] > 0]
+    before = np.cumsum(later[by]) - later[by]
+    first = np.flatnonzero(np.diff(row[by], prepend=-1))
+    cuts = [*first[np.flatnonzero(np.diff(before[first] // most, prepend=-1))].tolist(), len(by)]
+    for low, high in zip(cuts, cuts[1:]):
+        n = later[by[low:high]]
+        i = np.repeat(by[low:high], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(before[low:high] - before[low], n)
+        x, y = row[i], row[j]
+        ok = (c[x] != c[y]) & ~(across[x] & (block[x] == block[y]))
+        pairs, times = np.unique(x[ok] * len(part) + y[ok], return_counts=True)
+        yield np.divmod(pairs[times >= votes], len(part))
 
 
 def _sharing(lists: DataFrame, votes: int) -> DataFrame:
     """The pairs (a, b) of different components that share ``votes`` of ``lists(key, id, c, members)``."""
     if votes < 2:
-        return _met(lists.select("key", "id", "c", F.lit(0).cast("long").alias("mask"))).select("a", "b").distinct()
-    # of each image its long lists, and a mask in which two images that share one have a bit in common
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(key), 64) as int))")
-    own = lists.where(F.col("members") > LONG).groupBy("id", "c").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.bit_or(bit).alias("mask"))
-    own = written(own, "lists")
-    short = lists.where(F.col("members") <= LONG).select("key", "id", "c").join(own.select("id", "mask"), "id", "left").fillna(0, ["mask"])
-    two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda other: F.xxhash64(k, other))))
-    long = written(own.select(F.explode(two).alias("key"), "id", "c", "mask"), "lists")
-    pairs = _met(short).withColumn("n", F.lit(1)).unionByName(_met(long).withColumn("n", F.lit(0)))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.bool_or("more").alias("more"))
-    pairs = written(pairs.where((F.col("n") >= votes) | F.col("more")), "pairs")
-    few = pairs.where(F.col("n") < votes)
-    for at in "ab":
-        few = few.join(own.select(F.col("id").alias(at), F.col("keys").alias(f"k{at}")), at)
-    few = few.where(F.col("n") + F.size(F.array_intersect("ka", "kb")) >= votes)
-    return pairs.where(F.col("n") >= votes).select("a", "b").unionByName(few.select("a", "b"))
+        return _met(lists.select("key", "id", "c")).distinct()
+    # an image's row in a list holds its lists further on, in one order for all images, in which long lists are last
+    further = Window.partitionBy("id").orderBy(F.desc(F.col("members") > LONG), F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lists.select("key", "id", "c", "members", F.collect_list("key").over(further).alias("others")).where(F.size("others") >= votes - 1)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own, zero = F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0)
+    whole = rows.where(F.col("members") <= BLOCK).select("key", "id", "c", "others", zero.alias("block"), zero.alias("x"), zero.alias("y"))
+    cut = rows.where(F.col("members") > BLOCK).select("key", "id", "c", "others", own, F.explode(F.sequence(zero, blocks - 1)).alias("to"))
+    cut = cut.select("key", "id", "c", "others", "block", F.least("block", "to").alias("x"), F.greatest("block", "to").alias("y"))
+    dealt = whole.unionByName(cut).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            both = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not both:
+                continue
+            rows = pa.Table.from_batches(both).combine_chunks().to_batches()[0]
+            new = np.zeros(rows.num_rows, bool)
+            for name in ("key", "x", "y"):
+                new[1:] |= np.diff(rows.column(name).to_numpy()) != 0
+            end = rows.num_rows if batch is None else int(np.flatnonzero(new).max(initial=0))  # the last part may go on
+            held, rows = rows.slice(end), rows.slice(0, end)
+            if not end:
+                continue
+            ids, c, block, x, y = (rows.column(name).to_numpy() for name in ("id", "c", "block", "x", "y"))
+            others = rows.column("others")
+            for i, j in meeting(np.cumsum(new[:end]), x != y, block, c, pc.list_value_length(others).to_numpy(), others.flatten().to_numpy(), votes - 1):
+                yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def copy_links(reps: DataFrame, consensus: int = 6, near: int = 3, votes: int = 2) -> DataFrame:

@@ -455,6 +455,39 @@ def test_image_copies_long_lists(spark, monkeypatch):
         assert votes == 1 or sum(x.count() for x in made) < 8000 < int((size[:6] * (size[:6] - 1) // 2).sum())
 
 
+def test_image_copies_rows_of_lists(spark, monkeypatch):
+    """Images in many long lists: the tables between hold no row for two lists of an image or two members of a list."""
+    r = np.random.default_rng(6)
+    of = [sorted(r.choice(2000, 40, replace=False).tolist()) for _ in range(500)]
+    rows = [(k, i, i // 2) for i, keys in enumerate(of) for k in keys]
+    size = np.bincount([k for k, _, _ in rows])
+    lists = spark.createDataFrame([(*row, int(size[row[0]])) for row in rows], "key long, id long, c long, members long")
+    shared = {(a, b): len({*of[a]} & {*of[b]}) for a in range(500) for b in range(a + 1, 500) if a // 2 != b // 2}
+    made = []
+    for name in ("written", "_met"):
+        monkeypatch.setattr(media, name, lambda df, *_, f=getattr(media, name): made.append(f(df, *_)) or made[-1])
+    for votes, block in ((2, 4096), (3, 4096), (2, 5), (3, 5)):
+        monkeypatch.setattr(media, "BLOCK", block, raising=False)
+        want = [pair for pair, n in shared.items() if n >= votes]
+        assert want and sorted((x.a, x.b) for x in media._sharing(lists, votes).collect()) == sorted(want)
+    assert sum(df.count() for df in made) <= len(rows)
+
+
+def test_image_copies_meetings():
+    """Any number of meetings held at once gives the same pairs, none of one block where only those across count."""
+    r = np.random.default_rng(7)
+    part, block, c = np.repeat([0, 1, 2], 30), np.tile([0, 1], 45), r.integers(0, 40, 90)
+    of = [np.sort(r.choice(60, r.integers(0, 12), replace=False)) for _ in range(90)]
+    size, others, across = np.array([len(x) for x in of]), np.concatenate(of), part == 1
+    for votes in (1, 2):
+        want = [(i, j) for i in range(90) for j in range(i + 1, 90) if part[i] == part[j] and c[i] != c[j] and not (across[i] and block[i] == block[j]) and len({*of[i]} & {*of[j]}) >= votes]
+        for most in (1, 50, 1 << 20):
+            got = [(int(x), int(y)) for a, b in media.meeting(part, across, block, c, size, others, votes, most) for x, y in zip(a, b)]
+            assert want and got == want
+    none = np.zeros(0, np.int64)
+    assert not list(media.meeting(none, none == 1, none, none, none, none, 1))
+
+
 def test_tool_calls(spark):
     rows = [
         (1, 1, "assistant", None, "a", "search", '{"turn": 1, "query": "q"}'),
